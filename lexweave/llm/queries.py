@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import packing, pieces
+from lexweave.llm import leaks, packing, pieces
 from lexweave.sources.tables import table
 
 
@@ -23,8 +23,17 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
+    return leaks.leak_report(leaks.leaks(documents, items), documents, items)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found, "p5_pieces": p5_pieces, "p7_containers": p7_containers}
+    return {"p5_found": p5_found, "p5_pieces": p5_pieces, "p7_containers": p7_containers, "p8_found": p8_found, "p8_report": p8_report}
 
 
 def oracle_sql() -> dict[str, str]:
