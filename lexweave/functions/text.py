@@ -59,11 +59,15 @@ def unix_newlines(c: Column) -> Column:
     return F.regexp_replace(c, "\\r\\n?", "\n")
 
 
+#: A key without these is in its normal form already: invisible characters, Thai digits, white space other than single inner spaces.
+_KEY_NEEDS_WORK = f"[\u200b\u200c\u200d\ufeff\u0e50-\u0e59]|^{UNICODE_SPACE}|{UNICODE_SPACE}$|  |(?! ){UNICODE_SPACE}|{MAYBE_NOT_NFC}"
+
+
 def reference_key(c: Column) -> Column:
-    """The form in which two written keys are the same key; null for a null or blank one."""
-    c = arabic_digits(drop_invisible(nfc(c)))
-    c = strip(F.regexp_replace(c, f"{UNICODE_SPACE}+", " "))
-    return F.when(c != "", c)
+    """The form in which two written keys are the same key; empty for a blank one."""
+    full = arabic_digits(drop_invisible(nfc(c)))
+    full = strip(F.regexp_replace(full, f"{UNICODE_SPACE}+", " "))
+    return F.when(c.rlike(_KEY_NEEDS_WORK), full).otherwise(c)
 
 
 def match_spans(text: Column, pattern: str) -> Column:

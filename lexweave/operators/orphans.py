@@ -20,30 +20,37 @@ from lexweave.functions.text import reference_key
 
 ENTITY, CHUNK = "entity", "chunk"
 STATUS_SCHEMA = "ref_table string, ref_id string, ref_field string, ref_key string, loaded_at timestamp, status string"
-_FAR = "9999-12-31 00:00:00"
 
 
-def earliest(df: DataFrame, key: str, *columns: str) -> DataFrame:
-    """One row per key: of its deliveries the earliest, unknown times last; equal times by the columns' values."""
-    first = F.min(F.struct(F.coalesce("loaded_at", F.lit(_FAR).cast("timestamp")).alias("t"), *columns)).alias("first")
-    out = df.groupBy(key).agg(first)
-    return out.select(key, F.when(F.col("first.t") < F.lit(_FAR).cast("timestamp"), F.col("first.t")).alias("loaded_at"), *(F.col(f"first.{c}").alias(c) for c in columns))
+def _keyed(df: DataFrame, written: str) -> DataFrame:
+    """With the key's normal form; rows of a null or blank key are left out."""
+    keyed = df.where(F.col(written).isNotNull()).withColumn("key", reference_key(F.col(written)))
+    return keyed.where("key <> ''")
 
 
 def references(relationships: DataFrame, entities: DataFrame) -> DataFrame:
-    """Every reference as written, with the kind and the normal form of its key; null and blank ones are no references."""
-    rel = earliest(relationships.select("rel_id", "source", "target", "loaded_at"), "rel_id", "source", "target")
+    """Every reference as written, with the kind of its key and its record's earliest time; null and blank ones are no references.
+
+    A redelivered record repeats all columns but the time, so its rows fall together; rows of one id with other
+    ends are other references.
+    """
+    rel = relationships.groupBy("rel_id", "source", "target").agg(F.min("loaded_at").alias("loaded_at"))
     ends = rel.select(
         F.lit("relationships").alias("ref_table"), F.col("rel_id").cast("string").alias("ref_id"), "loaded_at",
         F.explode(F.array(*(F.struct(F.lit(f).alias("ref_field"), F.col(f).alias("ref_key"), F.lit(ENTITY).alias("kind")) for f in ("source", "target")))).alias("r"),
     )
-    ent = earliest(entities.select("id", "source_chunk_ids", "loaded_at"), "id", "source_chunk_ids")
+    ent = entities.groupBy("id", "source_chunk_ids").agg(F.min("loaded_at").alias("loaded_at"))
     chunks = ent.select(
         F.lit("entities").alias("ref_table"), F.col("id").alias("ref_id"), "loaded_at",
         F.explode(F.transform(F.array_distinct("source_chunk_ids"), lambda k: F.struct(F.lit("source_chunk_ids").alias("ref_field"), k.alias("ref_key"), F.lit(CHUNK).alias("kind")))).alias("r"),
     )
-    both = ends.unionByName(chunks).select("ref_table", "ref_id", "loaded_at", "r.*")
-    return both.withColumn("key", reference_key(F.col("ref_key"))).where("key is not null")
+    return ends.unionByName(chunks).select("ref_table", "ref_id", "loaded_at", "r.*")
+
+
+def written_keys(relationships: DataFrame, entities: DataFrame) -> DataFrame:
+    """The keys as written, of all rows: what the hot ones are counted over. No record needs to be found for that."""
+    ends = relationships.select(F.lit(ENTITY).alias("kind"), F.explode(F.array("source", "target")).alias("ref_key"))
+    return ends.unionByName(entities.select(F.lit(CHUNK).alias("kind"), F.explode("source_chunk_ids").alias("ref_key")))
 
 
 def parents(entities: DataFrame, text_units: DataFrame, tombstones: DataFrame) -> DataFrame:
@@ -51,7 +58,7 @@ def parents(entities: DataFrame, text_units: DataFrame, tombstones: DataFrame) -
     live = entities.select(F.lit(ENTITY).alias("kind"), F.col("name").alias("k"), F.col("loaded_at").alias("valid_from"), F.lit(True).alias("live"))
     live = live.unionByName(text_units.select(F.lit(CHUNK).alias("kind"), F.col("chunk_id").alias("k"), F.col("loaded_at").alias("valid_from"), F.lit(True).alias("live")))
     dead = tombstones.select("kind", F.col("deleted_key").alias("k"), F.lit(None).cast("timestamp").alias("valid_from"), F.lit(False).alias("live"))
-    rows = live.unionByName(dead).withColumn("key", reference_key(F.col("k"))).where("key is not null")
+    rows = _keyed(live.unionByName(dead), "k")
     return rows.groupBy("kind", "key").agg(F.min("valid_from").alias("valid_from"), F.max("live").alias("live"))
 
 
@@ -88,20 +95,26 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = (kind[i], key[i], bool(live[i]), int(valid[i]))
 
 
-def orphans(refs: DataFrame, keys: DataFrame, hot_share: float = 0.02, salts: int = 16, partitions: int | None = None) -> DataFrame:
+def hot_keys(written: DataFrame, hot_share: float) -> DataFrame:
+    """Normal forms of the written keys that hold at least ``hot_share`` of all: at most 1 / hot_share rows."""
+    counts = written.groupBy("kind", "ref_key").count()
+    hot = counts.where(F.col("count") >= F.lit(hot_share) * counts.agg(F.sum("count")).scalar())
+    return _keyed(hot, "ref_key").select("kind", "key").distinct()
+
+
+def orphans(refs: DataFrame, keys: DataFrame, written: DataFrame | None = None, hot_share: float = 0.02, salts: int = 16, partitions: int | None = None) -> DataFrame:
     """References whose key is ``missing``, ``deleted`` or ``late``; sound ones are left out.
 
-    refs: ref_table, ref_id, ref_field, ref_key, kind, key, loaded_at. keys: one row per (kind, key) with
-    valid_from and live. A null time on either side never makes a reference late. Repeated references stay
-    repeated; an empty refs gives an empty result, an empty keys makes every reference missing.
+    refs: ref_table, ref_id, ref_field, ref_key, kind, loaded_at. keys: one row per (kind, key) with valid_from and
+    live. written: kind and ref_key of all references, where they can be had more cheaply than from refs. A null
+    time on either side never makes a reference late. Repeated references stay repeated; an empty refs gives an
+    empty result, an empty keys makes every reference missing.
     """
-    spark = refs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = refs.groupBy("kind", "key").count()
-    hot = counts.where(F.col("count") >= F.lit(hot_share) * counts.agg(F.sum("count")).scalar()).select("kind", "key", F.lit(salts).alias("spread"))
-    refs = refs.join(F.broadcast(hot), ["kind", "key"], "left")
+    n = partitions or int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = hot_keys(refs.select("kind", "ref_key") if written is None else written, hot_share).withColumn("spread", F.lit(salts))
+    own = _keyed(refs, "ref_key").join(F.broadcast(hot), ["kind", "key"], "left")
     salt: Column = F.when(F.col("spread").isNull(), 0).otherwise(F.pmod(F.hash("ref_table", "ref_id", "ref_field"), F.lit(salts)))
-    right = refs.select("kind", "key", salt.cast("int").alias("salt"), F.lit(True).alias("is_ref"), F.lit(None).cast("timestamp").alias("valid_from"), F.lit(None).cast("boolean").alias("live"), "ref_table", "ref_id", "ref_field", "ref_key", "loaded_at")
+    right = own.select("kind", "key", salt.cast("int").alias("salt"), F.lit(True).alias("is_ref"), F.lit(None).cast("timestamp").alias("valid_from"), F.lit(None).cast("boolean").alias("live"), "ref_table", "ref_id", "ref_field", "ref_key", "loaded_at")
     null = lambda c, t: F.lit(None).cast(t).alias(c)
     left = keys.join(F.broadcast(hot), ["kind", "key"], "left").select(
         "kind", "key", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("spread") - 1, F.lit(0)))).alias("salt"), F.lit(False).alias("is_ref"), "valid_from", "live",
@@ -113,7 +126,7 @@ def orphans(refs: DataFrame, keys: DataFrame, hot_share: float = 0.02, salts: in
 
 def orphan_references(relationships: DataFrame, entities: DataFrame, text_units: DataFrame, tombstones: DataFrame, **options) -> DataFrame:
     """All orphan references of the graph tables, with the referring record's earliest loaded_at."""
-    return orphans(references(relationships, entities), parents(entities, text_units, tombstones), **options)
+    return orphans(references(relationships, entities), parents(entities, text_units, tombstones), written_keys(relationships, entities), **options)
 
 
 def orphan_report(found: DataFrame) -> DataFrame:
