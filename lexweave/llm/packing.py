@@ -2,21 +2,22 @@
 
 Sum-of-squares packing: each item goes where the sum of the squared numbers of open containers per residual gap
 becomes least; of equal places, to the one that it fills most. Documents are spread by a hash of their id over
-buckets, each packed on its own, the largest items first; only ids and sizes are shuffled. A bucket leaves some
-containers partly open, so its size sets the loss: about ``bucket_items`` documents, far more than one needs.
+buckets, each packed on its own, the largest items first; only ids and sizes are shuffled. A bucket leaves a few
+containers partly open, so the loss falls with its size.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+
+from lexweave.llm.rows import map_rows
 
 CAPACITY = 2048
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -31,16 +32,14 @@ def encoding(path: str = VOCABULARY) -> tiktoken.Encoding:
     return tiktoken.Encoding("own", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counter(path: str = VOCABULARY) -> Callable:
-    """A column function for the number of tokens; null for null. The vocabulary is read once in each worker."""
+def token_sizes(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """doc_id and n_tokens, 0 for a null text. The vocabulary is read once in each task."""
 
-    @F.pandas_udf(IntegerType())
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def make() -> Callable:
         e = encoding(path)
-        for b in batches:
-            yield pd.Series([None if v is None else len(e.encode_ordinary(v)) for v in b], dtype="Int32", index=b.index)
+        return lambda doc, text: [(doc, len(e.encode_ordinary(text)) if text else 0)]
 
-    return count
+    return map_rows(documents.select("doc_id", "text"), make, StructType([StructField("doc_id", LongType()), StructField("n_tokens", IntegerType())]))
 
 
 class SumOfSquares:
@@ -77,23 +76,26 @@ class SumOfSquares:
         return number
 
 
-PACKED = "doc_id long, part int, n_tokens int, bucket int, container int"
+PACKED = StructType([StructField("doc_id", LongType()), StructField("part", IntegerType()), StructField("n_tokens", IntegerType()), StructField("container_id", StringType())])
+
+
+def _packer(capacity: int) -> Callable:
+    """Rows come sorted by bucket; a bucket's state ends with it."""
+
+    def make() -> Callable:
+        state, bucket = SumOfSquares(capacity), None
 
+        def place(doc: int, part: int, size: int, own: int) -> list[tuple]:
+            nonlocal state, bucket
+            if not size:
+                return [(doc, part, 0, None)]
+            if own != bucket:
+                state, bucket = SumOfSquares(capacity), own
+            return [(doc, part, size, f"{own}-{state.place(size)}")]
 
-def _pack(capacity: int) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, bucket = None, None
-        for b in batches:
-            if not len(b):
-                continue
-            number = np.empty(len(b), np.int32)
-            for i, (size, own) in enumerate(zip(b["n_tokens"].tolist(), b["bucket"].tolist(), strict=True)):
-                if own != bucket:
-                    state, bucket = SumOfSquares(capacity), own
-                number[i] = state.place(size)
-            yield b.assign(container=number)[["doc_id", "part", "n_tokens", "bucket", "container"]]
+        return place
 
-    return run
+    return make
 
 
 def pack(sizes: DataFrame, capacity: int = CAPACITY, buckets: int | None = None) -> DataFrame:
@@ -103,16 +105,13 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, buckets: int | None = None)
     null text, takes no room and gets a null container. Repeated doc_ids are packed as often as they come.
     """
     n = buckets or int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    full = F.floor((F.col("n_tokens") - 1) / capacity).cast("int")
-    parts = sizes.where("n_tokens > 0").select(
-        "doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), full), lambda i: F.least(F.lit(capacity), F.col("n_tokens") - i * capacity).cast("int"))).alias("part", "n_tokens")
-    )
+    size = F.coalesce("n_tokens", F.lit(0))
+    full = F.floor(F.greatest(size - 1, F.lit(0)) / capacity).cast("int")
+    parts = sizes.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), full), lambda i: F.least(F.lit(capacity), size - i * capacity).cast("int"))).alias("part", "n_tokens"))
     parts = parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
     spread = parts.repartition(n, "bucket").sortWithinPartitions("bucket", F.desc("n_tokens"), "doc_id", "part")
-    packed = spread.mapInPandas(_pack(capacity), PACKED)
-    empty = sizes.where("n_tokens is null or n_tokens = 0").select("doc_id", F.lit(0).alias("part"), F.lit(0).alias("n_tokens"), F.lit(None).cast("string").alias("container_id"))
-    return packed.select("doc_id", "part", "n_tokens", F.concat_ws("-", "bucket", "container").alias("container_id")).unionByName(empty)
+    return map_rows(spread, _packer(capacity), PACKED)
 
 
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, buckets: int | None = None) -> DataFrame:
-    return pack(documents.select("doc_id", token_counter(vocabulary)("text").alias("n_tokens")), capacity, buckets)
+    return pack(token_sizes(documents, vocabulary), capacity, buckets)
