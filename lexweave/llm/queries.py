@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import leaks, packing, pieces
+from lexweave.llm import leaks, packing, pieces, sentences
 from lexweave.sources.tables import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, sf_dir, "legal_sections"), table(spark, sf_dir, "niti_results"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.oversized_tables(table(spark, sf_dir, "legal_sections"), table(spark, sf_dir, "text_units")).select("rec_table", "rec_id")
 
@@ -33,11 +37,11 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found, "p5_pieces": p5_pieces, "p7_containers": p7_containers, "p8_found": p8_found, "p8_report": p8_report}
+    return {"p2_found": p2_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_containers": p7_containers, "p8_found": p8_found, "p8_report": p8_report}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": P5_FOUND}
+    return {"p2_found": p2_found, "p5_found": P5_FOUND}
 
 
 P5_FOUND = r"""
