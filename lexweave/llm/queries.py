@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import leaks, packing, pieces, sentences
+from lexweave.llm import leaks, packing, pieces, sentences, truncation
 from lexweave.sources.tables import table
 
 
@@ -23,6 +23,14 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_rows(pieces.oversized_tables(table(spark, sf_dir, "legal_sections"), table(spark, sf_dir, "text_units")))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated(table(spark, sf_dir, "entities"), table(spark, sf_dir, "niti_results")).select("rec_table", "rec_id")
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncation_report(table(spark, sf_dir, "entities"), table(spark, sf_dir, "niti_results"))
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -37,7 +45,7 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_containers": p7_containers, "p8_found": p8_found, "p8_report": p8_report}
+    return {"p2_found": p2_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_report": p6_report, "p7_containers": p7_containers, "p8_found": p8_found, "p8_report": p8_report}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -30,12 +30,12 @@ ORDERS = (8, 14, 22, 32)
 RUNS = (4, 6)
 #: Weight of the shorter context; thresholds of the two log-odds against the mean of column and script.
 BACKOFF, RUN_BACKOFF = 12.0, 2.0
-SENTENCE_ODDS, DOTTED_ODDS, WORD_CHANCE = -1.5, -3.0, 0.03
+SENTENCE_ODDS, DOTTED_ODDS, WORD_CHANCE = -1.0, -3.0, 0.03
 FLUSH = 400_000
 
 #: Marks left out at an end; what stands in the place of a lost rest; what begins after a hard break.
 MARKS = r".,!?;:\"”」』'()\[\]…*»。，、；：？！）】\-"
-LOST = re.compile(r"(?:…|\.\.\.+|�|\[\.\.\.\]|\[…\])[\s\"”'」)]*$")
+LOST = re.compile(r"(?:…|\.\.\.+|�|\[\.\.\.\]|\[…\])[\s\"”'」)]*$|[0-9๐-๙],\s*$|[(（「『][^)）」』\n]{0,60}$")
 AFTER_BREAK = r"[ ]*(?:\(?0[)）]|[-•] |#|\*\*|มาตราที่เกี่ยวข้อง|Sections)"
 
 _INVISIBLE = dict.fromkeys([0x200B, 0x200C, 0x200D, 0xFEFF])
@@ -71,7 +71,7 @@ class Tail:
         t = normal(text or "")
         b = body(t)
         flat = b.replace("\n", " ")
-        #: 0: the model decides, 1: something stands for the rest or half a character is left, 2: whole, or no text at all
+        #: 0: the model decides, 1: something stands for the rest, half a character or number is left or a bracket is open, 2: whole, or no text at all
         self.mark = 2 if not any(c.isalnum() for c in b) else 1 if LOST.search(text or "") else 2 if _FULL_STOP.search(t.rstrip()) else 0
         self.group = column + script(flat[-40:])
         self.dotted = dot = "." if self.group[-1] == "l" and _DOT.search(t.rstrip()) else ""
@@ -203,7 +203,7 @@ def judged(values: DataFrame) -> DataFrame:
     found = found.select(*_KIND, word.alias("word_chance"), F.least(end, F.lit(0.999)).alias("end_chance"), F.least(base, F.lit(0.999)).alias("base"))
     found = found.withColumn("unsound", (F.col("word_chance") < WORD_CHANCE) | (odds(F.col("end_chance")) - odds(F.col("base")) < F.when(F.col("dotted") == 1, DOTTED_ODDS).otherwise(SENTENCE_ODDS)))
     out = own.join(found, _KIND, "left")
-    return out.select("rec_table", "rec_id", "mark", "word_chance", "end_chance", "base", ((F.col("mark") == 1) | F.coalesce("unsound", F.lit(False))).alias("cut"))
+    return out.select("rec_table", "rec_id", "mark", "word_chance", "end_chance", "base", ((F.col("mark") == 1) | ((F.col("mark") == 0) & F.coalesce("unsound", F.lit(False)))).alias("cut"))
 
 
 def text_values(entities: DataFrame, niti_results: DataFrame) -> DataFrame:
