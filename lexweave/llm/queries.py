@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import leaks, packing, pieces, sentences, truncation
+from lexweave.llm import leaks, overlaps, packing, pieces, sentences, truncation
 from lexweave.sources.tables import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = overlaps.overlaps(table(spark, sf_dir, "qa_pairs"))
+    return pairs.select(F.least("qa_id_e", "qa_id_t").alias("qa_id_a"), F.greatest("qa_id_e", "qa_id_t").alias("qa_id_b")).distinct()
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    qa = table(spark, sf_dir, "qa_pairs")
+    return overlaps.overlap_report(overlaps.overlaps(qa), qa)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(table(spark, sf_dir, "legal_sections"), table(spark, sf_dir, "niti_results"))
 
@@ -45,7 +55,7 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_report": p6_report, "p7_containers": p7_containers, "p8_found": p8_found, "p8_report": p8_report}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_report": p6_report, "p7_containers": p7_containers, "p8_found": p8_found, "p8_report": p8_report}
 
 
 def oracle_sql() -> dict[str, str]:
