@@ -3,7 +3,7 @@
 A backward character n-gram model over ends. Wherever a run of text ends inside a value, at white space or at a mark of
 a script without spaces, and where a value itself ends, the last characters before it are counted at several lengths:
 how often the text stops there for good (end of the value, a blank line, a list mark or a heading or citation line next)
-and how often it goes on. Shorter contexts count, too, how often they end a run at all and how often they stand inside one.
+and how often it goes on. Of the last RUN characters it is also counted how often they end a run and how often they occur.
 For each value two chances follow, interpolated from the shortest context to the longest and without the value's own
 count: that its last characters end a run (else it was cut within a word or number), and that a run ending so ends the
 text (else within a sentence). Both are compared, as log-odds, with the mean of the value's column and script.
@@ -16,22 +16,23 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
-from lexweave.llm.rows import map_rows
+from lexweave.llm.windows import SUB_BATCH, Windows, mixed, tally
 
 ORDERS = (8, 14, 22, 32)
-RUNS = (4, 6)
+RUN = 5
 #: Weight of the shorter context; thresholds of the two log-odds against the mean of column and script.
 BACKOFF, RUN_BACKOFF = 12.0, 2.0
 SENTENCE_ODDS, DOTTED_ODDS, WORD_CHANCE = -1.0, -3.0, 0.03
-FLUSH = 400_000
+TAIL_CHARS = 240
 
 #: Marks left out at an end; what stands in the place of a lost rest; what begins after a hard break.
 MARKS = r".,!?;:\"”」』'()\[\]…*»。，、；：？！）】\-"
@@ -39,22 +40,23 @@ LOST = re.compile(r"(?:…|\.\.\.+|�|\[\.\.\.\]|\[…\])[\s\"”'」)]*$|[0-9
 AFTER_BREAK = r"[ ]*(?:\(?0[)）]|[-•] |#|\*\*|มาตราที่เกี่ยวข้อง|Sections)"
 
 _INVISIBLE = dict.fromkeys([0x200B, 0x200C, 0x200D, 0xFEFF])
-_NUMBER, _BLANK = re.compile(r"[0-9๐-๙]+"), re.compile(r"[^\S\n]+")
+_NUMBER, _BLANK = re.compile(r"[0-9๐-๙]+"), re.compile(r"[^\S\n]{2,}|[^\S\n ]")
 _END = re.compile(rf"[{MARKS}]*(?:(\s*\n\s*\n\s*|\s*\n(?={AFTER_BREAK}))|(\s*\n\s*)|\s)|[。，、；：？！]+[”」』）)]*")
 _STRIP = re.compile(rf"[\s{MARKS}�]+$")
 _FULL_STOP = re.compile(r"[!?。！？][\"”'」』)）]*$")
 _DOT = re.compile(r"[A-Za-zÄÖÜäöüß0-9)]\.[\"”')]*$")
-_THAI, _CJK = re.compile(r"[ก-๛]"), re.compile(r"[぀-ヿ一-鿿]")
+_THAI, _CJK, _ODD = re.compile(r"[ก-๛]"), re.compile(r"[぀-ヿ一-鿿]"), re.compile("[\u200b-\u200d\ufeff]")
 
 
 def normal(text: str) -> str:
-    t = text.translate(_INVISIBLE).replace("\r\n", "\n").replace("\r", "\n")
-    t = _NUMBER.sub("0", unicodedata.normalize("NFC", t))
-    return _BLANK.sub(" ", t)
+    t = text.translate(_INVISIBLE) if _ODD.search(text) else text
+    t = t.replace("\r\n", "\n").replace("\r", "\n") if "\r" in t else t
+    t = t if unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t)
+    return _BLANK.sub(" ", _NUMBER.sub("0", t))
 
 
-def script(tail: str) -> str:
-    return "t" if _THAI.search(tail) else "c" if _CJK.search(tail) else "l"
+def script(tail: str) -> int:
+    return 1 if _THAI.search(tail) else 2 if _CJK.search(tail) else 3
 
 
 def body(t: str) -> str:
@@ -62,113 +64,123 @@ def body(t: str) -> str:
     return _STRIP.sub("", t)
 
 
+def group(column: str, flat: str) -> int:
+    """Number of the column and script that a value belongs to."""
+    return 4 * sum(column.encode()) + script(flat[-40:])
+
+
 class Tail:
-    """Of one value the last contexts and what its very end shows."""
+    """Of one value the last characters and what its very end shows."""
 
-    __slots__ = ("mark", "group", "dotted", "ends", "runs")
+    __slots__ = ("mark", "dotted", "flat", "group")
 
     def __init__(self, column: str, text: str | None):
-        t = normal(text or "")
-        b = body(t)
-        flat = b.replace("\n", " ")
+        text = text or ""
+        last = normal(text[-TAIL_CHARS:])
+        b = body(last)
+        if len(b) < 2 * ORDERS[-1] and len(text) > TAIL_CHARS:
+            last = normal(text)
+            b = body(last)
+        self.flat = b.replace("\n", " ")
         #: 0: the model decides, 1: something stands for the rest, half a character or number is left or a bracket is open, 2: whole, or no text at all
-        self.mark = 2 if not any(c.isalnum() for c in b) else 1 if LOST.search(text or "") else 2 if _FULL_STOP.search(t.rstrip()) else 0
-        self.group = column + script(flat[-40:])
-        self.dotted = dot = "." if self.group[-1] == "l" and _DOT.search(t.rstrip()) else ""
-        self.ends = [f"{self.group}{k}{dot}|{flat[-k:]}" for k in ORDERS]
-        self.runs = [f"{self.group}r{k}|{flat[-k:]}" for k in RUNS]
-
-
-def _hash(s: str) -> int:
-    h = xxhash.xxh3_64_intdigest(s)
-    return h - (1 << 64) if h >> 63 else h
-
-
-def count_contexts(column: str, text: str | None, ends: dict[str, list[int]]) -> None:
-    """Adds one value's inner contexts: [ends, goes on], and for runs [ends a run, occurs]."""
-    b = body(normal(text or ""))
-    if not b:
-        return
-    flat = b.replace("\n", " ")
-    group = column + script(flat[-40:])
-    get = ends.get
-    prefixes = [(k, f"{group}{k}|") for k in ORDERS]
-    dotted = [(k, f"{group}{k}.|") for k in ORDERS]
-    latin = group[-1] == "l"
-    run4, run6 = f"{group}r4|", f"{group}r6|"
-    for m in _END.finditer(b):
-        e = m.start()
-        if not e:
-            continue
-        for p, k in ((run4, 4), (run6, 6)):
-            c = p + flat[max(0, e - k) : e]
-            v = get(c)
-            if v is None:
-                ends[c] = [1, 0]
-            else:
-                v[0] += 1
-        if m.group(2):  # a single line break may be a wrap
-            continue
-        which = 0 if m.group(1) else 1
-        for k, p in dotted if latin and b[e] == "." else prefixes:
-            c = p + flat[max(0, e - k) : e]
-            v = get(c)
-            if v is None:
-                ends[c] = v = [0, 0]
-            v[which] += 1
-    for p, k in ((run4, 4), (run6, 6)):
-        for i in range(len(flat) - k + 1):
-            c = p + flat[i : i + k]
-            v = get(c)
-            if v is None:
-                ends[c] = [0, 1]
-            else:
-                v[1] += 1
-    total = get(group)
-    if total is None:
-        ends[group] = total = [0, 0]
-    total[1] += sum(1 for _ in _END.finditer(b))
+        self.mark = 2 if not any(c.isalnum() for c in b) else 1 if LOST.search(text) else 2 if _FULL_STOP.search(last.rstrip()) else 0
+        self.group = group(column, self.flat)
+        self.dotted = int(script(self.flat[-40:]) == 3 and bool(_DOT.search(last.rstrip())))
 
 
 _COUNTS = pa.schema([("h", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+#: Kinds of contexts, mixed into their hashes: the group's total, a run, an end by its order's place, the same before a dot.
+TOTAL, RUN_KIND, END_KIND, DOTTED_KIND = 1, 2, 10, 20
+
+
+def count_contexts(columns: list[str], texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the values' inner contexts, with [ends, goes on]; of runs with [ends a run, occurs]."""
+    flats, groups, ends, kinds, owner = [], [], [], [], []
+    for column, text in zip(columns, texts, strict=True):
+        b = body(normal(text))
+        if not b:
+            continue
+        flat = b.replace("\n", " ")
+        g = group(column, flat)
+        latin, own = g & 3 == 3, len(flats)
+        for m in _END.finditer(b):
+            e = m.start()
+            if e:
+                last = m.lastindex  # 1: a hard break, 2: a single line break, which may be a wrap
+                ends.append(e)
+                owner.append(own)
+                kinds.append((0 if last == 1 else 2 if last == 2 else 1) + (4 if latin and b[e] == "." else 0))
+        flats.append(flat)
+        groups.append(g)
+    if not flats:
+        none = np.empty(0, np.int64)
+        return none, none, none
+    w = Windows(flats)
+    gs = np.asarray(groups, np.uint64)
+    at = w.offsets[owner] + np.asarray(ends, np.int64) if ends else np.empty(0, np.int64)
+    first, kind, g_end = w.offsets[owner] if ends else at, np.asarray(kinds, np.int64), gs[owner] if ends else np.empty(0, np.uint64)
+    parts = []
+    run = w.hashes(np.maximum(first, at - RUN), at)
+    parts.append((mixed(run, g_end, RUN_KIND), np.ones(len(at), np.int64), np.zeros(len(at), np.int64)))
+    firm = kind & 3 != 2
+    for i, k in enumerate(ORDERS):
+        f, a, kd = first[firm], at[firm], kind[firm]
+        h = mixed(w.hashes(np.maximum(f, a - k), a), g_end[firm], np.where(kd & 4, DOTTED_KIND + i, END_KIND + i).astype(np.uint64))
+        stays = (kd & 3 == 0).astype(np.int64)
+        parts.append((h, stays, 1 - stays))
+    starts, whose = w.every(RUN)
+    parts.append((mixed(w.hashes(starts, starts + RUN), gs[whose], RUN_KIND), np.zeros(len(starts), np.int64), np.ones(len(starts), np.int64)))
+    parts.append((mixed(np.zeros(len(at), np.uint64), g_end, TOTAL), np.zeros(len(at), np.int64), np.ones(len(at), np.int64)))
+    return tally(parts)
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ends: dict[str, list[int]] = {}
+    columns: list[str] = []
+    texts: list[str] = []
+    size = 0
 
     def out() -> pa.RecordBatch:
-        rows = [(_hash(c), *v) for c, v in ends.items()]
-        ends.clear()
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else ((), (), ()))], schema=_COUNTS)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in count_contexts(columns, texts)], schema=_COUNTS)
 
     for batch in batches:
         for column, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            count_contexts(column, text, ends)
-            if len(ends) >= FLUSH:
-                yield out()
+            if text:
+                columns.append(column)
+                texts.append(text)
+                size += len(text)
+                if size >= SUB_BATCH:
+                    yield out()
+                    columns, texts, size = [], [], 0
     yield out()
 
 
+_HASHES = ["g", *(f"e{k}" for k in ORDERS), "r"]
+_KIND = ["dotted", *_HASHES]
 _TAIL = StructType(
-    [StructField("rec_table", StringType()), StructField("rec_id", StringType()), StructField("t", TimestampType()), StructField("mark", IntegerType())]
-    + [StructField("dotted", IntegerType())]
-    + [StructField(c, LongType()) for c in ("g", *(f"e{k}" for k in ORDERS), *(f"r{k}" for k in RUNS))]
+    [StructField("rec_table", StringType()), StructField("rec_id", StringType()), StructField("t", TimestampType()), StructField("mark", IntegerType()), StructField("dotted", IntegerType())]
+    + [StructField(c, LongType()) for c in _HASHES]
 )
-_HASHES = [f.name for f in _TAIL.fields[5:]]
-_KIND = ["dotted", *_HASHES]
 
 
-def tails(values: DataFrame) -> DataFrame:
-    """values: rec_table, rec_id, t, text. One row per record, of its earliest delivery."""
-
-    def make() -> Callable:
-        def tail(table: str, key: str, t, text: str | None) -> list[tuple]:
-            v = Tail(table[0], text)
-            return [(table, key, t, v.mark, int(bool(v.dotted)), _hash(v.group), *map(_hash, v.ends), *map(_hash, v.runs))]
+def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = to_arrow_schema(_TAIL)
+    for b in batches:
+        own = [Tail(t, x) for t, x in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True)]
+        if not own:
+            continue
+        w = Windows([v.flat for v in own])
+        first, at = w.offsets[:-1], w.offsets[1:] - 1
+        g, dotted = np.asarray([v.group for v in own], np.uint64), np.asarray([v.dotted for v in own], np.uint64)
+        hashes = [mixed(np.zeros(len(own), np.uint64), g, TOTAL)]
+        hashes += [mixed(w.hashes(np.maximum(first, at - k), at), g, END_KIND + i + (DOTTED_KIND - END_KIND) * dotted) for i, k in enumerate(ORDERS)]
+        hashes.append(mixed(w.hashes(np.maximum(first, at - RUN), at), g, RUN_KIND))
+        columns = [b.column(0), b.column(1), b.column(2), pa.array([v.mark for v in own], pa.int32()), pa.array([v.dotted for v in own], pa.int32()), *(pa.array(h.view(np.int64)) for h in hashes)]
+        yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-        return tail
 
-    rows = map_rows(values, make, _TAIL)
+def tails(values: DataFrame) -> DataFrame:
+    """values: rec_table, rec_id, t, text. One row per record, of its earliest delivery."""
+    rows = values.mapInArrow(_tails, _TAIL)
     first = F.min(F.struct(F.coalesce("t", F.lit("9999-12-31").cast("timestamp")).alias("t"), "mark", *_KIND)).alias("f")
     return rows.groupBy("rec_table", "rec_id").agg(first).select("rec_table", "rec_id", "f.*")
 
@@ -187,7 +199,7 @@ def judged(values: DataFrame) -> DataFrame:
     what all values of the same column and script show; in a table of a few rows most stay undecided, that is, whole.
     """
     own = tails(values)
-    inner = values.select(F.substring("rec_table", 1, 1).alias("c"), "text").mapInArrow(_counter, "h long, a long, b long")
+    inner = values.select("rec_table", "text").mapInArrow(_counter, "h long, a long, b long")
     ended = own.where("mark <> 2").select(F.explode(F.array(*(F.struct(F.col(c).alias("h"), F.lit(1).alias("a"), F.lit(0).alias("b")) for c in _HASHES))).alias("x")).select("x.*")
     counts = inner.unionByName(ended).groupBy("h").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     # of equal last contexts one stands for all, so that a common end is one row in the join
@@ -197,7 +209,7 @@ def judged(values: DataFrame) -> DataFrame:
     found = found.fillna(0)
     base = F.greatest(F.col("g_a"), F.lit(1)) / F.greatest(F.col("g_a") + F.col("g_b"), F.lit(1))
     # a run's own last character run counts as one of those that occur
-    word = _interpolate([(F.col(f"r{k}_a"), F.greatest(F.col(f"r{k}_b"), F.col(f"r{k}_a"))) for k in RUNS], F.lit(0.1), RUN_BACKOFF)
+    word = _interpolate([(F.col("r_a"), F.greatest("r_b", "r_a"))], F.lit(0.1), RUN_BACKOFF)
     end = _interpolate([(F.col(f"e{k}_a"), F.col(f"e{k}_a") + F.col(f"e{k}_b")) for k in ORDERS], base, BACKOFF)
     odds = lambda p: F.log(p / (1 - p))
     found = found.select(*_KIND, word.alias("word_chance"), F.least(end, F.lit(0.999)).alias("end_chance"), F.least(base, F.lit(0.999)).alias("base"))
