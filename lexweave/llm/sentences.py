@@ -6,7 +6,7 @@ read in normal form (no invisible characters, every number as 0), and the kind o
 
 The model is trained here by a structured perceptron. List items stand on their own lines, each one unit: stripped of
 their marks and line ends and joined by spaces they are text of known boundaries, which is all that teaches Thai, where
-nothing marks an end. At most ``SAMPLE`` items of each script class are taken, by a hash of their text.
+nothing marks an end. At most ``SAMPLE`` items are taken, by a hash of their text.
 
 What layout decides is no matter of the model: quotations and list items are never divided; a blank line, a list mark, a
 heading or a citation line begins a unit; a section heading, a label or an apology stays with what follows it.
@@ -25,7 +25,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 from lexweave.llm.rows import earliest_result, map_rows
 
-SAMPLE, EPOCHS, SEED = 10_000, 4, 7
+SAMPLE, EPOCHS, SEED = 8000, 3, 7
 LEFT, RIGHT = (1, 2, 3, 4, 6, 8, 11, 14, 18, 24, 30), (1, 2, 3, 4, 6, 8, 11, 14, 18, 24)
 #: A first line is a heading if it is this short and opens at least this share of the texts that have several lines.
 HEADING_CHARS, HEADING_SHARE = 40, 0.004
@@ -50,22 +50,27 @@ _NUMBER = re.compile(r"[0-9๐-๙]+(?:[,./:\-][0-9๐-๙]+)*")
 _INVISIBLE = dict.fromkeys([0x200B, 0x200C, 0x200D, 0xFEFF])
 _LINE = re.compile(r"\r\n?|\n")
 _THAI = re.compile(r"[ก-๛]")
-_CLEAN = re.compile(r"[!-~]*")
 QUOTE_REACH = 400
 
 
-def _form(token: str) -> str:
-    t = unicodedata.normalize("NFC", token.translate(_INVISIBLE))
-    return "เดือน" if t in MONTHS else _NUMBER.sub("0", t)
+class Words(dict):
+    """Token to what is to be known of it; emptied when it has grown large.
 
+    (normal form, script: 1 Thai, -1 other letters, 0 neither; its last stop: 2 wide, 1 other, 0 none; ends with a colon;
+    is an apology; holds a wide stop)
+    """
 
-class Forms(dict):
-    """Token to its normal form; emptied when it has grown large."""
-
-    def __missing__(self, token: str) -> str:
+    def __missing__(self, token: str) -> tuple[str, int, int, bool, bool, bool]:
         if len(self) > 200_000:
             self.clear()
-        self[token] = out = _form(token)
+        t = unicodedata.normalize("NFC", token.translate(_INVISIBLE))
+        form = "เดือน" if t in MONTHS else _NUMBER.sub("0", t)
+        script = 1 if _THAI.search(token) else -1 if any(c.isalpha() for c in token) else 0
+        i = len(token) - 1
+        while i >= 0 and token[i] in CLOSERS:
+            i -= 1
+        stop = 0 if i < 0 else 2 if token[i] in WIDE_STOPS else 1 if token[i] in STOPS else 0
+        self[token] = out = (form, script, stop, token[-1] in ":：", token in APOLOGY, not WIDE_STOPS.isdisjoint(token))
         return out
 
 
@@ -87,89 +92,82 @@ def quoted(text: str) -> list[tuple[int, int]]:
 class Candidates:
     """The places of one text where a unit could end, and what layout says of each: True, False, or None for the model."""
 
-    __slots__ = ("spans", "ends", "gaps", "fixed", "at")
+    __slots__ = ("spans", "forms", "gaps", "fixed")
 
-    def __init__(self, text: str, headings: frozenset[str] = frozenset()):
-        tokens: list[tuple[int, int]] = []
+    def __init__(self, text: str, words: Words, headings: frozenset[str] = frozenset()):
+        spans: list[tuple[int, int]] = []
+        infos: list[tuple] = []
         for m in _TOKEN.finditer(text):
-            a, b = m.span()
-            if not WIDE_STOPS.isdisjoint(m.group()):  # a script without spaces: its stops end tokens
-                start = a
-                i = a
-                while i < b:
-                    if text[i] in WIDE_STOPS:
-                        while i + 1 < b and (text[i + 1] in CLOSERS or text[i + 1] in WIDE_STOPS):
-                            i += 1
-                        tokens.append((start, i + 1))
-                        start = i + 1
-                    i += 1
-                if start < b:
-                    tokens.append((start, b))
+            info = words[m.group()]
+            if info[5]:  # a script without spaces: its stops end tokens
+                self._split(text, m.start(), m.end(), words, spans, infos)
             else:
-                tokens.append((a, b))
-        self.spans = tokens
+                spans.append(m.span())
+                infos.append(info)
+        self.spans, self.forms = spans, [i[0] for i in infos]
         self.fixed: list[bool | None] = []
         self.gaps: list[str] = []
-        self.at: list[int] = []
-        if not tokens:
+        if len(spans) < 2:
             return
+        fixed_, gaps_ = self.fixed.append, self.gaps.append
         quotes = quoted(text)
         section = SECTION.match(text)
         heading_end = section.end() if section else -1
-        q = 0
+        q, n_quotes, thai = 0, len(quotes), False
         in_item, in_citation = bool(LIST_MARK.match(text)), bool(CITATION.match(text))
-        for k in range(len(tokens) - 1):
-            end, nxt = tokens[k][1], tokens[k + 1][0]
-            gap = text[end:nxt]
-            lines = len(_LINE.findall(gap)) if ("\n" in gap or "\r" in gap) else 0
-            while q < len(quotes) and quotes[q][1] + 1 < end:
+        for k in range(len(spans) - 1):
+            end, nxt = spans[k][1], spans[k + 1][0]
+            _, script, stop, colon, apology, _ = infos[k]
+            if script:
+                thai = script > 0
+            while q < n_quotes and quotes[q][1] + 1 < end:
                 q += 1
-            within = q < len(quotes) and quotes[q][0] < end <= quotes[q][1]
-            last = text[end - 1]
-            fixed: bool | None
-            if lines:
-                line_start = max(text.rfind("\n", 0, end), text.rfind("\r", 0, end)) + 1
-                line = text[line_start:end].strip()
-                mark = LIST_MARK.match(text, _line_begin(text, nxt))
-                cite = CITATION.match(text, _line_begin(text, nxt))
-                if within and lines < 2:
-                    fixed = False
-                elif end <= heading_end:
-                    fixed = False
-                elif lines > 1 or mark or cite or HEADING_MARK.match(text, _line_begin(text, nxt)) or HEADING_MARK.match(text, line_start) or line in headings:
-                    fixed = not (lines == 1 and not cite and not mark and line in APOLOGY)
-                elif in_citation:
-                    fixed = not gap.endswith(("  ", "\t"))
-                elif line in APOLOGY:
-                    fixed = False
-                elif line.endswith((":", "：")) and len(line) <= HEADING_CHARS:
-                    fixed = True
+            within = q < n_quotes and quotes[q][0] < end <= quotes[q][1]
+            gap = text[end:nxt] if nxt - end != 1 or text[end] != " " else " "
+            if gap == " " or ("\n" not in gap and "\r" not in gap):
+                gaps_("S")
+                if within or in_item or in_citation or end <= heading_end:
+                    fixed_(False)
+                elif not gap:
+                    fixed_(not (q < n_quotes and quotes[q][1] == end - 1))  # a stop inside a quotation ends only that
                 else:
-                    fixed = self._open(text, end, last)
-                if fixed is not False:
-                    in_item, in_citation = bool(mark), bool(cite)
-            elif within or in_item or in_citation or end <= heading_end:
+                    fixed_(False if apology or colon else True if stop == 2 else None if stop or thai else False)
+                continue
+            lines = len(_LINE.findall(gap))
+            begin, start = _line_begin(text, nxt), _line_begin(text, end)
+            line = text[start:end].strip()
+            mark, cite = LIST_MARK.match(text, begin), CITATION.match(text, begin)
+            if (within and lines < 2) or end <= heading_end:
+                fixed = False
+            elif lines > 1 or mark or cite or HEADING_MARK.match(text, begin) or HEADING_MARK.match(text, start) or line in headings:
+                fixed = not (lines == 1 and not cite and not mark and line in APOLOGY)
+            elif in_citation:
+                fixed = not gap.endswith(("  ", "\t"))
+            elif line in APOLOGY:
                 fixed = False
-            elif not gap:
-                fixed = not (q < len(quotes) and quotes[q][1] == end - 1)  # a stop inside a quotation ends only that
+            elif colon and len(line) <= HEADING_CHARS:
+                fixed = True
             else:
-                word = text[tokens[k][0] : end]
-                fixed = False if word in APOLOGY or last in ":：" else self._open(text, end, last)
-            self.fixed.append(fixed)
-            self.gaps.append("P" if lines > 1 else "N" if lines else "S")
+                fixed = True if stop == 2 else None if stop or thai else False
+            if fixed is not False:
+                in_item, in_citation = bool(mark), bool(cite)
+            fixed_(fixed)
+            gaps_("P" if lines > 1 else "N")
 
     @staticmethod
-    def _open(text: str, end: int, last: str) -> bool | None:
-        """None where the model decides: anywhere in Thai, elsewhere only after a stop."""
-        i = end - 1
-        while i >= 0 and (text[i] in CLOSERS):
-            i -= 1
-        stop = text[i] if i >= 0 else ""
-        if stop in WIDE_STOPS:
-            return True
-        if stop and stop in STOPS:
-            return None
-        return None if _THAI.search(text, max(0, end - 60), end) or last in "ฯๆ" else False
+    def _split(text: str, i: int, end: int, words: Words, spans: list[tuple[int, int]], infos: list[tuple]) -> None:
+        start = i
+        while i < end:
+            if text[i] in WIDE_STOPS:
+                while i + 1 < end and (text[i + 1] in CLOSERS or text[i + 1] in WIDE_STOPS):
+                    i += 1
+                spans.append((start, i + 1))
+                infos.append(words[text[start : i + 1]])
+                start = i + 1
+            i += 1
+        if start < end:
+            spans.append((start, end))
+            infos.append(words[text[start:end]])
 
 
 def _line_begin(text: str, i: int) -> int:
@@ -181,7 +179,7 @@ class Tagger:
 
     def __init__(self, weights: dict[str, float] | None = None, headings: frozenset[str] = frozenset()):
         self.w, self.headings = weights or {}, headings
-        self.forms = Forms()
+        self.words = Words()
         self.left: dict[str, float] = {}
         self.right: dict[str, float] = {}
         self.pair: dict[tuple[str, str], float] = {}
@@ -198,27 +196,19 @@ class Tagger:
     def pair_features(a: str, b: str) -> list[str]:
         return [f"|{a[-4:]}|{b[:4]}", f"|{a[-8:]}|{b[:8]}"]
 
-    def contexts(self, text: str, spans: list[tuple[int, int]], ks: list[int]) -> list[tuple[str, str]]:
-        f = self.forms
-        out, forms = [], {}
-
-        def form(i: int) -> str:
-            v = forms.get(i)
-            if v is None:
-                forms[i] = v = f[text[spans[i][0] : spans[i][1]]]
-            return v
-
-        n = len(spans)
+    @staticmethod
+    def contexts(forms: list[str], ks: list[int]) -> list[tuple[str, str]]:
+        out, n = [], len(forms)
         for k in ks:
-            left, i = form(k), k - 1
-            while len(left) < LEFT[-1] and i >= 0:
-                left = form(i) + " " + left
+            left, i = forms[k], k - 1
+            while len(left) < 30 and i >= 0:
+                left = forms[i] + " " + left
                 i -= 1
-            right, i = form(k + 1), k + 2
-            while len(right) < RIGHT[-1] and i < n:
-                right += " " + form(i)
+            right, i = forms[k + 1], k + 2
+            while len(right) < 24 and i < n:
+                right += " " + forms[i]
                 i += 1
-            out.append((left[-LEFT[-1] :], right[: RIGHT[-1]]))
+            out.append((left[-30:], right[:24]))
         return out
 
     def score(self, left: str, right: str, gap: str) -> float:
@@ -266,7 +256,7 @@ class Tagger:
         ks = [k for k, f in enumerate(c.fixed) if f is None]
         if not ks:
             return [bool(f) for f in c.fixed]
-        ctx = self.contexts(text, c.spans, ks)
+        ctx = self.contexts(c.forms, ks)
         # inside-only places between two open ones say nothing, so the chain runs over open and boundary places
         scores, fixed, where = [], [], []
         j = 0
@@ -290,7 +280,7 @@ class Tagger:
         """(start, end) of each unit, by code points."""
         if not text:
             return []
-        c = Candidates(text, self.headings)
+        c = Candidates(text, self.words, self.headings)
         if not c.spans:
             return []
         out, start = [], c.spans[0][0]
@@ -314,6 +304,7 @@ def train(items: list[str], epochs: int = EPOCHS, seed: int = SEED) -> dict[str,
     total: dict[str, float] = {}
     stamp: dict[str, int] = {}
     step = 0
+    words = Words()
 
     def add(f: str, d: float) -> None:
         total[f] = total.get(f, 0.0) + (step - stamp.get(f, 0)) * w.get(f, 0.0)
@@ -330,21 +321,21 @@ def train(items: list[str], epochs: int = EPOCHS, seed: int = SEED) -> dict[str,
             at += take
             text, ends = "", set()
             for g in group:
-                words = g.split(" ")
-                body = words[0]
-                for word in words[1:]:
+                parts = g.split(" ")
+                body = parts[0]
+                for word in parts[1:]:
                     body += ("\n" if rng.random() < 0.04 else " ") + word
                 if text:
                     ends.add(len(text))
                     text += "\n" if rng.random() < 0.35 else " "
                 text += body
             tagger = Tagger(w)
-            c = Candidates(text)
+            c = Candidates(text, words)
             ks = [k for k, f in enumerate(c.fixed) if f is None]
             if not ks:
                 continue
             gold_all = [c.spans[k][1] in ends for k in range(len(c.fixed))]
-            ctx = tagger.contexts(text, c.spans, ks)
+            ctx = tagger.contexts(c.forms, ks)
             seq = [(gold_all[k], ctx[i], c.gaps[k]) for i, k in enumerate(ks)]
             guess = tagger.viterbi([tagger.score(a, b, g) for _, (a, b), g in seq], [None] * len(seq))
             step += 1
@@ -372,11 +363,9 @@ def list_items(text: str | None) -> list[str]:
 
 
 def training_items(texts: DataFrame, sample: int = SAMPLE) -> list[str]:
-    """At most ``sample`` items of each script class, by hash; texts: one string column."""
-    schema = StructType([StructField("thai", IntegerType()), StructField("item", StringType())])
-    found = map_rows(texts, lambda: lambda t: [(int(bool(_THAI.search(x))), x) for x in list_items(t)], schema)
-    ranked = [found.where(F.col("thai") == k).select("item", F.xxhash64("item").alias("h")).orderBy("h", "item").limit(sample) for k in (0, 1)]
-    return [r["item"] for r in ranked[0].unionByName(ranked[1]).collect()]
+    """At most ``sample`` items of all scripts, those of the least hashes; texts: one string column."""
+    found = map_rows(texts, lambda: lambda t: [(x,) for x in list_items(t)], StructType([StructField("item", StringType())]))
+    return [r["item"] for r in found.select("item", F.xxhash64("item").alias("h")).orderBy("h", "item").limit(sample).collect()]
 
 
 def heading_lines(texts: DataFrame, share: float = HEADING_SHARE) -> list[str]:
