@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import leaks, overlaps, packing, pieces, sentences, truncation
+from lexweave.llm import leaks, overlaps, packing, pairs, pieces, sentences, truncation
 from lexweave.sources.tables import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = overlaps.overlaps(table(spark, sf_dir, "qa_pairs"))
-    return pairs.select(F.least("qa_id_e", "qa_id_t").alias("qa_id_a"), F.greatest("qa_id_e", "qa_id_t").alias("qa_id_b")).distinct()
+    found = overlaps.overlaps(table(spark, sf_dir, "qa_pairs"))
+    return found.select(F.least("qa_id_e", "qa_id_t").alias("qa_id_a"), F.greatest("qa_id_e", "qa_id_t").alias("qa_id_b")).distinct()
 
 
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(table(spark, sf_dir, "legal_sections"), table(spark, sf_dir, "niti_results"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.broken_pairs(table(spark, sf_dir, "niti_results"))
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "niti_results")
+    return pairs.defect_report(pairs.broken_pairs(rows), rows)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.oversized_tables(table(spark, sf_dir, "legal_sections"), table(spark, sf_dir, "text_units")).select("rec_table", "rec_id")
 
@@ -55,7 +64,7 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_report": p6_report, "p7_containers": p7_containers, "p8_found": p8_found, "p8_report": p8_report}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p3_report": p3_report, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_report": p6_report, "p7_containers": p7_containers, "p8_found": p8_found, "p8_report": p8_report}
 
 
 def oracle_sql() -> dict[str, str]:
