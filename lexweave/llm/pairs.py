@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from lexweave.llm import sentences, truncation
-from lexweave.llm.rows import map_rows
+from lexweave.llm.rows import least_hashes, map_rows
 
 SAMPLE, EPOCHS, SEED, RATE, PENALTY = 2000, 3, 11, 0.3, 1e-4
 BUCKETS = 4096
@@ -278,8 +278,8 @@ def broken_pairs(niti_results: DataFrame, sample: int = SAMPLE) -> DataFrame:
     texts = niti_results.select(F.col("predicted_answer").alias("t"))
     tagger = sentences.Tagger(sentences.train(sentences.training_items(texts)), frozenset(sentences.heading_lines(texts)))
     pairs = judged_pairs(niti_results)
-    labelled = pairs.orderBy(F.xxhash64("result_id"), "result_id").limit(sample).select("question", "answer", "cut").collect()
-    field = train([tuple(r) for r in labelled], tagger)
+    labelled = least_hashes(pairs, ["result_id"], sample)
+    field = train([(r["question"], r["answer"], r["cut"]) for r in labelled], tagger)
     model = niti_results.sparkSession.sparkContext.broadcast((tagger.w, tagger.headings, field.w.astype(np.float32), field.t))
 
     def make() -> Callable:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import leaks, overlaps, packing, pairs, pieces, sentences, truncation
+from lexweave.llm import leaks, overlaps, packing, pairs, pieces, sentences, subjects, truncation
 from lexweave.sources.tables import table
 
 
@@ -63,8 +63,21 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leak_report(leaks.leaks(documents, items), documents, items)
 
 
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = (table(spark, sf_dir, t) for t in ("documents", "subject_examples", "subjects"))
+    return subjects.subjects(*tables, table(spark, sf_dir, "legal_sections").select("raw_text"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _subjects(spark, sf_dir).select("doc_id", "subject_id").distinct()
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.composition(_subjects(spark, sf_dir), table(spark, sf_dir, "subjects"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p3_report": p3_report, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_report": p6_report, "p7_containers": p7_containers, "p8_found": p8_found, "p8_report": p8_report}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p3_report": p3_report, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_report": p6_report, "p7_containers": p7_containers, "p8_found": p8_found, "p8_report": p8_report, "p9_found": p9_found, "p9_composition": p9_composition}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
-from lexweave.llm.rows import earliest_result, map_rows
+from lexweave.llm.rows import earliest_result, least_hashes, map_rows
 
 SAMPLE, EPOCHS, SEED = 8000, 3, 7
 LEFT, RIGHT = (1, 2, 3, 4, 6, 8, 11, 14, 18, 24, 30), (1, 2, 3, 4, 6, 8, 11, 14, 18, 24)
@@ -198,17 +198,17 @@ class Tagger:
 
     @staticmethod
     def contexts(forms: list[str], ks: list[int]) -> list[tuple[str, str]]:
-        out, n = [], len(forms)
+        out, n, far_left, far_right = [], len(forms), LEFT[-1], RIGHT[-1]
         for k in ks:
             left, i = forms[k], k - 1
-            while len(left) < 30 and i >= 0:
+            while len(left) < far_left and i >= 0:
                 left = forms[i] + " " + left
                 i -= 1
             right, i = forms[k + 1], k + 2
-            while len(right) < 24 and i < n:
+            while len(right) < far_right and i < n:
                 right += " " + forms[i]
                 i += 1
-            out.append((left[-30:], right[:24]))
+            out.append((left[-far_left:], right[:far_right]))
         return out
 
     def score(self, left: str, right: str, gap: str) -> float:
@@ -235,6 +235,9 @@ class Tagger:
         """Of all taggings the best, where a fixed place has its tag; transitions are 'tt' + both tags."""
         w = self.w
         t = [[w.get(f"tt{a}{b}", 0.0) for b in (0, 1)] for a in (0, 1)]
+        sway = 2 * sum(abs(x) for row in t for x in row)
+        if all(f is not None or s > sway or s < -sway for s, f in zip(scores, fixed, strict=True)):
+            return [s > 0 if f is None else f for s, f in zip(scores, fixed, strict=True)]  # no transition can turn any
         best, back = [0.0, -1e18], []
         for s, f in zip(scores, fixed, strict=True):
             new, ptr = [], []
@@ -365,7 +368,7 @@ def list_items(text: str | None) -> list[str]:
 def training_items(texts: DataFrame, sample: int = SAMPLE) -> list[str]:
     """At most ``sample`` items of all scripts, those of the least hashes; texts: one string column."""
     found = map_rows(texts, lambda: lambda t: [(x,) for x in list_items(t)], StructType([StructField("item", StringType())]))
-    return [r["item"] for r in found.select("item", F.xxhash64("item").alias("h")).orderBy("h", "item").limit(sample).collect()]
+    return [r["item"] for r in least_hashes(found, ["item"], sample)]
 
 
 def heading_lines(texts: DataFrame, share: float = HEADING_SHARE) -> list[str]:
