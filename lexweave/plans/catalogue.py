@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.plans import problems
+from lexweave.plans import problems, retrieval
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**problems.QUERIES}
+    return {**retrieval.QUERIES, **problems.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**problems.ORACLE}
+    return {**retrieval.ORACLE, **problems.ORACLE}
