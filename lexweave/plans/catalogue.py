@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.plans import extraction, problems, retrieval
+from lexweave.plans import extraction, graphs, problems, retrieval
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**retrieval.QUERIES, **extraction.QUERIES, **problems.QUERIES}
+    return {**retrieval.QUERIES, **extraction.QUERIES, **graphs.QUERIES, **problems.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**retrieval.ORACLE, **extraction.ORACLE, **problems.ORACLE}
+    return {**retrieval.ORACLE, **extraction.ORACLE, **graphs.ORACLE, **problems.ORACLE}
