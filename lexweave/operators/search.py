@@ -62,7 +62,10 @@ def fuzzy_contains(query: Column, keyword: Column) -> Column:
         windows,
         lambda s: F.exists(F.sequence(F.lit(1), n + 1), lambda i: F.concat(F.substr(F.substr(query, s, n + 1), F.lit(1), i - 1), F.substr(F.substr(query, s, n + 1), i + 1, n + 1)) == keyword),
     )
-    return F.when(F.contains(query, keyword), True).when(n < 5, False).otherwise(dropped | spare)
+    # one edit leaves one half of the keyword as it is
+    half = F.floor(n / 2).cast("int")
+    near = F.contains(query, F.substr(keyword, F.lit(1), half)) | F.contains(query, F.substr(keyword, half + 1, n))
+    return F.when(F.contains(query, keyword), True).when((n < 5) | ~near, False).otherwise(dropped | spare)
 
 
 def matched_keywords(queries: DataFrame, words: DataFrame, fuzzy: bool = True) -> DataFrame:
@@ -117,7 +120,7 @@ def chunk_entities(chunk_hits: DataFrame, entities: DataFrame, s: Settings = DEF
     """
     of = entities.select("name", F.posexplode("source_chunk_ids").alias("pos", "chunk_id"))
     found = chunk_hits.join(of, "chunk_id")
-    return found.groupBy("query_id", "name").agg(F.round(F.min_by("score", F.struct("rn", "pos")) * s.chunk_discount, 6).alias("score"))
+    return found.groupBy("query_id", "name").agg(F.round(F.min_by("score", F.struct("rn", "pos")) * s.chunk_discount + 1e-9, 6).alias("score"))
 
 
 def local_search(queries: DataFrame, entities: DataFrame, chunks: DataFrame, edges: DataFrame, expansions: DataFrame, s: Settings = DEFAULT) -> DataFrame:
