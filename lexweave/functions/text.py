@@ -71,7 +71,7 @@ def reference_key(c: Column) -> Column:
 
 
 def match_spans(text: Column, pattern: str) -> Column:
-    """All matches with their places: array<struct<start, text>>, start 0-based in characters.
+    """All matches with their places: array<struct<start, text>>, start 0-based in characters; empty for null.
 
     Spark has no find-all with offsets; the pieces between matches and the matches themselves are
     zipped and their lengths summed.
