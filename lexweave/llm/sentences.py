@@ -80,7 +80,7 @@ def quoted(text: str) -> list[tuple[int, int]]:
     for m in re.finditer('["“„「『«]', text):
         if m.start() < i:
             continue
-        close = text.find(QUOTES[m.group()], m.start() + 1)
+        close = text.find(QUOTES[m.group()], m.start() + 1, m.start() + 1 + QUOTE_REACH)
         if close < 0:
             close = n if n - m.start() <= QUOTE_REACH else -1
         if 0 <= close and (close - m.start() <= QUOTE_REACH or close == n):
@@ -303,6 +303,7 @@ def train(items: list[str], epochs: int = EPOCHS, seed: int = SEED) -> dict[str,
     items = sorted({" ".join(x.split()) for x in items if x.strip()})
     if not items:
         return {"gapN": 1.0, "gapP": 1.0}
+    epochs = min(4 * epochs, max(epochs, 3000 // len(items)))  # more rounds over few items
     w: dict[str, float] = {}
     total: dict[str, float] = {}
     stamp: dict[str, int] = {}
@@ -372,11 +373,11 @@ def training_items(texts: DataFrame, sample: int = SAMPLE) -> list[str]:
 
 
 def heading_lines(texts: DataFrame, share: float = HEADING_SHARE) -> list[str]:
-    """First lines that open at least ``share`` of the texts of several lines: at most 1 / share of them."""
+    """First lines without digits that open at least ``share`` of the texts of several lines: at most 1 / share of them."""
     lines = texts.toDF("t").where(F.col("t").rlike("[\\r\\n]")).select(F.trim(F.regexp_extract("t", "^\\s*([^\\r\\n]*)", 1)).alias("line"))
     counts = lines.where(F.length("line").between(1, HEADING_CHARS)).groupBy("line").count()
     rows = counts.where(F.col("count") >= F.greatest(F.lit(3.0), F.lit(share) * lines.agg(F.count("*").alias("n")).scalar())).collect()
-    return [r["line"] for r in rows if r["line"] not in APOLOGY and not SECTION.match(r["line"] + " ")]
+    return [r["line"] for r in rows if r["line"] not in APOLOGY and not any(c.isdigit() for c in r["line"])]
 
 
 UNIT = StructType([StructField("start_pos", IntegerType()), StructField("end_pos", IntegerType())])
