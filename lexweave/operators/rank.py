@@ -24,10 +24,22 @@ def top_k(scored: DataFrame, k: int, item: str = "item_id", by: str = "score") -
     return scored.withColumn("rn", F.row_number().over(w).cast("long")).where(F.col("rn") <= k)
 
 
-def postings(items: DataFrame) -> DataFrame:
-    """items: item_id, text. Rows item_id, term, tf, length."""
-    words = items.select("item_id", terms(F.col("text")).alias("t")).where("size(t) > 0")
-    return words.select("item_id", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("item_id", "length", "term").agg(F.count("*").alias("tf"))
+def _words(items: DataFrame) -> DataFrame:
+    return items.select("item_id", terms(F.col("text")).alias("t")).where("size(t) > 0")
+
+
+def term_counts(items: DataFrame) -> DataFrame:
+    """term, total (its occurrences), df (the items that have it), in one pass: an item's sorted terms show which come first."""
+    each = _words(items).select(F.sort_array("t").alias("t")).select(F.explode(F.transform("t", lambda x, i: F.struct(x.alias("term"), ((i == 0) | (F.get("t", i - 1) != x)).cast("int").alias("first")))).alias("x"))
+    return each.groupBy("x.term").agg(F.count("*").alias("total"), F.sum("x.first").alias("df"))
+
+
+def postings(items: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """items: item_id, text. Rows item_id, length, term, tf; of ``wanted`` terms only, so that no others are shuffled."""
+    each = _words(items).select("item_id", F.size("t").alias("length"), F.explode("t").alias("term"))
+    if wanted is not None:
+        each = each.join(wanted.select("term").distinct(), "term", "left_semi")
+    return each.groupBy("item_id", "length", "term").agg(F.count("*").alias("tf"))
 
 
 def question_terms(queries: DataFrame) -> DataFrame:
@@ -40,28 +52,25 @@ def bm25(items: DataFrame, queries: DataFrame, s: Settings = DEFAULT) -> DataFra
     The inverse document frequency of a term in over half of the items is epsilon times the mean over all terms.
     Null and wordless texts are no items; a question without terms finds nothing.
     """
-    post = postings(items)
-    sizes = post.groupBy("item_id").agg(F.first("length").alias("length"))
-    corpus = sizes.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
-    df = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus))  # corpus is one row
+    corpus = _words(items).agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean_length"))
+    df = term_counts(items).crossJoin(F.broadcast(corpus))  # corpus is one row
     raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean_raw"))
     asked = question_terms(queries)
     idf = raw.join(asked.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(mean))
     idf = idf.select("term", "mean_length", F.when(F.col("raw") < 0, s.bm25_epsilon * F.col("mean_raw")).otherwise(F.col("raw")).alias("idf"))
-    weighed = asked.join(idf, "term").join(post, "term")
+    weighed = asked.join(idf, "term").join(postings(items, asked), "term")
     part = F.col("qf") * F.col("idf") * F.col("tf") * (s.bm25_k1 + 1) / (F.col("tf") + s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * F.col("length") / F.col("mean_length")))
     return weighed.groupBy("query_id", "item_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def tfidf(items: DataFrame, queries: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Cosine of TF-IDF vectors over the most frequent terms; pairs without a common one are left out."""
-    post = postings(items)
     n = items.where("text is not null").agg(F.count("*").alias("n"))
-    frequent = post.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(s.tfidf_terms)
+    frequent = term_counts(items).orderBy(F.desc("total"), "term").limit(s.tfidf_terms)
     vocabulary = frequent.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     vocabulary = F.broadcast(vocabulary)  # at most tfidf_terms rows
-    item_vec = post.join(vocabulary, "term").select("item_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    item_vec = postings(items, vocabulary).join(vocabulary, "term").select("item_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     query_vec = question_terms(queries).join(vocabulary, "term").select("query_id", "term", (F.col("qf") * F.col("idf")).alias("qw"))
     item_norm = item_vec.groupBy("item_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     query_norm = query_vec.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
