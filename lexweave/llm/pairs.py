@@ -17,13 +17,13 @@ from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from lexweave.llm import sentences, truncation
 from lexweave.llm.rows import least_hashes, map_rows
+from lexweave.llm.windows import Windows
 
 SAMPLE, EPOCHS, SEED, RATE, PENALTY = 2000, 3, 11, 0.3, 1e-4
 BUCKETS = 4096
@@ -50,8 +50,8 @@ LABEL = re.compile(
     r"^[\s\"“”„「『'*#>\-•–—]*(?:คำตอบ|สรุปคำตอบ|ผลวิเคราะห์|ข้อมูลประกอบ|คำถาม|ถาม|ตอบ|ท่านถามว่า|ผลสืบค้นสำหรับ|answer|summary|question|query|q|a|回答|質問|问题|frage|antwort)(?:\*\*)?\s*[:：]?(?:\*\*)?(?=\s|$)\s*",
     re.I,
 )
-_LINE = re.compile(r"\r\n?|\n")
-_THAI, _HAN, _KANA, _LATIN = re.compile("[ก-ฯะ-ๆ]"), re.compile("[一-鿿]"), re.compile("[぀-ヿ]"), re.compile("[A-Za-zÀ-ɏ]")
+_DIGITS = re.compile("[0-9]+")
+_THAI, _HAN, _KANA, _LATIN = re.compile("[ก-ฯะ-ๆ]+"), re.compile("[一-鿿]+"), re.compile("[぀-ヿ]+"), re.compile("[A-Za-zÀ-ɏ]+")
 _GERMAN = re.compile(r"\b(?:der|die|das|und|ist|wer|wenn|mit|für|nicht|von|dem|den|über|nach|wird|bis|zu)\b|[äöüß]", re.I)
 _ENGLISH = re.compile(r"\b(?:the|of|and|is|who|if|with|for|not|from|has|that|to|by|under|on|in)\b", re.I)
 _CITE_NUMBERS = re.compile(r"(?:มาตรา|sec\.|section|§|第)\s*[0-9]")
@@ -60,7 +60,7 @@ _FOLD = {ord(a): b for a, b in zip("๐๑๒๓๔๕๖๗๘๙", "0123456789
 
 def language(text: str) -> str:
     """th, zh, ja, de, en or '' by letters; of Latin text by its small words."""
-    thai, han, kana, latin = (len(r.findall(text)) for r in (_THAI, _HAN, _KANA, _LATIN))
+    thai, han, kana, latin = (sum(map(len, r.findall(text))) for r in (_THAI, _HAN, _KANA, _LATIN))
     if not thai + han + kana + latin:
         return ""
     if thai >= max(2 * (han + kana), 0.7 * latin):
@@ -70,9 +70,22 @@ def language(text: str) -> str:
     return "de" if len(_GERMAN.findall(text)) > len(_ENGLISH.findall(text)) else "en"
 
 
+class _Letters(dict):
+    """Code point to itself in lower case if it is a letter, mark or digit, with Arabic digits; made as it is first met."""
+
+    def __missing__(self, code: int) -> str | None:
+        c = chr(code)
+        kind = unicodedata.category(c)
+        self[code] = out = str(unicodedata.digit(c)) if kind == "Nd" else c.lower() if kind[0] in "LM" or c.isalnum() else None
+        return out
+
+
+_LETTERS = _Letters()
+
+
 def folded(text: str) -> str:
-    t = unicodedata.normalize("NFC", text.translate(_FOLD)).lower()
-    return "".join(c for c in t if c.isalnum() or unicodedata.category(c)[0] == "M")
+    t = text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+    return t.translate(_LETTERS)
 
 
 def grams(s: str, n: int = 5) -> set[str]:
@@ -117,8 +130,11 @@ def clauses(question: str | None, answer: str | None, tagger: sentences.Tagger)
     return out
 
 
+SIGNS = 19
+
+
 def features(c: Clause, first: bool, cut: bool, q_lang: str) -> list[int]:
-    """Indices of the features that hold; the last BUCKETS are hashed n-grams."""
+    """Indices of the signs that hold."""
     low = c.low
     f = [0, 1 + min(4, int(c.echo * 5))]
     f.append(6 if not c.lang or not q_lang else 7 if c.lang == q_lang else 8)
@@ -126,12 +142,19 @@ def features(c: Clause, first: bool, cut: bool, q_lang: str) -> list[int]:
         if hit:
             f.append(9 + i)
     f.append(16 + (0 if c.size < 15 else 1 if c.size < 60 else 2))
-    fold = re.sub("[0-9]+", "0", c.fold[:160])
-    f.extend(19 + xxhash.xxh32_intdigest(g) % BUCKETS for g in grams(fold, 6))
     return f
 
 
-N_FEATURES = 19 + BUCKETS
+def hashed(cs: list[Clause]) -> list[np.ndarray]:
+    """Buckets of each clause's character six-grams, numbers read as 0."""
+    folds = [_DIGITS.sub("0", c.fold) for c in cs]
+    w = Windows(folds)
+    starts, whose = w.every(6)
+    own = SIGNS + (w.hashes(starts, starts + 6) % np.uint64(BUCKETS)).astype(np.int64)
+    return np.split(own, np.searchsorted(whose, np.arange(1, len(cs))))
+
+
+N_FEATURES = SIGNS + BUCKETS
 
 
 def weak_label(c: Clause, cut: bool, q_lang: str) -> int:
@@ -156,11 +179,11 @@ class Field:
         self.w = np.zeros((N_FEATURES, len(TAGS))) if weights is None else weights
         self.t = np.zeros((len(TAGS), len(TAGS))) if moves is None else moves
 
-    def scores(self, seq: list[list[int]]) -> np.ndarray:
+    def scores(self, seq: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         # n-grams weigh together as much as one sign
-        return np.stack([self.w[[i for i in f if i < 19]].sum(0) + self.w[[i for i in f if i >= 19]].sum(0) / max(1, sum(i >= 19 for i in f)) ** 0.5 for f in seq])
+        return np.stack([self.w[few].sum(0) + self.w[many].sum(0) / max(1, len(many)) ** 0.5 for few, many in seq])
 
-    def train(self, data: list[tuple[list[list[int]], list[int]]], epochs: int = EPOCHS, seed: int = SEED) -> Field:
+    def train(self, data: list[tuple[list[tuple[np.ndarray, np.ndarray]], list[int]]], epochs: int = EPOCHS, seed: int = SEED) -> Field:
         """Stochastic gradient ascent of the log-likelihood, by forward-backward."""
         rng = np.random.default_rng(seed)
         seen_w, seen_t = np.full_like(self.w, 1e-2), np.full_like(self.t, 1e-2)
@@ -184,17 +207,15 @@ class Field:
                     gt[gold[k - 1], gold[k]] += 1
                 seen_t += gt**2
                 self.t += RATE * (gt - PENALTY * self.t) / np.sqrt(seen_t)
-                for k, f in enumerate(seq):
-                    few = np.asarray([j for j in f if j < 19])
-                    many = np.asarray([j for j in f if j >= 19], int)
+                for k, (few, many) in enumerate(seq):
                     for idx, scale in ((few, 1.0), (many, 1 / max(1, len(many)) ** 0.5)):
                         if len(idx):
                             step = scale * g[k]
-                            seen_w[idx] += step**2
+                            seen_w[idx] += step**2  # a bucket met twice in a clause counts once
                             self.w[idx] += RATE * (step - PENALTY * self.w[idx]) / np.sqrt(seen_w[idx])
         return self
 
-    def decode(self, seq: list[list[int]]) -> list[int]:
+    def decode(self, seq: list[tuple[np.ndarray, np.ndarray]]) -> list[int]:
         s = self.scores(seq)
         best, back = s[0], []
         for k in range(1, len(s)):
@@ -212,8 +233,8 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - m).sum(axis=axis)) + np.squeeze(m, axis)
 
 
-def sequence(cs: list[Clause], cut: bool, q_lang: str) -> list[list[int]]:
-    return [features(c, i == 0, cut, q_lang) for i, c in enumerate(cs)]
+def sequence(cs: list[Clause], cut: bool, q_lang: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(np.asarray(features(c, i == 0, cut, q_lang)), many) for i, (c, many) in enumerate(zip(cs, hashed(cs), strict=True))]
 
 
 def defects(question: str | None, answer: str | None, cut: bool, tagger: sentences.Tagger, field: Field) -> list[str]:
@@ -226,7 +247,7 @@ def defects(question: str | None, answer: str | None, cut: bool, tagger: sentenc
     size: Counter[int] = Counter()
     foreign = 0
     for c, tag in zip(cs, tags, strict=True):
-        if tag == ANSWER and ADVICE.search(c.low):
+        if tag in (ANSWER, FOREIGN) and ADVICE.search(c.low):
             tag = COURTESY
         size[tag] += c.size
         if tag == FOREIGN or (q_lang and c.lang and c.lang != q_lang):
