@@ -8,6 +8,9 @@ The model is trained here by a structured perceptron. List items stand on their
 their marks and line ends and joined by spaces they are text of known boundaries, which is all that teaches Thai, where
 nothing marks an end. At most ``SAMPLE`` items are taken, by a hash of their text.
 
+Where units follow each other without any space, places within a run of characters are open, too: behind a full stop that
+a capital follows, and before what hardly stands within a run otherwise (``beginnings``); they have weights of their own.
+
 What layout decides is no matter of the model: quotations and list items are never divided; a blank line, a list mark, a
 heading or a citation line begins a unit; a section heading, a label or an apology stays with what follows it.
 """
@@ -17,15 +20,18 @@ from __future__ import annotations
 import random
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable
 
+import ahocorasick
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 from lexweave.llm.rows import earliest_result, least_hashes, map_rows
 
-SAMPLE, EPOCHS, SEED = 8000, 3, 7
+SAMPLE, EPOCHS, SEED = 10_000, 4, 7
 LEFT, RIGHT = (1, 2, 3, 4, 6, 8, 11, 14, 18, 24, 30), (1, 2, 3, 4, 6, 8, 11, 14, 18, 24)
 #: A first line is a heading if it is this short and opens at least this share of the texts that have several lines.
 HEADING_CHARS, HEADING_SHARE = 40, 0.004
@@ -35,7 +41,7 @@ LIST_MARK = re.compile(r"[^\S\r\n]*(?:\(?[0-9๐-๙]{1,3}[)）.]|[-•*–·●
 HEADING_MARK = re.compile(r"[^\S\r\n]*(?:#{1,6}[^\S\r\n]+\S|\*\*[^*\r\n]{1,60}\*\*:?[^\S\r\n]*(?=[\r\n]|$))")
 CITATION = re.compile(r"[^\S\r\n]*[*_#>]*[^\S\r\n]*(?:มาตราที่เกี่ยวข้อง|อ้างอิง|Sections|Citations|References|Vorschriften|Fundstellen|関連条文|相关条文|依据条文)[*_]*[^\S\r\n]*[:：]")
 SECTION = re.compile(r"\s*(?:มาตรา|ข้อ|Section|Article|Art\.|Sec\.|§)\s*[0-9๐-๙]+(?:[/.][0-9๐-๙]+)*(?=\s)|\s*第[0-9๐-๙零一二三四五六七八九十百千/]+[条條](?=\s)")
-APOLOGY = frozenset(["ขออภัย", "ต้องขออภัยด้วย", "เสียใจด้วย", "ขอโทษ", "Sorry,", "Unfortunately", "Unfortunately,"])
+APOLOGY = frozenset(["ขออภัย", "ต้องขออภัยด้วย", "เสียใจด้วย", "ขอโทษ", "Sorry,", "Unfortunately", "Unfortunately,", "ถาม", "ท่านถามว่า"])
 QUOTES = {'"': '"', "“": "”", "„": "“", "「": "」", "『": "』", "«": "»"}
 STOPS, WIDE_STOPS, CLOSERS = frozenset(".!?…"), frozenset("。！？"), frozenset("\"'”’“」』»)]）】*_")
 
@@ -50,17 +56,54 @@ _NUMBER = re.compile(r"[0-9๐-๙]+(?:[,./:\-][0-9๐-๙]+)*")
 _INVISIBLE = dict.fromkeys([0x200B, 0x200C, 0x200D, 0xFEFF])
 _LINE = re.compile(r"\r\n?|\n")
 _THAI = re.compile(r"[ก-๛]")
+_GLUED = re.compile(r"(?<=[^\W_][^\W_][.!?])(?=[A-ZÄÖÜ](?:[a-zäöüß]|$))|(?<=[.!?)\"”][.!?)\"”])(?=[A-ZÄÖÜ](?:[a-zäöüß]|$))|(?<=[0-9][.!?])(?=[A-ZÄÖÜ](?:[a-zäöüß]|$))")
 QUOTE_REACH = 400
+#: Where the weights keep the beginnings.
+BEGINS = "beginnings"
+#: Where the weights keep the median score of a training boundary without a space; a single such place in a text needs this share of it.
+SCALE, GLUED_ALONE = "scale", 0.6
+#: A beginning has this many characters, stands in this many items at least, and this share of its places are at their start.
+BEGIN_CHARS, BEGIN_ITEMS, BEGIN_SHARE = (5, 30), 3, 0.97
+
+
+def beginnings(items: list[str]) -> list[str]:
+    """The shortest prefixes of Thai items that hardly stand anywhere within a run of characters."""
+    low, high = BEGIN_CHARS
+    bodies = [" ".join(_NUMBER.sub("0", x).split()) for x in items]
+    starts = Counter(b[:n] for b in bodies if _THAI.match(b) for n in range(low, min(high, len(b) - 1) + 1))
+    kept = {p: c for p, c in starts.items() if c >= BEGIN_ITEMS and p[-1] != " "}
+    if not kept:
+        return []
+    automaton = ahocorasick.Automaton()
+    for p in kept:
+        automaton.add_word(p, p)
+    automaton.make_automaton()
+    within = Counter(p for b in bodies for e, p in automaton.iter(b) if e >= len(p) and b[e - len(p)] != " ")
+    sure = {p for p in kept if kept[p] >= BEGIN_SHARE * (kept[p] + within[p])}
+    return sorted(p for p in sure if not any(p[:n] in sure for n in range(low, len(p))))
 
 
 class Words(dict):
     """Token to what is to be known of it; emptied when it has grown large.
 
     (normal form, script: 1 Thai, -1 other letters, 0 neither; its last stop: 2 wide, 1 other, 0 none; ends with a colon;
-    is an apology; holds a wide stop)
+    is an apology; holds a wide stop; offsets at which it may have to be cut)
     """
 
-    def __missing__(self, token: str) -> tuple[str, int, int, bool, bool, bool]:
+    def __init__(self, begins: list[str] | tuple[str, ...] = ()):
+        super().__init__()
+        self.begins = None
+        if begins:
+            self.begins = ahocorasick.Automaton()
+            for p in begins:
+                head = p.split(" ")[0]  # a token holds no space
+                if len(head) >= BEGIN_CHARS[0]:
+                    self.begins.add_word(head, len(head))
+            self.begins = self.begins if len(self.begins) else None
+            if self.begins:
+                self.begins.make_automaton()
+
+    def __missing__(self, token: str) -> tuple[str, int, int, bool, bool, bool, tuple[int, ...]]:
         if len(self) > 200_000:
             self.clear()
         t = unicodedata.normalize("NFC", token.translate(_INVISIBLE))
@@ -70,7 +113,10 @@ class Words(dict):
         while i >= 0 and token[i] in CLOSERS:
             i -= 1
         stop = 0 if i < 0 else 2 if token[i] in WIDE_STOPS else 1 if token[i] in STOPS else 0
-        self[token] = out = (form, script, stop, token[-1] in ":：", token in APOLOGY, not WIDE_STOPS.isdisjoint(token))
+        cuts = {m.start() for m in _GLUED.finditer(token)} if script < 0 else set()
+        if script > 0 and self.begins and len(token) > BEGIN_CHARS[0]:
+            cuts = {e - n + 1 for e, n in self.begins.iter(token)}
+        self[token] = out = (form, script, stop, token[-1] in ":：", token in APOLOGY, not WIDE_STOPS.isdisjoint(token), tuple(sorted(c for c in cuts if 1 < c)))
         return out
 
 
@@ -101,6 +147,12 @@ class Candidates:
             info = words[m.group()]
             if info[5]:  # a script without spaces: its stops end tokens
                 self._split(text, m.start(), m.end(), words, spans, infos)
+            elif info[6]:
+                start = m.start()
+                for c in (*info[6], len(m.group())):
+                    spans.append((start, m.start() + c))
+                    infos.append(words[text[start : m.start() + c]])
+                    start = m.start() + c
             else:
                 spans.append(m.span())
                 infos.append(info)
@@ -114,10 +166,11 @@ class Candidates:
         section = SECTION.match(text)
         heading_end = section.end() if section else -1
         q, n_quotes, thai = 0, len(quotes), False
-        in_item, in_citation = bool(LIST_MARK.match(text)), bool(CITATION.match(text))
+        in_item, in_citation = LIST_MARK.match(text), bool(CITATION.match(text))
+        dotted = bool(in_item) and in_item.group().rstrip().endswith(".")
         for k in range(len(spans) - 1):
             end, nxt = spans[k][1], spans[k + 1][0]
-            _, script, stop, colon, apology, _ = infos[k]
+            _, script, stop, colon, apology, wide, _ = infos[k]
             if script:
                 thai = script > 0
             while q < n_quotes and quotes[q][1] + 1 < end:
@@ -125,10 +178,10 @@ class Candidates:
             within = q < n_quotes and quotes[q][0] < end <= quotes[q][1]
             gap = text[end:nxt] if nxt - end != 1 or text[end] != " " else " "
             if gap == " " or ("\n" not in gap and "\r" not in gap):
-                gaps_("S")
+                gaps_("S" if gap else "G")
                 if within or in_item or in_citation or end <= heading_end:
                     fixed_(False)
-                elif not gap:
+                elif not gap and wide:
                     fixed_(not (q < n_quotes and quotes[q][1] == end - 1))  # a stop inside a quotation ends only that
                 else:
                     fixed_(False if apology or colon else True if stop == 2 else None if stop or thai else False)
@@ -137,6 +190,8 @@ class Candidates:
             begin, start = _line_begin(text, nxt), _line_begin(text, end)
             line = text[start:end].strip()
             mark, cite = LIST_MARK.match(text, begin), CITATION.match(text, begin)
+            if mark and lines == 1 and not self._marks(text, mark, end, colon or dotted):
+                mark = None
             if (within and lines < 2) or end <= heading_end:
                 fixed = False
             elif lines > 1 or mark or cite or HEADING_MARK.match(text, begin) or HEADING_MARK.match(text, start) or line in headings:
@@ -151,9 +206,19 @@ class Candidates:
                 fixed = True if stop == 2 else None if stop or thai else False
             if fixed is not False:
                 in_item, in_citation = bool(mark), bool(cite)
+                dotted = bool(mark) and mark.group().rstrip().endswith(".")
             fixed_(fixed)
             gaps_("P" if lines > 1 else "N")
 
+    @staticmethod
+    def _marks(text: str, mark: re.Match, end: int, closed: bool | int) -> bool:
+        """Whether what looks like a list mark is one, and not a number that a wrapped line begins with."""
+        sign = mark.group().strip()
+        if sign[-1] == ".":
+            return bool(closed)
+        before = text[max(0, end - 80) : end]
+        return sign[-1] not in ")）" or sign[0] in "(（" or before.rfind("(") <= before.rfind(")")
+
     @staticmethod
     def _split(text: str, i: int, end: int, words: Words, spans: list[tuple[int, int]], infos: list[tuple]) -> None:
         start = i
@@ -179,22 +244,26 @@ class Tagger:
 
     def __init__(self, weights: dict[str, float] | None = None, headings: frozenset[str] = frozenset()):
         self.w, self.headings = weights or {}, headings
-        self.words = Words()
+        self.words = Words((weights or {}).get(BEGINS, ()))
+        self.scale = (weights or {}).get(SCALE, 1.0)
         self.left: dict[str, float] = {}
         self.right: dict[str, float] = {}
         self.pair: dict[tuple[str, str], float] = {}
 
     @staticmethod
-    def left_features(c: str) -> list[str]:
-        return [f"<{c[-n:]}" for n in LEFT if n <= len(c)] + ["<^"] * (len(c) < LEFT[-1])
+    def left_features(c: str, glued: bool) -> list[str]:
+        g = "G" if glued else ""
+        return [f"{g}<{c[-n:]}" for n in LEFT if n <= len(c)] + [f"{g}<^"] * (len(c) < LEFT[-1])
 
     @staticmethod
-    def right_features(c: str) -> list[str]:
-        return [f">{c[:n]}" for n in RIGHT if n <= len(c)]
+    def right_features(c: str, glued: bool) -> list[str]:
+        g = "G" if glued else ""
+        return [f"{g}>{c[:n]}" for n in RIGHT if n <= len(c)]
 
     @staticmethod
-    def pair_features(a: str, b: str) -> list[str]:
-        return [f"|{a[-4:]}|{b[:4]}", f"|{a[-8:]}|{b[:8]}"]
+    def pair_features(a: str, b: str, glued: bool) -> list[str]:
+        g = "G" if glued else ""
+        return [f"{g}|{a[-4:]}|{b[:4]}", f"{g}|{a[-8:]}|{b[:8]}"]
 
     @staticmethod
     def contexts(forms: list[str], ks: list[int]) -> list[tuple[str, str]]:
@@ -212,23 +281,25 @@ class Tagger:
         return out
 
     def score(self, left: str, right: str, gap: str) -> float:
-        w = self.w
+        w, glued = self.w, gap == "G"
+        if glued:  # few, so not kept
+            return sum(w.get(x, 0.0) for x in (*self.left_features(left, True), *self.right_features(right, True), *self.pair_features(left[-8:], right[:8], True), "gapG"))
         a = self.left.get(left)
         if a is None:
             if len(self.left) > 200_000:
                 self.left.clear()
-            self.left[left] = a = sum(w.get(x, 0.0) for x in self.left_features(left))
+            self.left[left] = a = sum(w.get(x, 0.0) for x in self.left_features(left, False))
         b = self.right.get(right)
         if b is None:
             if len(self.right) > 200_000:
                 self.right.clear()
-            self.right[right] = b = sum(w.get(x, 0.0) for x in self.right_features(right))
+            self.right[right] = b = sum(w.get(x, 0.0) for x in self.right_features(right, False))
         key = (left[-8:], right[:8])
         c = self.pair.get(key)
         if c is None:
             if len(self.pair) > 200_000:
                 self.pair.clear()
-            self.pair[key] = c = sum(w.get(x, 0.0) for x in self.pair_features(*key))
+            self.pair[key] = c = sum(w.get(x, 0.0) for x in self.pair_features(*key, False))
         return a + b + c + w.get("gap" + gap, 0.0)
 
     def viterbi(self, scores: list[float], fixed: list[bool | None]) -> list[bool]:
@@ -259,23 +330,24 @@ class Tagger:
         ks = [k for k, f in enumerate(c.fixed) if f is None]
         if not ks:
             return [bool(f) for f in c.fixed]
-        ctx = self.contexts(c.forms, ks)
+        score = {k: self.score(left, right, c.gaps[k]) for k, (left, right) in zip(ks, self.contexts(c.forms, ks), strict=True)}
+        out = self._decode(c, score)
+        # units stand without spaces throughout a text or nowhere in it
+        glued = [k for k in ks if c.gaps[k] == "G" and out[k]]
+        if glued:
+            spaced = sum(1 for k in ks if c.gaps[k] != "G" and out[k])
+            if len(glued) <= spaced or (len(glued) == 1 and score[glued[0]] < GLUED_ALONE * self.scale):
+                for k in ks:
+                    if c.gaps[k] == "G":
+                        c.fixed[k] = False
+                out = self._decode(c, score)
+        return out
+
+    def _decode(self, c: Candidates, score: dict[int, float]) -> list[bool]:
         # inside-only places between two open ones say nothing, so the chain runs over open and boundary places
-        scores, fixed, where = [], [], []
-        j = 0
-        for k, f in enumerate(c.fixed):
-            if f is None:
-                left, right = ctx[j]
-                j += 1
-                scores.append(self.score(left, right, c.gaps[k]))
-            elif f:
-                scores.append(0.0)
-            else:
-                continue
-            fixed.append(f)
-            where.append(k)
+        where = [k for k, f in enumerate(c.fixed) if f is not False]
         out = [False] * len(c.fixed)
-        for k, tag in zip(where, self.viterbi(scores, fixed), strict=True):
+        for k, tag in zip(where, self.viterbi([score.get(k, 0.0) if c.fixed[k] is None else 0.0 for k in where], [c.fixed[k] for k in where]), strict=True):
             out[k] = tag
         return out
 
@@ -297,18 +369,19 @@ class Tagger:
         return out
 
 
-def train(items: list[str], epochs: int = EPOCHS, seed: int = SEED) -> dict[str, float]:
+def train(items: list[str], epochs: int = EPOCHS, seed: int = SEED) -> dict:
     """Averaged structured perceptron over sequences of joined items; the items are one unit each."""
     rng = random.Random(seed)
     items = sorted({" ".join(x.split()) for x in items if x.strip()})
     if not items:
-        return {"gapN": 1.0, "gapP": 1.0}
+        return {"gapN": 1.0, "gapP": 1.0, BEGINS: []}
     epochs = min(4 * epochs, max(epochs, 3000 // len(items)))  # more rounds over few items
     w: dict[str, float] = {}
     total: dict[str, float] = {}
     stamp: dict[str, int] = {}
     step = 0
-    words = Words()
+    begins = beginnings(items)
+    words = Words(begins)
 
     def add(f: str, d: float) -> None:
         total[f] = total.get(f, 0.0) + (step - stamp.get(f, 0)) * w.get(f, 0.0)
@@ -331,7 +404,8 @@ def train(items: list[str], epochs: int = EPOCHS, seed: int = SEED) -> dict[str,
                     body += ("\n" if rng.random() < 0.04 else " ") + word
                 if text:
                     ends.add(len(text))
-                    text += "\n" if rng.random() < 0.35 else " "
+                    r = rng.random()
+                    text += "\n" if r < 0.33 else "" if r < 0.43 else " "
                 text += body
             tagger = Tagger(w)
             c = Candidates(text, words)
@@ -347,7 +421,7 @@ def train(items: list[str], epochs: int = EPOCHS, seed: int = SEED) -> dict[str,
             for (gold, (a, b), g), tag in zip(seq, guess, strict=True):
                 if gold != tag:
                     d = 1.0 if gold else -1.0
-                    for f in (*Tagger.left_features(a), *Tagger.right_features(b), *Tagger.pair_features(a[-8:], b[:8]), "gap" + g):
+                    for f in (*Tagger.left_features(a, g == "G"), *Tagger.right_features(b, g == "G"), *Tagger.pair_features(a[-8:], b[:8], g == "G"), "gap" + g):
                         add(f, d)
                 tg, tp = f"tt{before_gold}{int(gold)}", f"tt{before_guess}{int(tag)}"
                 if tg != tp:
@@ -355,7 +429,14 @@ def train(items: list[str], epochs: int = EPOCHS, seed: int = SEED) -> dict[str,
                     add(tp, -1.0)
                 before_gold, before_guess = int(gold), int(tag)
     out = {f: (total.get(f, 0.0) + (step - stamp.get(f, 0)) * v) / max(1, step) for f, v in w.items()}
-    return {f: v for f, v in out.items() if abs(v) > 1e-6}
+    out = {f: v for f, v in out.items() if abs(v) > 1e-6} | {BEGINS: begins}
+    tagger = Tagger(out)
+    scores = []
+    for a, b in zip(items[:200], items[200:400], strict=False):
+        c = Candidates(a + b, tagger.words)
+        ks = [k for k, f in enumerate(c.fixed) if f is None and c.gaps[k] == "G" and c.spans[k][1] == len(a)]
+        scores += [tagger.score(x, y, "G") for x, y in tagger.contexts(c.forms, ks)]
+    return out | {SCALE: max(1.0, sorted(scores)[len(scores) // 2]) if scores else 1.0}
 
 
 _ITEM = re.compile(r"(?:^|[\r\n])[^\S\r\n]*(?:\(?[0-9๐-๙]{1,3}[)）]|[-•])[^\S\r\n]+([^\r\n]{12,})(?=[\r\n]+[^\S\r\n]*(?:\(?[0-9๐-๙]{1,3}[)）]|[-•])[^\S\r\n]+\S)")

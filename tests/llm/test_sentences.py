@@ -46,6 +46,13 @@ def test_layout():
     assert units('เขาว่า "หนึ่ง สอง. Three four. ห้า" แล้วไป', t) == ['เขาว่า "หนึ่ง สอง. Three four. ห้า" แล้วไป']
 
 
+def test_numbers_that_begin_a_wrapped_line():
+    t = tagger()
+    for text in ("The panel (vol. 9, p.\n120) asked for it.", "คณะทำงาน (ชุดที่\n13) เห็นว่าควร", "Any licensee may object under sec.\n498. by day"):
+        assert len(t.units(text)) == 1
+    assert len(t.units("Items:\n1. one\n2. two.\n3. three")) >= 3
+
+
 def test_empty_odd_and_long_texts():
     t = tagger()
     for text in (None, "", "  \n ", "— … !", "​"):
