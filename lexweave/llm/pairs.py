@@ -24,6 +24,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from lexweave.llm import sentences, truncation
 from lexweave.llm.rows import least_hashes, map_rows
 from lexweave.llm.windows import Windows
+from lexweave.session import cut_lineage
 
 SAMPLE, EPOCHS, SEED, RATE, PENALTY = 2000, 3, 11, 0.3, 1e-4
 BUCKETS = 4096
@@ -277,6 +278,7 @@ def judged_pairs(niti_results: DataFrame) -> DataFrame:
     first = niti_results.groupBy("result_id").agg(F.min(F.struct(F.coalesce("run_at", far).alias("t"), "question", "predicted_answer")).alias("f"))
     pairs = first.where("result_id is not null").select("result_id", F.col("f.question").alias("question"), F.col("f.predicted_answer").alias("answer"))
     cut = truncation.judged(truncation.answer_values(niti_results)).where("cut").select(F.col("rec_id").cast("long").alias("result_id"), "cut")
+    cut = cut_lineage(cut)  # ids of few bytes, used by the sample and by the whole
     return pairs.join(cut, "result_id", "left").withColumn("cut", F.coalesce("cut", F.lit(False)))
 
 
