@@ -110,5 +110,11 @@ def display_label(c: Column) -> Column:
     return F.regexp_replace(c, "^\\[.*?\\] ", "")
 
 
-def ngram_safe_ratio(top: Column, bottom: Column) -> Column:
+def chapter_of(chunk_ids: Column) -> Column:
+    """The chapter in the first chunk id of at least two parts, its underscores as blanks; empty if there is none."""
+    first = F.get(F.filter(chunk_ids, lambda c: F.contains(c, F.lit("__"))), F.lit(0))
+    return F.coalesce(F.replace(F.split(first, "__")[1], F.lit("_"), F.lit(" ")), F.lit(""))
+
+
+def safe_ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom > 0, top / bottom).otherwise(F.lit(0.0))

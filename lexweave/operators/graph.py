@@ -47,6 +47,13 @@ def expand(hits: DataFrame, adj: DataFrame, discount: float) -> DataFrame:
     return hits.join(adj.select("src", "dst"), hits["name"] == F.col("src")).select("query_id", F.col("dst").alias("name"), (F.col("score") * discount).alias("score"), F.col("src").alias("via"))
 
 
+def expand_edges(hits: DataFrame, adj: DataFrame, discount: float) -> DataFrame:
+    """One row per edge at a hit, named '(hit) -> (neighbour)', with the discounted score and the edge's description."""
+    name = F.concat(F.lit("("), F.col("src"), F.lit(") -> ("), F.col("dst"), F.lit(")"))
+    own = hits.select("query_id", F.col("name").alias("src"), "score")
+    return own.join(adj, "src").select("query_id", name.alias("name"), (F.col("score") * discount).alias("score"), "description", "type")
+
+
 def k_hop(seeds: DataFrame, adj: DataFrame, depth: int) -> DataFrame:
     """name, hops: every node within ``depth`` of a seed and its least distance. The frontier is what a round adds."""
     reached = seeds.select("name").distinct().withColumn("hops", F.lit(0).cast("long"))

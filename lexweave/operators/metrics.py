@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.functions.text import ngram_safe_ratio
+from lexweave.functions.text import arabic_digits, safe_ratio
 from lexweave.lexicon import STOP_WORDS
 
 CITATION_LABEL = "มาตราที่เกี่ยวข้อง"
@@ -23,7 +23,7 @@ def hit(predicted: Column, truth: Column) -> Column:
 def precision(predicted: Column, truth: Column) -> Column:
     """M1: over the list as it is, repeats and all."""
     p = F.coalesce(predicted, F.array().cast("array<string>"))
-    return ngram_safe_ratio(F.size(F.filter(p, lambda x: F.array_contains(_set(truth), x))), F.size(p))
+    return safe_ratio(F.size(F.filter(p, lambda x: F.array_contains(_set(truth), x))), F.size(p))
 
 
 def recall(predicted: Column, truth: Column) -> Column:
@@ -64,8 +64,8 @@ def micro(df: DataFrame, predicted: str, truth: str, by: list[str]) -> DataFrame
     p, t = _set(F.col(predicted)), _set(F.col(truth))
     rows = df.select(*by, F.size(F.array_intersect(p, t)).alias("tp"), F.size(F.array_except(p, t)).alias("fp"), F.size(F.array_except(t, p)).alias("fn"), citation(F.col(predicted), F.col(truth))["f1"].alias("f1"))
     s = rows.groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")), F.round(F.avg("f1"), 6).alias("macro_f1"), F.count("*").alias("n"))
-    pr, rc = ngram_safe_ratio(F.col("tp"), F.col("tp") + F.col("fp")), ngram_safe_ratio(F.col("tp"), F.col("tp") + F.col("fn"))
-    f1 = ngram_safe_ratio(2 * pr * rc, pr + rc)
+    pr, rc = safe_ratio(F.col("tp"), F.col("tp") + F.col("fp")), safe_ratio(F.col("tp"), F.col("tp") + F.col("fn"))
+    f1 = safe_ratio(2 * pr * rc, pr + rc)
     return s.select(*by, "n", "tp", "fp", "fn", F.round(pr, 6).alias("micro_precision"), F.round(rc, 6).alias("micro_recall"), F.round(f1, 6).alias("micro_f1"), "macro_f1")
 
 
@@ -75,6 +75,32 @@ def cited_sections(answer: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.coalesce(F.get(lines, F.lit(0)), answer), F.lit(r"มาตรา\s*([0-9]+(?:/[0-9]+)?)"), F.lit(1)))
 
 
+def cited_under_law(answer: Column, prefix: str) -> Column:
+    """M4: numbers of the citation line that the body names under the law's prefix; without such a line all that it names so."""
+    mark = "".join(f"\\{c}" if not c.isalnum() else c for c in prefix)
+    named = F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(rf"{mark}\s*มาตรา\s*([0-9๐-๙]+(?:/[0-9๐-๙]+)?)"), F.lit(1)), arabic_digits))
+    line = F.get(F.filter(F.split(answer, "\n"), lambda x: F.contains(x, F.lit(CITATION_LABEL))), F.lit(0))
+    listed = F.transform(F.regexp_extract_all(line, F.lit("([0-9๐-๙]+(?:/[0-9๐-๙]+)?)"), F.lit(1)), arabic_digits)
+    return F.when(line.isNotNull(), F.array_distinct(F.filter(listed, lambda n: F.array_contains(named, n)))).otherwise(named)
+
+
+def ranked_sections(hits: DataFrame, prefix: str | None = None, k: int = 20) -> DataFrame:
+    """query_id, sections: numbers of the k best section hits, under one law if asked, each once in order of rank.
+
+    hits: query_id, name, score. At most k names of a question are gathered.
+    """
+    own = hits.where(F.col("name").contains(prefix)) if prefix else hits
+    number = arabic_digits(F.regexp_extract("name", r"มาตรา\s*([0-9๐-๙]+(?:/[0-9๐-๙]+)?)", 1))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "name")
+    best = own.withColumn("number", number).where("number <> ''").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+    return best.groupBy("query_id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("rn", "number"))), lambda x: x["number"])).alias("sections"))
+
+
+def display_order(sections: Column) -> Column:
+    """By the integer before the slash."""
+    return F.transform(F.array_sort(F.transform(sections, lambda s: F.struct(F.split(s, "/")[0].cast("int").alias("n"), s.alias("s")))), lambda x: x["s"])
+
+
 def ground_truth_sections(laws: Column) -> Column:
     """M9: the first number of each law's content, each once. laws: array<struct<law_name, section_content>>."""
     return F.array_distinct(F.filter(F.transform(laws, lambda x: F.regexp_extract(x["section_content"], r"([0-9]+(?:/[0-9]+)?)", 1)), lambda n: n != ""))
@@ -90,14 +116,14 @@ def overlap_tokens(text: Column) -> Column:
 def overlap(text: Column, reference: Column) -> Column:
     """The share of the reference's tokens that the text has."""
     b = overlap_tokens(reference)
-    return ngram_safe_ratio(F.size(F.array_intersect(overlap_tokens(text), b)), F.size(b))
+    return safe_ratio(F.size(F.array_intersect(overlap_tokens(text), b)), F.size(b))
 
 
 def benchmark_overlap(text: Column, reference: Column) -> Column:
     """M7: as M5 over Thai and Latin runs in lower case, without stop words."""
     tok = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[฀-๿]{2,}|[a-z]{2,}"), F.lit(0)))
     b = tok(reference)
-    return ngram_safe_ratio(F.size(F.array_intersect(tok(text), b)), F.size(b))
+    return safe_ratio(F.size(F.array_intersect(tok(text), b)), F.size(b))
 
 
 def fold_of(key: Column, k: int) -> Column:
@@ -132,5 +158,5 @@ def strategy_matrix(ranked: DataFrame, truth: DataFrame) -> DataFrame:
     rows = truth.join(ranked.select("strategy").distinct()).join(ranked, ["strategy", "query_id"], "left")  # a handful of strategies
     ten, twenty = at_k(F.col("sections"), F.col("truth"), 10), at_k(F.col("sections"), F.col("truth"), 20)
     m = rows.select("strategy", reciprocal_rank(F.col("sections"), F.col("truth")).alias("mrr"), ten["hit"].alias("hit"), ten["precision"].alias("p10"), ten["recall"].alias("r10"), twenty["recall"].alias("r20"))
-    m = m.withColumn("f10", ngram_safe_ratio(2 * F.col("p10") * F.col("r10"), F.col("p10") + F.col("r10")))
+    m = m.withColumn("f10", safe_ratio(2 * F.col("p10") * F.col("r10"), F.col("p10") + F.col("r10")))
     return m.groupBy("strategy").agg(F.count("*").alias("n"), *(F.round(F.avg(c), 6).alias(c) for c in ("hit", "mrr", "p10", "r10", "r20", "f10")))

@@ -123,6 +123,35 @@ def chunk_entities(chunk_hits: DataFrame, entities: DataFrame, s: Settings = DEF
     return found.groupBy("query_id", "name").agg(F.round(F.min_by("score", F.struct("rn", "pos")) * s.chunk_discount + 1e-9, 6).alias("score"))
 
 
+def context(hits: DataFrame, entities: DataFrame, chunks: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """query_id, context: the hits' lines by score, then the first texts that they come from.
+
+    hits: query_id, name, type, score. A question's hits are of stated number; so are its source texts.
+    """
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "name")
+    known = entities.select("name", F.coalesce("description", F.lit("")).alias("description"), "source_chunk_ids")
+    top = hits.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= s.returned).join(known, "name")
+    line = F.concat(F.lit("["), "type", F.lit("] "), "name", F.lit(": "), "description")
+    lines = top.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rn", line.alias("line")))).alias("l"))
+    named = top.select("query_id", "rn", F.posexplode("source_chunk_ids").alias("pos", "chunk_id")).groupBy("query_id", "chunk_id").agg(F.min(F.struct("rn", "pos")).alias("at"))
+    first = named.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("at", "chunk_id"))).where(F.col("k") <= s.source_texts)
+    texts = first.join(chunks.select("chunk_id", "text"), "chunk_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("k", F.substring("text", 1, s.source_chars).alias("text")))).alias("t"))
+    body = F.concat(F.lit("== Entity Context ==\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n\n== Source Text ==\n"), F.array_join(F.transform(F.coalesce("t", F.array().cast("array<struct<k:int,text:string>>")), lambda x: x["text"]), "\n"))
+    return lines.join(texts, "query_id", "left").select("query_id", body.alias("context"))
+
+
+def with_bodies(queries: DataFrame, hits: DataFrame, items: DataFrame, k: int, chars: int) -> DataFrame:
+    """Questions with the first ``chars`` characters of their k best items behind them; off at k = 0.
+
+    hits: query_id, item_id, rn; items: item_id, text.
+    """
+    if not k:
+        return queries
+    bodies = hits.where(F.col("rn") <= k).join(items, "item_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rn", F.substring("text", 1, chars).alias("text")))).alias("b"))
+    more = F.array_join(F.transform("b", lambda x: x["text"]), " ")
+    return queries.join(bodies, "query_id", "left").select("query_id", F.concat_ws(" ", "text", more).alias("text"))
+
+
 def local_search(queries: DataFrame, entities: DataFrame, chunks: DataFrame, edges: DataFrame, expansions: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """query_id, name, type, score, origin: the hits of local search, once each, by greatest score.
 

@@ -101,3 +101,28 @@ def test_truncate(spark):
     rows = [("a" * 10,), ("คำ " * 40 + " มาตรา 5 " + "ก" * 300,), ("x" * 400,), (" ".join(["word"] * 100),)]
     got = [r[0] for r in spark.createDataFrame(rows, "t string").select(answer.truncate(F.col("t"))).collect()]
     assert got[0] == "a" * 10 and got[1].endswith("คำ ...") and got[2] == "x" * 300 + "..." and got[3].endswith("word ...") and len(got[3]) <= 304
+
+
+def test_sections_of_one_law(spark):
+    rows = [("[แพ่ง] มาตรา ๕ และ [อาญา] มาตรา 7\nมาตราที่เกี่ยวข้อง: มาตรา 5, มาตรา 7",), ("[แพ่ง] มาตรา 9",), ("ไม่มี",)]
+    got = [list(r[0]) for r in spark.createDataFrame(rows, "t string").select(metrics.cited_under_law(F.col("t"), "[แพ่ง]")).collect()]
+    assert got == [["5"], ["9"], []]
+    hits = spark.createDataFrame([(1, "[แพ่ง] มาตรา ๕", 0.5), (1, "[แพ่ง] มาตรา 7", 0.9), (1, "[อาญา] มาตรา 8", 1.0), (1, "[แพ่ง] มาตรา 5", 0.4), (1, "ศาล", 2.0)], "query_id int, name string, score double")
+    assert [list(r.sections) for r in metrics.ranked_sections(hits, "[แพ่ง]").collect()] == [["7", "5"]]
+    assert list(spark.createDataFrame([(["12", "9/2", "9"],)], "s array<string>").select(metrics.display_order(F.col("s"))).first()[0]) == ["9", "9/2", "12"]
+
+
+def test_context_and_edges(spark):
+    from lexweave.functions.text import chapter_of
+    from lexweave.operators import graph
+
+    hits = spark.createDataFrame([(1, "a", "LAW", 0.5), (1, "b", "LAW", 0.9)], "query_id int, name string, type string, score double")
+    ents = spark.createDataFrame([("a", None, ["l__c_1__0"]), ("b", "bb", ["l__c_1__0", "l__c_2__0"])], "name string, description string, source_chunk_ids array<string>")
+    chunks = spark.createDataFrame([("l__c_1__0", "one"), ("l__c_2__0", "two")], "chunk_id string, text string")
+    assert search.context(hits, ents, chunks).first().context == "== Entity Context ==\n[LAW] b: bb\n[LAW] a: \n\n== Source Text ==\none\ntwo"
+    assert [r[0] for r in ents.orderBy("name").select(chapter_of(F.col("source_chunk_ids"))).collect()] == ["c 1", "c 1"]
+    adj = spark.createDataFrame([("a", "b", "T", "d", 1.0)], "src string, dst string, type string, description string, weight double")
+    assert graph.expand_edges(hits, adj, 0.7).first().name == "(a) -> (b)"
+    q = spark.createDataFrame([(1, "q")], "query_id int, text string")
+    found = search.with_bodies(q, spark.createDataFrame([(1, 7, 1)], "query_id int, item_id int, rn int"), spark.createDataFrame([(7, "body")], "item_id int, text string"), 1, 2)
+    assert found.first().text == "q bo" and search.with_bodies(q, q, q, 0, 2) is q
