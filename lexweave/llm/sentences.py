@@ -61,7 +61,7 @@ QUOTE_REACH = 400
 #: Where the weights keep the beginnings.
 BEGINS = "beginnings"
 #: Where the weights keep the median score of a training boundary without a space; a single such place in a text needs this share of it.
-SCALE, GLUED_ALONE = "scale", 0.6
+SCALE, GLUED_ALONE, SHORT = "scale", 0.6, 15
 #: A beginning has this many characters, stands in this many items at least, and this share of its places are at their start.
 BEGIN_CHARS, BEGIN_ITEMS, BEGIN_SHARE = (5, 30), 3, 0.97
 
@@ -114,7 +114,7 @@ class Words(dict):
             i -= 1
         stop = 0 if i < 0 else 2 if token[i] in WIDE_STOPS else 1 if token[i] in STOPS else 0
         cuts = {m.start() for m in _GLUED.finditer(token)} if script < 0 else set()
-        if script > 0 and self.begins and len(token) > BEGIN_CHARS[0]:
+        if script > 0 and self.begins and len(token) > BEGIN_CHARS[0] and t not in APOLOGY:
             cuts = {e - n + 1 for e, n in self.begins.iter(token)}
         self[token] = out = (form, script, stop, token[-1] in ":：", token in APOLOGY, not WIDE_STOPS.isdisjoint(token), tuple(sorted(c for c in cuts if 1 < c)))
         return out
@@ -165,7 +165,7 @@ class Candidates:
         quotes = quoted(text)
         section = SECTION.match(text)
         heading_end = section.end() if section else -1
-        q, n_quotes, thai = 0, len(quotes), False
+        q, n_quotes, thai, opened = 0, len(quotes), False, spans[0][0]
         in_item, in_citation = LIST_MARK.match(text), bool(CITATION.match(text))
         dotted = bool(in_item) and in_item.group().rstrip().endswith(".")
         for k in range(len(spans) - 1):
@@ -184,8 +184,10 @@ class Candidates:
                 elif not gap and wide:
                     fixed_(not (q < n_quotes and quotes[q][1] == end - 1))  # a stop inside a quotation ends only that
                 else:
-                    fixed_(False if apology or colon else True if stop == 2 else None if stop or thai else False)
+                    short = not gap and end - opened < SHORT  # no unit is so short that another follows without a space
+                    fixed_(False if apology or colon or short else True if stop == 2 or (stop and not gap and not thai) else None if stop or thai else False)
                 continue
+            opened = nxt
             lines = len(_LINE.findall(gap))
             begin, start = _line_begin(text, nxt), _line_begin(text, end)
             line = text[start:end].strip()

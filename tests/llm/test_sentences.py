@@ -46,6 +46,14 @@ def test_layout():
     assert units('เขาว่า "หนึ่ง สอง. Three four. ห้า" แล้วไป', t) == ['เขาว่า "หนึ่ง สอง. Three four. ห้า" แล้วไป']
 
 
+def test_units_without_a_space_between():
+    t = tagger()
+    assert units("".join(ENGLISH[:4]), t) == ENGLISH[:4]
+    glued = [ITEMS[0], ITEMS[13], ITEMS[26], ITEMS[51]]
+    assert units("".join(glued), t) == glued
+    assert units("ต้องขออภัยด้วย ไม่อาจตอบได้", S.Tagger(S.train([*ITEMS, *(f"ขออภัยที่ตอบช้า คำตอบคือ{x}" for x in ITEMS[:9])]))) == ["ต้องขออภัยด้วย ไม่อาจตอบได้"]
+
+
 def test_numbers_that_begin_a_wrapped_line():
     t = tagger()
     for text in ("The panel (vol. 9, p.\n120) asked for it.", "คณะทำงาน (ชุดที่\n13) เห็นว่าควร", "Any licensee may object under sec.\n498. by day"):
