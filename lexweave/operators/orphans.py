@@ -23,13 +23,15 @@ STATUS_SCHEMA = "ref_table string, ref_id string, ref_field string, ref_key stri
 
 
 def _keyed(df: DataFrame, written: str) -> DataFrame:
-    """With the key's normal form; rows of a null or blank key are left out."""
-    keyed = df.where(F.col(written).isNotNull()).withColumn("key", reference_key(F.col(written)))
-    return keyed.where("key <> ''")
+    """With the key's normal form, empty for a blank one; rows of a null key are left out.
+
+    Blank keys stay until the merge: a filter on the form would be pushed below it and work it out twice.
+    """
+    return df.where(F.col(written).isNotNull()).withColumn("key", reference_key(F.col(written)))
 
 
 def references(relationships: DataFrame, entities: DataFrame) -> DataFrame:
-    """Every reference as written, with the kind of its key and its record's earliest time; null and blank ones are no references.
+    """Every reference as written, with the kind of its key and its record's earliest time; null ones are no references, nor, in the merge, are blank ones.
 
     A redelivered record repeats all columns but the time, so its rows fall together; rows of one id with other
     ends are other references.
@@ -63,7 +65,7 @@ def parents(entities: DataFrame, text_units: DataFrame, tombstones: DataFrame) -
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The linear merge. Of each key its parent row comes first; the last parent seen is carried over batches."""
+    """The linear merge; blank keys are no references. Of each key its parent row comes first; the last parent seen is carried over batches."""
     last: tuple | None = None
     schema = pa.schema([("ref_table", pa.string()), ("ref_id", pa.string()), ("ref_field", pa.string()), ("ref_key", pa.string()), ("loaded_at", pa.timestamp("us", tz="UTC")), ("status", pa.string())])
     for b in batches:
@@ -86,7 +88,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             same |= here
             p_live, p_valid = np.where(here, last[2], p_live), np.where(here, last[3], p_valid)
         status = np.where(~same, "missing", np.where(~p_live, "deleted", np.where(p_valid > loaded, "late", "")))
-        keep = np.flatnonzero(is_ref & (status != ""))
+        keep = np.flatnonzero(is_ref & (status != "") & (key != ""))
         if keep.size:
             take = pa.array(keep)
             yield pa.RecordBatch.from_arrays([*(col[c].take(take).cast(schema.field(c).type) for c in schema.names[:5]), pa.array(status[keep].tolist(), pa.string())], schema=schema)
