@@ -299,7 +299,7 @@ def broken_pairs(niti_results: DataFrame, sample: int = SAMPLE) -> DataFrame:
     their earliest delivery; an empty table gives no rows.
     """
     texts = niti_results.select(F.col("predicted_answer").alias("t"))
-    tagger = sentences.Tagger(sentences.train(sentences.training_items(texts)), frozenset(sentences.heading_lines(texts)))
+    tagger = sentences.Tagger(sentences.trained(texts), frozenset(sentences.heading_lines(texts)))
     pairs = judged_pairs(niti_results)
     labelled = least_hashes(pairs, ["result_id"], sample)
     field = train([(r["question"], r["answer"], r["cut"]) for r in labelled], tagger)

@@ -6,7 +6,8 @@ read in normal form (no invisible characters, every number as 0), and the kind o
 
 The model is trained here by a structured perceptron. List items stand on their own lines, each one unit: stripped of
 their marks and line ends and joined by spaces they are text of known boundaries, which is all that teaches Thai, where
-nothing marks an end. At most ``SAMPLE`` items are taken, by a hash of their text.
+nothing marks an end. At most ``SAMPLE`` items are taken to fit the weights, by a hash of their text; where a unit can
+begin within a run of characters is counted over all items.
 
 Where units follow each other without any space, places within a run of characters are open, too: behind a full stop that
 a capital follows, and before what hardly stands within a run otherwise (``beginnings``); they have weights of their own.
@@ -21,12 +22,15 @@ import random
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import ahocorasick
+import pyarrow as pa
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 from lexweave.llm.rows import earliest_result, least_hashes, map_rows
@@ -64,12 +68,14 @@ BEGINS = "beginnings"
 SCALE, GLUED_ALONE, SHORT = "scale", 0.6, 15
 #: A beginning has this many characters, stands in this many items at least, and this share of its places are at their start.
 BEGIN_CHARS, BEGIN_ITEMS, BEGIN_SHARE = (5, 30), 3, 0.97
+#: A task that counts passes its sums on when it has this many.
+PARTIAL = 100_000
 
 
 def beginnings(items: list[str]) -> list[str]:
     """The shortest prefixes of Thai items that hardly stand anywhere within a run of characters."""
     low, high = BEGIN_CHARS
-    bodies = [" ".join(_NUMBER.sub("0", x).split()) for x in items]
+    bodies = [_body(x) for x in items]
     starts = Counter(b[:n] for b in bodies if _THAI.match(b) for n in range(low, min(high, len(b) - 1) + 1))
     kept = {p: c for p, c in starts.items() if c >= BEGIN_ITEMS and p[-1] != " "}
     if not kept:
@@ -83,6 +89,62 @@ def beginnings(items: list[str]) -> list[str]:
     return sorted(p for p in sure if not any(p[:n] in sure for n in range(low, len(p))))
 
 
+def _body(item: str) -> str:
+    return " ".join(_NUMBER.sub("0", item).split())
+
+
+def _counted(items: DataFrame, make: Callable[[], Callable[[str], list[str]]], schema: StructType) -> DataFrame:
+    """What a function of an item's normal form gives, and how often; each task adds up before its rows leave it."""
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f, found = make(), Counter()
+        for b in batches:
+            for item in b.column(0).to_pylist():
+                found.update(f(_body(item)))
+            if len(found) > PARTIAL:
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), arrow.field(0).type), pa.array(list(found.values()), arrow.field(1).type)], schema=arrow)
+                found.clear()
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), arrow.field(0).type), pa.array(list(found.values()), arrow.field(1).type)], schema=arrow)
+
+    return items.mapInArrow(run, schema).groupBy(schema.names[0]).agg(F.sum(schema.names[1]).alias(schema.names[1]))
+
+
+def counted_beginnings(items: DataFrame) -> list[str]:
+    """``beginnings`` of all items, counted on the executors; only what it gives is collected. items: one string column, repeats count once.
+
+    Inner places are looked at only where a beginning's first characters stand, of which there are few.
+    """
+    low, high = BEGIN_CHARS
+    prefix = StructType([StructField("p", StringType()), StructField("n", LongType())])
+
+    def prefixes(i: int, b: str) -> list[str]:
+        return [b[i : i + n] for n in range(low, min(high, len(b) - i) + 1) if b[i + n - 1] != " "]
+
+    def starts(b: str) -> list[str]:
+        return prefixes(0, b[:-1]) if _THAI.match(b) else []
+
+    once = map_rows(items, lambda: lambda x: [(" ".join(x.split()),)] if x and x.strip() else [], StructType([StructField("item", StringType())])).distinct().persist(StorageLevel.DISK_ONLY)
+    kept = _counted(once, lambda: starts, prefix).withColumnRenamed("n", "n_starts").where(F.col("n_starts") >= BEGIN_ITEMS).persist(StorageLevel.DISK_ONLY)
+    try:
+        heads = once.sparkSession.sparkContext.broadcast(frozenset(r["h"] for r in kept.select(F.substring("p", 1, low).alias("h")).distinct().collect()))
+
+        def make() -> Callable:
+            known = heads.value
+
+            return lambda b: [p for i in range(1, len(b) - low + 1) if b[i - 1] != " " and b[i : i + low] in known for p in prefixes(i, b)]
+
+        within = _counted(once, make, prefix).withColumnRenamed("n", "n_within")
+        both = kept.join(within, "p", "left").withColumn("n_within", F.coalesce("n_within", F.lit(0)))
+        sure = both.where(F.col("n_starts") >= BEGIN_SHARE * (F.col("n_starts") + F.col("n_within"))).select("p")
+        longer = sure.where(F.length("p") > low).select(F.col("p").alias("of"), F.explode(F.expr(f"transform(sequence({low}, length(p) - 1), n -> substring(p, 1, n))")).alias("p")).join(sure, "p", "left_semi").select(F.col("of").alias("p"))
+        return sorted(r["p"] for r in sure.join(longer, "p", "left_anti").collect())
+    finally:
+        once.unpersist()
+        kept.unpersist()
+
+
 class Words(dict):
     """Token to what is to be known of it; emptied when it has grown large.
 
@@ -371,8 +433,8 @@ class Tagger:
         return out
 
 
-def train(items: list[str], epochs: int = EPOCHS, seed: int = SEED) -> dict:
-    """Averaged structured perceptron over sequences of joined items; the items are one unit each."""
+def train(items: list[str], epochs: int = EPOCHS, seed: int = SEED, begins: list[str] | None = None) -> dict:
+    """Averaged structured perceptron over sequences of joined items; the items are one unit each. begins: those of ``items`` where None."""
     rng = random.Random(seed)
     items = sorted({" ".join(x.split()) for x in items if x.strip()})
     if not items:
@@ -382,7 +444,7 @@ def train(items: list[str], epochs: int = EPOCHS, seed: int = SEED) -> dict:
     total: dict[str, float] = {}
     stamp: dict[str, int] = {}
     step = 0
-    begins = beginnings(items)
+    begins = beginnings(items) if begins is None else begins
     words = Words(begins)
 
     def add(f: str, d: float) -> None:
@@ -449,10 +511,27 @@ def list_items(text: str | None) -> list[str]:
     return _ITEM.findall(text) if text else []
 
 
+def all_items(texts: DataFrame) -> DataFrame:
+    """item: each list item of the texts, one string column."""
+    return map_rows(texts, lambda: lambda t: [(x,) for x in list_items(t)], StructType([StructField("item", StringType())]))
+
+
 def training_items(texts: DataFrame, sample: int = SAMPLE) -> list[str]:
     """At most ``sample`` items of all scripts, those of the least hashes; texts: one string column."""
-    found = map_rows(texts, lambda: lambda t: [(x,) for x in list_items(t)], StructType([StructField("item", StringType())]))
-    return [r["item"] for r in least_hashes(found, ["item"], sample)]
+    return _least(all_items(texts), sample)
+
+
+def _least(items: DataFrame, sample: int) -> list[str]:
+    return [r["item"] for r in least_hashes(items, ["item"], sample)]
+
+
+def trained(texts: DataFrame, sample: int = SAMPLE) -> dict:
+    """Weights fitted on at most ``sample`` list items of the texts, with the beginnings of all of them."""
+    items = all_items(texts).persist(StorageLevel.DISK_ONLY)
+    try:
+        return train(_least(items, sample), begins=counted_beginnings(items))
+    finally:
+        items.unpersist()
 
 
 def heading_lines(texts: DataFrame, share: float = HEADING_SHARE) -> list[str]:
@@ -483,7 +562,7 @@ def segment(df: DataFrame, key: str, text: str, time: str, weights: dict[str, fl
 def sentence_units(legal_sections: DataFrame, niti_results: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """rec_table, rec_id, start_pos, end_pos: one row for each unit of raw_text and predicted_answer."""
     texts = legal_sections.select(F.col("raw_text").alias("t")).unionByName(niti_results.select(F.col("predicted_answer").alias("t")))
-    weights, headings = train(training_items(texts, sample)), heading_lines(texts)
+    weights, headings = trained(texts, sample), heading_lines(texts)
     a = segment(legal_sections, "section_id", "raw_text", "loaded_at", weights, headings).select(F.lit("legal_sections").alias("rec_table"), F.col("section_id").alias("rec_id"), "units")
     b = segment(niti_results, "result_id", "predicted_answer", "run_at", weights, headings).select(F.lit("niti_results").alias("rec_table"), F.col("result_id").alias("rec_id"), "units")
     return a.unionByName(b).select("rec_table", "rec_id", F.explode("units").alias("u")).select("rec_table", "rec_id", *(F.col(f"u.{c}").cast("long").alias(c) for c in UNIT.names))

@@ -82,3 +82,12 @@ def test_tables(make):
     assert sorted(r[2:] for r in rows if r[1] == 9) == [(0, len(ITEMS[0])), (len(ITEMS[0]) + 1, len(ITEMS[0]) + 1 + len(ITEMS[5]))]
     assert {r[1] for r in rows} == {1, 9, None}
     assert S.sentence_units(make(SECTIONS, []), make(NITI, [])).count() == 0
+
+
+def test_beginnings_of_all_items_whatever_the_sample(make):
+    bodies = [*ITEMS, *ENGLISH, *(f"อธิบดีกรมที่ดิน{e} ฉบับที่ {i}" for i, e in enumerate(ENDS)), *(f"ระยะทาง{m}ในกรณีที่ผู้ร้อง" for m in ("ก", "ข", "ค"))]
+    texts = make(SECTIONS, [{"section_id": k, "raw_text": "\n".join(f"({i}) {x}" for i, x in enumerate([*bodies, "ท้ายรายการทั้งหมดนี้"]))} for k in range(2)] + [{}]).select("raw_text")
+    want = S.beginnings(bodies)
+    assert any("อธิบดี".startswith(p[:5]) for p in want)
+    assert S.trained(texts, sample=6)[S.BEGINS] == want
+    assert S.trained(texts.limit(0))[S.BEGINS] == []
