@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.config import DEFAULT
+from lexweave.config import DEFAULT, Settings
 from lexweave.operators import rank
 from lexweave.sources.tables import table
 
@@ -37,21 +37,33 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.dense(*_vectors(spark, sf_dir), K)
 
 
+def _ranked_channels(bm25: DataFrame, tfidf: DataFrame, s: Settings) -> dict[str, DataFrame]:
+    return {"bm25": rank.top_k(bm25, s.fetch), "tfidf": rank.top_k(tfidf, s.fetch)}
+
+
 def _channels(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     items, queries = _items(spark, sf_dir), _queries(spark, sf_dir)
-    return {"bm25": rank.top_k(rank.bm25(items, queries), DEFAULT.fetch), "tfidf": rank.top_k(rank.tfidf(items, queries), DEFAULT.fetch)}
+    return _ranked_channels(rank.bm25(items, queries), rank.tfidf(items, queries), DEFAULT)
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.top_k(rank.fuse(_channels(spark, sf_dir)), DEFAULT.top_k)
 
 
+def pooled(items: DataFrame, queries: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """query_id, item_id, rrf, cosine of the fused pool; the cosine is each member's own, however far down its channel (0 without a common term)."""
+    cosines = rank.tfidf(items, queries, s)
+    pool = rank.top_k(rank.fuse(_ranked_channels(rank.bm25(items, queries, s), cosines, s), s), s.pool).select("query_id", "item_id", F.col("score").alias("rrf"))
+    both = pool.join(cosines.select("query_id", "item_id", F.col("score").alias("cosine")), ["query_id", "item_id"], "left")
+    return both.withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
+
+
 def rrf_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fused pool blended with the TF-IDF cosine in the second channel's place (0 where it is none)."""
-    channels = _channels(spark, sf_dir)
-    pool = rank.top_k(rank.fuse(channels), DEFAULT.pool).select("query_id", "item_id", F.col("score").alias("rrf"))
-    second = channels["tfidf"].select("query_id", "item_id", F.col("score").alias("cosine"))
-    both = pool.join(second, ["query_id", "item_id"], "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
+    """The fused pool blended with the TF-IDF cosine, which stands in for the dense similarity.
+
+    The SQL takes 0 for members beyond the first ``fetch`` of TF-IDF, so the two agree only where no member lies there.
+    """
+    both = pooled(_items(spark, sf_dir), _queries(spark, sf_dir))
     return rank.top_k(rank.blend(both, "rrf", "cosine", DEFAULT.rerank_alpha), DEFAULT.top_k).select("query_id", "item_id", "score", "rn")
 
 
