@@ -1,6 +1,7 @@
 """Queries of search, answers and metrics, and their SQL.
 
-Questions are the qa_pairs whose id is divisible by 20; results are all rows of niti_results.
+Questions searched against all rows are the qa_pairs whose id is divisible by 20; those held against a dictionary are all of
+qa_pairs, while the SQL of these three has only the former. Results are all rows of niti_results.
 """
 
 from __future__ import annotations
@@ -19,6 +20,10 @@ DEPTH, FOLDS = 200, 5
 _queries = retrieval._queries
 
 
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "qa_pairs").where("qa_id is not null and question is not null").groupBy(F.col("qa_id").alias("query_id")).agg(F.min("question").alias("text"))
+
+
 def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "entities").where("name is not null").select("name", "type", "description", "source_chunk_ids").distinct()
 
@@ -41,16 +46,16 @@ def item_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.matched_keywords(_queries(spark, sf_dir), _words(spark))
+    return search.matched_keywords(_questions(spark, sf_dir), _words(spark))
 
 
 def keyword_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.suppress_contained(search.matched_keywords(_queries(spark, sf_dir), _words(spark), fuzzy=False))
+    return search.suppress_contained(search.matched_keywords(_questions(spark, sf_dir), _words(spark), fuzzy=False))
 
 
 def query_expansion_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = lexicon.expansions(spark)
-    return search.expansion_boost(search.suppress_contained(search.matched_keywords(_queries(spark, sf_dir), words, fuzzy=False)), words)
+    return search.expansion_boost(search.suppress_contained(search.matched_keywords(_questions(spark, sf_dir), words, fuzzy=False)), words)
 
 
 def section_mention_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
