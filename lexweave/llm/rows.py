@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -41,6 +42,27 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
+def tally(df: DataFrame, make: Callable[[], Callable[..., None]], schema: StructType, most: int = 100_000) -> DataFrame:
+    """Sums by key. ``make`` returns a function that adds one row's share to a Counter whose keys hold all columns but the last.
+
+    Each task passes its sums on when it has ``most`` keys; they are added up after their shuffle.
+    """
+    arrow, (*keys, n) = to_arrow_schema(schema), schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f, found = make(), Counter()
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                f(found, *row)
+                if len(found) >= most:
+                    yield _batch([(*k, c) for k, c in found.items()], arrow)
+                    found.clear()
+        if found:
+            yield _batch([(*k, c) for k, c in found.items()], arrow)
+
+    return df.mapInArrow(run, schema).groupBy(*keys).agg(F.sum(n).alias(n))
+
+
 def earliest_result(df: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
     """Of each record the result from its earliest delivery; unknown times count as last, equal times go by the result."""
     first = F.min(F.struct(F.coalesce(time, F.lit(_FAR).cast("timestamp")).alias("t"), F.col(value).alias("v")))
