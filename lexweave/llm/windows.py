@@ -22,7 +22,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
-    out[0] = 1
+    out[:1] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
