@@ -1,38 +1,47 @@
 """Broken prompt and response pairs (problem 3).
 
 A response is cut into clauses, the sentence units of its body without headings, labels and citation lines. A linear-chain
-conditional random field tags each as answer, refusal, echo of the question, foreign, unfinished or courtesy; the tags'
-coverage of the body makes the pair's defects. The field is trained here on at most ``SAMPLE`` responses, those of the
-least hashes, labelled by fixed phrases, overlap with the question, script and the judgement of the response's end; its
-features are those signs and hashed character n-grams, so that it also learns wordings that the phrases do not hold.
+conditional random field tags each by what it does (answer, refuse, echo the question, courtesy), whether it is foreign and
+whether it is unfinished; the defects are the tags' coverage of the body and nothing else. A pair without any clause is empty.
 
-Whether the end is cut is judged by the character model of cut texts over all responses.
+The field is trained here on at most ``SAMPLE`` responses, those of the least hashes, labelled by fixed phrases, overlap with the
+question, script and the judgement of the response's end. Its features are those signs and hashed character n-grams; the
+phrases are hidden from it in half of its training, so that it learns the wordings around them and decides without them.
+
+Whether the end is cut is judged by the character model of cut texts over all responses; the field has that as a sign.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from lexweave.llm import sentences, truncation
-from lexweave.llm.rows import least_hashes, map_rows
+from lexweave.llm.rows import least_hashes
 from lexweave.llm.windows import Windows
 from lexweave.session import cut_lineage
 
-SAMPLE, EPOCHS, SEED, RATE, PENALTY = 2000, 3, 11, 0.3, 1e-4
+SAMPLE, EPOCHS, SEED, RATE, PENALTY = 2000, 4, 11, 0.3, 1e-4
 BUCKETS = 4096
-COPY_SHARE, FOREIGN_SHARE = 0.9, 0.5
+COPY_SHARE, FOREIGN_SHARE, REFUSAL_SHARE = 0.9, 0.5, 0.8
 #: A clause repeats the question if this share of its five-grams stand in it.
 ECHO = 0.75
 
-ANSWER, REFUSAL, ECHOED, FOREIGN, UNFINISHED, COURTESY = TAGS = range(6)
+#: A tag is what the clause does, plus FOREIGN, plus UNFINISHED.
+ANSWER, REFUSAL, ECHOED, COURTESY = range(4)
+FOREIGN, UNFINISHED, TAGS = 4, 8, range(16)
+#: The signs that are phrases, and how often they are hidden in training.
+PHRASES, HIDE = (9, 10, 11), 0.5
+#: Characters of clauses that are scored together.
+TOGETHER = 200_000
 DEFECTS = ("empty", "truncated", "refusal", "copy", "other_language")
 
 #: What stands for no value; phrases that decline; phrases of courtesy and advice around them; labels.
@@ -159,30 +168,31 @@ N_FEATURES = SIGNS + BUCKETS
 
 
 def weak_label(c: Clause, cut: bool, q_lang: str) -> int:
-    low = c.low
-    if DECLINE.search(low):
-        return REFUSAL
-    if c.last and cut:
-        return UNFINISHED
-    if c.echo >= ECHO:
-        return ECHOED
-    if ADVICE.search(low) or (SORRY.search(low) and c.size < 20):
-        return COURTESY
-    if c.lang and q_lang and c.lang != q_lang:
-        return FOREIGN
-    return ANSWER
+    if DECLINE.search(c.low):
+        does = REFUSAL
+    elif c.echo >= ECHO:
+        does = ECHOED
+    elif ADVICE.search(c.low) or (SORRY.search(c.low) and c.size < 20):
+        does = COURTESY
+    else:
+        does = ANSWER
+    return does + (FOREIGN if c.lang and q_lang and c.lang != q_lang else 0) + (UNFINISHED if c.last and cut else 0)
+
+
+#: Parts of the tags: four of what the clause does, whether it is foreign, whether unfinished; a tag weighs what its parts weigh.
+PARTS = np.stack([[t & 3 == k for t in TAGS] for k in range(4)] + [[bool(t & FOREIGN) is b for t in TAGS] for b in (False, True)] + [[bool(t & UNFINISHED) is b for t in TAGS] for b in (False, True)]).astype(np.float32)
 
 
 class Field:
     """A linear-chain conditional random field over sparse binary features."""
 
     def __init__(self, weights: np.ndarray | None = None, moves: np.ndarray | None = None):
-        self.w = np.zeros((N_FEATURES, len(TAGS))) if weights is None else weights
+        self.w = np.zeros((N_FEATURES, len(PARTS))) if weights is None else weights
         self.t = np.zeros((len(TAGS), len(TAGS))) if moves is None else moves
 
     def scores(self, seq: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         # n-grams weigh together as much as one sign
-        return np.stack([self.w[few].sum(0) + self.w[many].sum(0) / max(1, len(many)) ** 0.5 for few, many in seq])
+        return np.stack([self.w[few].sum(0) + self.w[many].sum(0) / max(1, len(many)) ** 0.5 for few, many in seq]) @ PARTS
 
     def train(self, data: list[tuple[list[tuple[np.ndarray, np.ndarray]], list[int]]], epochs: int = EPOCHS, seed: int = SEED) -> Field:
         """Stochastic gradient ascent of the log-likelihood, by forward-backward."""
@@ -191,6 +201,8 @@ class Field:
         for _ in range(epochs):
             for i in rng.permutation(len(data)):
                 seq, gold = data[i]
+                if rng.random() < HIDE:
+                    seq = [(few[~np.isin(few, PHRASES)], many) for few, many in seq]
                 s = self.scores(seq)
                 n = len(s)
                 a, b = np.empty_like(s), np.zeros_like(s)
@@ -211,13 +223,15 @@ class Field:
                 for k, (few, many) in enumerate(seq):
                     for idx, scale in ((few, 1.0), (many, 1 / max(1, len(many)) ** 0.5)):
                         if len(idx):
-                            step = scale * g[k]
+                            step = scale * (g[k] @ PARTS.T)
                             seen_w[idx] += step**2  # a bucket met twice in a clause counts once
                             self.w[idx] += RATE * (step - PENALTY * self.w[idx]) / np.sqrt(seen_w[idx])
         return self
 
-    def decode(self, seq: list[tuple[np.ndarray, np.ndarray]]) -> list[int]:
-        s = self.scores(seq)
+    def decode(self, s: np.ndarray) -> np.ndarray:
+        """The best tags of a sequence, by the scores of its clauses."""
+        if len(s) == 1:
+            return s.argmax(1)
         best, back = s[0], []
         for k in range(1, len(s)):
             m = best[:, None] + self.t
@@ -226,7 +240,7 @@ class Field:
         tags = [int(best.argmax())]
         for p in reversed(back):
             tags.append(int(p[tags[-1]]))
-        return tags[::-1]
+        return np.asarray(tags[::-1])
 
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -238,40 +252,52 @@ def sequence(cs: list[Clause], cut: bool, q_lang: str) -> list[tuple[np.ndarray,
     return [(np.asarray(features(c, i == 0, cut, q_lang)), many) for i, (c, many) in enumerate(zip(cs, hashed(cs), strict=True))]
 
 
-def defects(question: str | None, answer: str | None, cut: bool, tagger: sentences.Tagger, field: Field) -> list[str]:
+def covered(cs: list[Clause], tags: np.ndarray) -> list[str]:
     """The pair's defects by the coverage of its clauses' tags."""
-    cs = clauses(question, answer, tagger)
-    if not cs:
-        return ["empty"]
-    q_lang = language(question or "")
-    tags = field.decode(sequence(cs, cut, q_lang))
-    size: Counter[int] = Counter()
-    foreign = 0
-    for c, tag in zip(cs, tags, strict=True):
-        if tag in (ANSWER, FOREIGN) and ADVICE.search(c.low):
-            tag = COURTESY
-        size[tag] += c.size
-        if tag == FOREIGN or (q_lang and c.lang and c.lang != q_lang):
-            foreign += c.size
-    total = sum(size.values())
-    said = total - size[COURTESY]
+    size = np.asarray([c.size for c in cs])
+    does = tags & 3
+    by = [int(size[does == k].sum()) for k in range(4)]
+    total, said = int(size.sum()), int(size.sum()) - by[COURTESY]
     out = []
-    if cut:
+    if tags[-1] & UNFINISHED:
         out.append("truncated")
-    # a clause cut short may still decline or repeat
-    last = cs[-1]
-    tail = last.size if tags[-1] == UNFINISHED else 0
-    echoed = size[ECHOED] + (tail if last.echo >= ECHO else 0)
-    refused = size[REFUSAL] + (tail if DECLINE.search(last.low) else 0)
-    if refused and not size[ANSWER] + size[FOREIGN] + (tail if refused == size[REFUSAL] else 0):
+    if by[REFUSAL] and by[REFUSAL] >= REFUSAL_SHARE * (by[REFUSAL] + by[ANSWER]):
         out.append("refusal")
-    if said and echoed / said >= COPY_SHARE:
+    if said and by[ECHOED] >= COPY_SHARE * said:
         out.append("copy")
-    if total and foreign / total > FOREIGN_SHARE:
+    if int(size[(tags & FOREIGN) > 0].sum()) > FOREIGN_SHARE * total:
         out.append("other_language")
     return out
 
 
+def defects(rows: list[tuple[str | None, str | None, bool]], tagger: sentences.Tagger, field: Field) -> list[list[str]]:
+    """The defects of each (question, answer, whether its end is cut); the clauses of all are scored together."""
+    all_ = [clauses(q, a, tagger) for q, a, _ in rows]
+    flat = [c for cs in all_ for c in cs]
+    if not flat:
+        return [["empty"] for _ in rows]
+    few, of = [], []
+    for cs, (q, _, cut) in zip(all_, rows, strict=True):
+        q_lang = language(q or "") if cs else ""
+        for i, c in enumerate(cs):
+            own = features(c, i == 0, cut, q_lang)
+            few.extend(own)
+            of.append(len(own))
+    scores = np.add.reduceat(field.w[few], np.concatenate([[0], np.cumsum(of)[:-1]]))
+    many = hashed(flat)
+    n = np.asarray([len(m) for m in many])
+    if n.any():
+        some = np.flatnonzero(n)
+        sums = np.add.reduceat(field.w[np.concatenate(many)], np.concatenate([[0], np.cumsum(n[some])[:-1]]))
+        scores[some] += sums / np.sqrt(n[some])[:, None]
+    scores = scores @ PARTS
+    out, at = [], 0
+    for cs in all_:
+        out.append(covered(cs, field.decode(scores[at : at + len(cs)])) if cs else ["empty"])
+        at += len(cs)
+    return out
+
+
 def judged_pairs(niti_results: DataFrame) -> DataFrame:
     """result_id, question, answer and whether its end is cut, of each record's earliest delivery."""
     far = F.lit("9999-12-31").cast("timestamp")
@@ -305,12 +331,35 @@ def broken_pairs(niti_results: DataFrame, sample: int = SAMPLE) -> DataFrame:
     field = train([(r["question"], r["answer"], r["cut"]) for r in labelled], tagger)
     model = niti_results.sparkSession.sparkContext.broadcast((tagger.w, tagger.headings, field.w.astype(np.float32), field.t))
 
-    def make() -> Callable:
-        w, headings, fw, ft = model.value
-        own, f = sentences.Tagger(w, headings), Field(fw, ft)
-        return lambda key, q, a, cut: [(key, d) for d in defects(q, a, cut, own, f)]
+    return pairs.select("result_id", "question", "answer", "cut").mapInArrow(_finder(model), _DEFECTS)
+
+
+_DEFECTS = StructType([StructField("result_id", LongType()), StructField("defect", StringType())])
 
-    return map_rows(pairs.select("result_id", "question", "answer", "cut"), make, StructType([StructField("result_id", LongType()), StructField("defect", StringType())]))
+
+def _finder(model) -> Callable:
+    schema = to_arrow_schema(_DEFECTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, headings, fw, ft = model.value
+        tagger, field = sentences.Tagger(w, headings), Field(fw, ft)
+        ids, rows, size = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            found = [(k, d) for k, own in zip(ids, defects(rows, tagger, field), strict=True) for d in own]
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], c.type) for i, c in enumerate(schema)], schema=schema)
+
+        for b in batches:
+            for key, q, a, cut in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                ids.append(key)
+                rows.append((q, a, cut))
+                size += len(a or "") + 100
+                if size >= TOGETHER:
+                    yield out()
+                    ids, rows, size = [], [], 0
+        yield out()
+
+    return run
 
 
 def defect_report(found: DataFrame, niti_results: DataFrame) -> DataFrame:
