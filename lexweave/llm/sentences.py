@@ -235,11 +235,17 @@ class Candidates:
             _, script, stop, colon, apology, wide, _ = infos[k]
             if script:
                 thai = script > 0
-            while q < n_quotes and quotes[q][1] + 1 < end:
-                q += 1
-            within = q < n_quotes and quotes[q][0] < end <= quotes[q][1]
-            gap = text[end:nxt] if nxt - end != 1 or text[end] != " " else " "
-            if gap == " " or ("\n" not in gap and "\r" not in gap):
+            within = False
+            if q < n_quotes:
+                while q < n_quotes and quotes[q][1] + 1 < end:
+                    q += 1
+                within = q < n_quotes and quotes[q][0] < end <= quotes[q][1]
+            if nxt - end == 1 and text[end] == " ":
+                gaps_("S")
+                fixed_(False if within or in_item or in_citation or end <= heading_end or apology or colon else True if stop == 2 else None if stop or thai else False)
+                continue
+            gap = text[end:nxt]
+            if "\n" not in gap and "\r" not in gap:
                 gaps_("S" if gap else "G")
                 if within or in_item or in_citation or end <= heading_end:
                     fixed_(False)
@@ -313,6 +319,7 @@ class Tagger:
         self.left: dict[str, float] = {}
         self.right: dict[str, float] = {}
         self.pair: dict[tuple[str, str], float] = {}
+        self.moves: tuple[list[list[float]], float] | None = None
 
     @staticmethod
     def left_features(c: str, glued: bool) -> list[str]:
@@ -331,18 +338,12 @@ class Tagger:
 
     @staticmethod
     def contexts(forms: list[str], ks: list[int]) -> list[tuple[str, str]]:
-        out, n, far_left, far_right = [], len(forms), LEFT[-1], RIGHT[-1]
-        for k in ks:
-            left, i = forms[k], k - 1
-            while len(left) < far_left and i >= 0:
-                left = forms[i] + " " + left
-                i -= 1
-            right, i = forms[k + 1], k + 2
-            while len(right) < far_right and i < n:
-                right += " " + forms[i]
-                i += 1
-            out.append((left[-far_left:], right[:far_right]))
-        return out
+        joined, ends, at = " ".join(forms), [], -1
+        for f in forms:
+            at += len(f) + 1
+            ends.append(at)
+        far_left, far_right = LEFT[-1], RIGHT[-1]
+        return [(joined[max(0, ends[k] - far_left) : ends[k]], joined[ends[k] + 1 : ends[k] + 1 + far_right]) for k in ks]
 
     def score(self, left: str, right: str, gap: str) -> float:
         w, glued = self.w, gap == "G"
@@ -366,29 +367,49 @@ class Tagger:
             self.pair[key] = c = sum(w.get(x, 0.0) for x in self.pair_features(*key, False))
         return a + b + c + w.get("gap" + gap, 0.0)
 
+    def _moves(self) -> tuple[list[list[float]], float]:
+        """The weights of transitions, and what they can turn at most."""
+        if self.moves is None:
+            t = [[self.w.get(f"tt{a}{b}", 0.0) for b in (0, 1)] for a in (0, 1)]
+            self.moves = t, 2 * sum(abs(x) for row in t for x in row)
+        return self.moves
+
     def viterbi(self, scores: list[float], fixed: list[bool | None]) -> list[bool]:
         """Of all taggings the best, where a fixed place has its tag; transitions are 'tt' + both tags."""
-        w = self.w
-        t = [[w.get(f"tt{a}{b}", 0.0) for b in (0, 1)] for a in (0, 1)]
-        sway = 2 * sum(abs(x) for row in t for x in row)
-        if all(f is not None or s > sway or s < -sway for s, f in zip(scores, fixed, strict=True)):
-            return [s > 0 if f is None else f for s, f in zip(scores, fixed, strict=True)]  # no transition can turn any
-        best, back = [0.0, -1e18], []
-        for s, f in zip(scores, fixed, strict=True):
-            new, ptr = [], []
-            for tag in (0, 1):
-                cand = [best[0] + t[0][tag], best[1] + t[1][tag]]
-                p = int(cand[1] > cand[0])
-                new.append(-1e18 if f is not None and bool(tag) is not f else cand[p] + (s if tag else 0.0))
-                ptr.append(p)
-            best = new
-            back.append(ptr)
-        tag = int(best[1] > best[0])
-        tags = []
-        for ptr in reversed(back):
-            tags.append(bool(tag))
-            tag = ptr[tag]
-        return tags[::-1]
+        (t0, t1), sway = self._moves()
+        tags: list[bool] = []
+        before, i, n = 0, 0, len(scores)
+        while i < n:
+            s, f = scores[i], fixed[i]
+            if f is not None or s > sway or s < -sway:
+                tags.append(bool(f) if f is not None else s > 0)
+                before = int(tags[-1])
+                i += 1
+                continue
+            # a run of places that transitions can turn, between such as they cannot
+            first, (a, b) = (t0, t1)[before], (0.0, 0.0)
+            back: list[tuple[int, int]] = []
+            start = i
+            while i < n and fixed[i] is None and -sway <= scores[i] <= sway:
+                s = scores[i]
+                if i == start:
+                    a, b = first[0], first[1] + s
+                else:
+                    to0, to1 = b + t1[0] > a + t0[0], b + t1[1] > a + t0[1]
+                    back.append((int(to0), int(to1)))
+                    a, b = (b + t1[0] if to0 else a + t0[0]), (b + t1[1] if to1 else a + t0[1]) + s
+                i += 1
+            if i < n:
+                tag = int(bool(fixed[i]) if fixed[i] is not None else scores[i] > 0)
+                a, b = a + t0[tag], b + t1[tag]
+            tag = int(b > a)
+            own = [bool(tag)]
+            for ptr in reversed(back):
+                tag = ptr[tag]
+                own.append(bool(tag))
+            tags.extend(reversed(own))
+            before = int(tags[-1])
+        return tags
 
     def boundaries(self, text: str, c: Candidates) -> list[bool]:
         ks = [k for k, f in enumerate(c.fixed) if f is None]
@@ -408,6 +429,9 @@ class Tagger:
         return out
 
     def _decode(self, c: Candidates, score: dict[int, float]) -> list[bool]:
+        sway = self._moves()[1]
+        if all(s > sway or s < -sway for k, s in score.items() if c.fixed[k] is None):  # no transition can turn any
+            return [score[k] > 0 if f is None else f for k, f in enumerate(c.fixed)]
         # inside-only places between two open ones say nothing, so the chain runs over open and boundary places
         where = [k for k, f in enumerate(c.fixed) if f is not False]
         out = [False] * len(c.fixed)
