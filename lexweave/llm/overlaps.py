@@ -2,20 +2,22 @@
 
 Edit-distance segment join. Each question gets a canonical form: letters and digits in NFC, lower case, Arabic digits,
 without courtesy words. Two rows can only match if their sets of sections and their numbers (dates, amounts, periods)
-are the same, so rows are shuffled once to that key. There each evaluation string is cut into k + 1 segments, k being the
-edits allowed; a train string within k edits of it holds one of them unchanged, at most k characters from its place, or
-as far from it as one of the train string's sentences begins when their order differs. One automaton finds them, a banded
-dynamic program verifies.
-
-Equal strings of a key and side are one class, and only classes are matched. A key that holds at least ``hot_share`` of
-all rows, of which there are at most 1 / hot_share, is spread over a grid: its evaluation classes over ``grid`` rows and
-its train classes over ``grid`` columns, each cell one task's work.
+are the same, so rows are shuffled once to that key. A pair may differ by ``edits`` of the longer string's characters, which is at most
+k = edits / (1 - edits) of the evaluation string's, as a train string longer than that is out of reach. Each evaluation string is cut
+into k + 1 segments and one more for each seam between its sentences: a train string within reach holds one of them unchanged, at most k
+characters from its place or, where the order of sentences differs, in a sentence that stands elsewhere. One automaton finds them. The
+train string's sentences are put in the order in which the evaluation string has them, and a banded dynamic program verifies.
+
+Equal strings of a key and side are one class, and only classes are matched. A key of many classes is spread over a grid as
+wide as it needs for a cell to hold at most ``cell_rows`` of each side; each cell is one task's work.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -23,11 +25,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from lexweave.llm.rows import map_rows
 
-EDITS, BLOCK, HOT_SHARE, GRID = 0.2, 14, 0.005, 8
+EDITS, BLOCK, CELL_ROWS = 0.2, 14, 4000
 
 #: Words of courtesy around a question.
 COURTESY = re.compile(
@@ -44,22 +46,27 @@ MONTHS = dict(
 )
 _MONTH = re.compile("|".join(re.escape(m) for m in sorted(MONTHS, key=len, reverse=True)))
 _DIGITS = {ord(a): b for a, b in zip("๐๑๒๓๔๕๖๗๘๙", "0123456789", strict=True)} | dict.fromkeys([0x200B, 0x200C, 0x200D, 0xFEFF])
+_STOP, _WIDE_STOP = re.compile(r"[.?!。？！…;:][\"”'」』)）]*$"), re.compile(r"(?<=[。？！])")
+_THAI = re.compile("[ก-๛]")
 _NUMBER = re.compile(r"[0-9](?:[0-9,]*[0-9])?(?:\.[0-9]+)?")
 _WORDS = re.compile(r"[^\W_]+(?:[ัิ-ฺ็-๎゙゚]+[^\W_]*)*|[ัิ-ฺ็-๎]+")
 
 
 def canonical(question: str) -> tuple[str, list[int], str]:
-    """The string to compare, the offsets in it at which a chunk of the question begins, and its numbers as a key."""
+    """The string to compare, the offsets in it at which a sentence (in Thai, what stands between spaces) may begin, and its numbers as a key."""
     t = unicodedata.normalize("NFC", question.translate(_DIGITS)).lower()
     t = COURTESY.sub(" ", _MONTH.sub(lambda m: MONTHS[m.group()], t))
     numbers = sorted(x.replace(",", "") for x in _NUMBER.findall(t))
-    out, starts, at = [], [], 0
-    for chunk in t.split():
+    out, starts, at, ended = [], [], 0, True
+    for chunk in _WIDE_STOP.sub(" ", t).split():
         s = "".join(_WORDS.findall(chunk))
+        thai = bool(_THAI.search(chunk))
         if s:
-            starts.append(at)
+            if ended or thai:
+                starts.append(at)
             out.append(s)
             at += len(s)
+        ended = thai or bool(_STOP.search(chunk))
     return "".join(out), starts, " ".join(numbers)
 
 
@@ -69,6 +76,11 @@ def section_key(sections: list[str | None] | None) -> str:
     return ",".join(sorted(names - {""}))
 
 
+def reach(s: str, edits: float) -> int:
+    """The edits within which a string can match s at all: the longer of the two allows them."""
+    return int(edits / (1 - edits) * len(s) + 1e-9)
+
+
 def segments(s: str, k: int) -> list[tuple[int, str]]:
     """s cut into k + 1 segments of even length, as (offset, segment); fewer if s is shorter than that."""
     n = min(k + 1, len(s))
@@ -115,47 +127,54 @@ class Cell:
 
     def __init__(self, edits: float, block: int):
         self.edits, self.block = edits, block
-        self.strings: list[tuple[int, str]] = []
+        self.strings: list[tuple] = []
+        self.bags: list[Counter[str]] = []
         self.automaton = None
 
-    def add(self, number: int, s: str) -> None:
-        self.strings.append((number, s))
+    def add(self, number: int | bytes, s: str, starts: list[int] | tuple[int, ...] = (0,)) -> None:
+        self.strings.append((number, s, tuple(starts)))
+        self.bags.append(Counter(s))
 
     def _build(self) -> None:
-        places: dict[str, list[tuple[int, int]]] = {}
-        for i, (_, s) in enumerate(self.strings):
-            for at, seg in segments(s, int(self.edits * len(s))):
-                places.setdefault(seg, []).append((i, at))
+        places: dict[str, dict[int, list[int]]] = {}
+        for i, (_, s, own) in enumerate(self.strings):
+            for at, seg in segments(s, reach(s, self.edits) + max(0, len(own) - 1)):
+                places.setdefault(seg, {}).setdefault(i, []).append(at)
         self.automaton = ahocorasick.Automaton()
         for seg, where in places.items():
-            self.automaton.add_word(seg, (len(seg), where))
+            self.automaton.add_word(seg, (len(seg), list(where.items())))
         self.automaton.make_automaton()
 
-    def matches(self, t: str, starts: list[int]) -> list[tuple[int, int]]:
-        """(evaluation class, distance) of each string that t is within the allowed edits of, itself or turned at a chunk."""
+    def matches(self, t: str, starts: list[int]) -> list[tuple[int | bytes, int]]:
+        """(evaluation class, distance) of each string that t is within the allowed edits of, its sentences in whatever order."""
         if not self.strings or not t:
             return []
         if self.automaton is None:
             self._build()
-        turns: dict[int, set[int]] = {}
+        shifts: dict[int, dict[int, Counter[int]]] = {}
+        ends = [*starts[1:], len(t)]
+        here = 0
         for end, (length, where) in self.automaton.iter(t):
             p = end - length + 1
-            for i, at in where:
-                k = int(self.edits * len(self.strings[i][1]))
-                shift = p - at
-                own = turns.setdefault(i, set())
-                if abs(shift) <= k:
-                    own.add(0)
-                for r in starts:
-                    if r and (abs(shift - r) <= k or abs(shift + len(t) - r) <= k):
-                        own.add(r)
-        out = []
-        for i, rs in turns.items():
-            number, s = self.strings[i]
+            if p < (starts[here] if starts else 0):
+                here = 0
+            while here + 1 < len(starts) and starts[here + 1] <= p:
+                here += 1
+            for i, ats in where:
+                if len(ats) > 8:  # a segment that stands everywhere: its nearest place will do
+                    j = bisect_left(ats, p)
+                    ats = ats[max(0, j - 1) : j + 1]
+                for at in ats:
+                    if len(starts) > 1 or abs(p - at) <= reach(self.strings[i][1], self.edits):
+                        shifts.setdefault(i, {}).setdefault(here, Counter())[p - at] += 1
+        bag, out = Counter(t), []
+        for i, own in shifts.items():
+            number, s, places = self.strings[i]
             k = int(self.edits * max(len(s), len(t)))
+            if len(s) - len(t) > k or len(t) - len(s) > k or max((self.bags[i] - bag).total(), (bag - self.bags[i]).total()) > k:
+                continue  # no order brings them nearer
             best = k + 1
-            for r in sorted(rs):
-                turned = t[r:] + t[:r]
+            for turned in self._orders(s, places, t, starts, ends, own):
                 d = 0 if s == turned else banded_distance(s, turned, min(k, best))
                 if d < best and max(longest_gap(s, turned), longest_gap(turned, s)) <= self.block:
                     best = d
@@ -165,15 +184,58 @@ class Cell:
                 out.append((number, best))
         return out
 
+    @staticmethod
+    def _orders(s: str, places: tuple[int, ...], t: str, starts: list[int], ends: list[int], shifts: dict[int, Counter[int]]) -> list[str]:
+        """t as it is, and with its sentences in such orders as s may have them in.
+
+        By the sentences that are most alike, where both have as many; by where most of a sentence's segments stand in s, one
+        without any behind the one before it; and turned where most segments' shift says.
+        """
+        out, n = [t], len(starts)
+        if n < 2:
+            return out
+        orders = []
+        if len(places) == n:
+            orders.append(_alike([s[a:b] for a, b in zip(places, (*places[1:], len(s)), strict=True)], [t[a:b] for a, b in zip(starts, ends, strict=True)]))
+        place, order = -1.0, []
+        for j, start in enumerate(starts):
+            if j in shifts:
+                place = start - min(shifts[j].items(), key=lambda x: (-x[1], abs(x[0])))[0]
+            order.append((place, j))
+        orders.append([j for _, j in sorted(order)])
+        votes: Counter[int] = Counter()
+        for own in shifts.values():
+            votes.update(own)
+        for shift, _ in votes.most_common(3):
+            r = min(range(n), key=lambda x: min(abs(shift - starts[x]), abs(shift + len(t) - starts[x])))
+            orders.append([*range(r, n), *range(r)])
+        for by in orders:
+            if (turned := "".join(t[starts[j] : ends[j]] for j in by)) not in out:
+                out.append(turned)
+        return out
+
+
+def _alike(a: list[str], b: list[str]) -> list[int]:
+    """Which of b stands for each of a in turn: the pairs that differ least in their characters first."""
+    bags_a, bags_b = [Counter(x) for x in a], [Counter(x) for x in b]
+    cost = sorted(((x - y).total() + (y - x).total(), abs(i - j), i, j) for i, x in enumerate(bags_a) for j, y in enumerate(bags_b))
+    of: dict[int, int] = {}
+    taken: set[int] = set()
+    for _, _, i, j in cost:
+        if i not in of and j not in taken:
+            of[i] = j
+            taken.add(j)
+    return [of[i] for i in range(len(a))]
+
 
 _CANON = StructType(
-    [StructField("qa_id", LongType()), StructField("train", BooleanType()), StructField("key", LongType()), StructField("cls", LongType()), StructField("s", StringType()), StructField("starts", ArrayType(IntegerType()))]
+    [StructField("qa_id", LongType()), StructField("train", BooleanType()), StructField("key", BinaryType()), StructField("cls", BinaryType()), StructField("s", StringType()), StructField("starts", ArrayType(IntegerType()))]
 )
 
 
-def _hash(s: str) -> int:
-    h = xxhash.xxh3_64_intdigest(s)
-    return h - (1 << 64) if h >> 63 else h
+def _hash(s: str) -> bytes:
+    """128 bits, so that no two strings are taken for one."""
+    return xxhash.xxh3_128_digest(s.encode("utf-8", "surrogatepass"))
 
 
 def classes(qa: DataFrame) -> DataFrame:
@@ -196,7 +258,7 @@ def classes(qa: DataFrame) -> DataFrame:
 
 
 def _joiner(edits: float, block: int) -> Callable:
-    schema = pa.schema([("cls_e", pa.int64()), ("cls_t", pa.int64()), ("distance", pa.int32())])
+    schema = pa.schema([("cls_e", pa.binary()), ("cls_t", pa.binary()), ("distance", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, own = Cell(edits, block), None
@@ -208,27 +270,27 @@ def _joiner(edits: float, block: int) -> Callable:
                 if train:
                     found.extend((e, cls, d) for e, d in cell.matches(s, starts))
                 else:
-                    cell.add(cls, s)
+                    cell.add(cls, s, starts)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
-def class_links(members: DataFrame, edits: float = EDITS, block: int = BLOCK, hot_share: float = HOT_SHARE, grid: int = GRID) -> DataFrame:
+def class_links(members: DataFrame, edits: float = EDITS, block: int = BLOCK, cell_rows: int = CELL_ROWS) -> DataFrame:
     """cls_e, cls_t, distance: each evaluation class with each train class that it matches."""
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     reps = members.groupBy("key", "train", "cls").agg(F.first("s").alias("s"), F.first("starts").alias("starts"))
-    counts = members.groupBy("key").count()
-    hot = counts.where(F.col("count") >= F.greatest(F.lit(1000.0), F.lit(hot_share) * counts.agg(F.sum("count")).scalar())).select("key", F.lit(grid).alias("g"))
-    reps = reps.join(F.broadcast(hot), "key", "left")
-    mine = F.pmod(F.col("cls"), F.coalesce("g", F.lit(1))).cast("int")
+    # a key's width is known to its own rows only: hot keys are at most as many as all classes by cell_rows
+    hot = reps.groupBy("key").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("g")).where("g > 1")
+    reps = reps.join(hot, "key", "left")
+    mine = F.pmod(F.xxhash64("cls"), F.coalesce("g", F.lit(1))).cast("int")
     other = F.sequence(F.lit(0), F.coalesce("g", F.lit(1)) - 1)
     cells = reps.withColumn("other", F.explode(other)).select(
         "key", F.when(F.col("train"), F.col("other")).otherwise(mine).alias("ge"), F.when(F.col("train"), mine).otherwise(F.col("other")).alias("gt"), "train", "cls", "s", "starts"
     )
     spread = cells.repartition(n, "key", "ge", "gt").sortWithinPartitions("key", "ge", "gt", "train", "cls")
-    return spread.mapInArrow(_joiner(edits, block), "cls_e long, cls_t long, distance int")
+    return spread.mapInArrow(_joiner(edits, block), "cls_e binary, cls_t binary, distance int")
 
 
 def overlaps(qa: DataFrame, **options) -> DataFrame:
@@ -244,10 +306,16 @@ def overlaps(qa: DataFrame, **options) -> DataFrame:
     return links.join(e, "cls_e").join(t, "cls_t").select("qa_id_e", "qa_id_t", "distance")
 
 
-def overlap_report(found: DataFrame, qa: DataFrame) -> DataFrame:
-    """Per split and source of the evaluation row: its rows, those with a match in train, the share, and the pairs."""
+def overlap_report(qa: DataFrame, **options) -> DataFrame:
+    """Per split and source of the evaluation row: its rows, those with a match in train, the share, and the pairs.
+
+    Pairs are counted from the sizes of the classes, and not listed.
+    """
+    members = classes(qa)
+    sizes = members.where("train").groupBy(F.col("cls").alias("cls_t")).agg(F.count("*").alias("n"))
+    matched = class_links(members, **options).join(sizes, "cls_t").groupBy(F.col("cls_e").alias("cls")).agg(F.sum("n").alias("pairs"))
+    pairs = members.where("not train").join(matched, "cls").select(F.col("qa_id").alias("qa_id_e"), "pairs")
     rows = qa.groupBy(F.col("qa_id").alias("qa_id_e")).agg(F.min("split").alias("split"), F.min("source").alias("source")).where("split <> 'train'")
-    pairs = found.groupBy("qa_id_e").agg(F.count("*").alias("pairs"))
     joined = rows.join(pairs, "qa_id_e", "left")
     n, hit = F.count("*"), F.count("pairs")
     return joined.groupBy("split", "source").agg(n.alias("n_rows"), hit.alias("n_overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("n_pairs"), F.round(hit / n, 6).alias("share"))
