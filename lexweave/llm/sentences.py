@@ -56,6 +56,9 @@ MONTHS = frozenset(
 )
 
 _TOKEN = re.compile(r"\S+")
+#: Words of a line that hold no stop or colon, with the one behind them: nothing between them is open outside Thai.
+_COARSE = re.compile(r"(?:[^\s.!?…:：]++[^\S\r\n]++(?=\S))*+\S+")
+_WIDE = re.compile(r"[。！？]")
 _NUMBER = re.compile(r"[0-9๐-๙]+(?:[,./:\-][0-9๐-๙]+)*")
 _INVISIBLE = dict.fromkeys([0x200B, 0x200C, 0x200D, 0xFEFF])
 _LINE = re.compile(r"\r\n?|\n")
@@ -205,8 +208,23 @@ class Candidates:
     def __init__(self, text: str, words: Words, headings: frozenset[str] = frozenset()):
         spans: list[tuple[int, int]] = []
         infos: list[tuple] = []
-        for m in _TOKEN.finditer(text):
-            info = words[m.group()]
+        coarse = not _THAI.search(text) and not _WIDE.search(text)
+        for m in (_COARSE if coarse else _TOKEN).finditer(text):
+            token = m.group()
+            if coarse and len(parts := token.split()) > 1:
+                last = words[parts[-1]]
+                start = m.end() - len(parts[-1])
+                head = unicodedata.normalize("NFC", " ".join(parts[:-1]).translate(_INVISIBLE))
+                script = last[1] or (-1 if any(map(str.isalpha, head)) else 0)
+                cut = start + last[6][0] if last[6] else m.end()
+                own = words[token[start - m.start() : cut - m.start()]] if last[6] else last
+                spans.append((m.start(), cut))
+                infos.append((f"{_NUMBER.sub('0', head)} {own[0]}", own[1] or script, *own[2:]))
+                for a, b in zip(last[6], (*last[6][1:], len(parts[-1])), strict=False):
+                    spans.append((start + a, start + b))
+                    infos.append(words[parts[-1][a:b]])
+                continue
+            info = words[token]
             if info[5]:  # a script without spaces: its stops end tokens
                 self._split(text, m.start(), m.end(), words, spans, infos)
             elif info[6]:
@@ -560,7 +578,9 @@ def trained(texts: DataFrame, sample: int = SAMPLE) -> dict:
 
 def heading_lines(texts: DataFrame, share: float = HEADING_SHARE) -> list[str]:
     """First lines without digits that open at least ``share`` of the texts of several lines: at most 1 / share of them."""
-    lines = texts.toDF("t").where(F.col("t").rlike("[\\r\\n]")).select(F.trim(F.regexp_extract("t", "^\\s*([^\\r\\n]*)", 1)).alias("line"))
+    several = texts.toDF("t").where(F.col("t").contains("\n") | F.col("t").contains("\r"))
+    begin = F.substring(F.ltrim("t", F.lit(" \t\n\x0b\f\r")), 1, HEADING_CHARS + 2)
+    lines = several.select(F.trim(F.substring_index(F.substring_index(begin, "\n", 1), "\r", 1)).alias("line"))
     counts = lines.where(F.length("line").between(1, HEADING_CHARS)).groupBy("line").count()
     rows = counts.where(F.col("count") >= F.greatest(F.lit(3.0), F.lit(share) * lines.agg(F.count("*").alias("n")).scalar())).collect()
     return [r["line"] for r in rows if r["line"] not in APOLOGY and not any(c.isdigit() for c in r["line"])]
