@@ -2,24 +2,30 @@
 
 Sum-of-squares packing: each item goes where the sum of the squared numbers of open containers per residual gap
 becomes least; of equal places, to the one that it fills most. Documents are spread by a hash of their id over
-buckets, each packed on its own, the largest items first; only ids and sizes are shuffled. A bucket leaves a few
-containers partly open, so the loss falls with its size.
+buckets, each packed on its own, the largest items first; only ids and sizes are shuffled. There are as many buckets as the
+tokens of all documents need for ``BUCKET_CONTAINERS`` containers each, however the session is set. What a bucket leaves in
+containers less than ``FULL`` full is packed once more with the other buckets' leftovers, a share of about that many at a time.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from lexweave.llm.rows import map_rows
+from lexweave.session import cut_lineage
 
 CAPACITY = 2048
+#: Containers of one bucket; a container this full stays as it is.
+BUCKET_CONTAINERS, FULL = 5000, 0.98
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 #: Fixed value: the byte-level tokenizers' pattern of words.
@@ -76,42 +82,66 @@ class SumOfSquares:
         return number
 
 
-PACKED = StructType([StructField("doc_id", LongType()), StructField("part", IntegerType()), StructField("n_tokens", IntegerType()), StructField("container_id", StringType())])
+PACKED = StructType([StructField("doc_id", LongType()), StructField("part", IntegerType()), StructField("n_tokens", IntegerType()), StructField("container_id", StringType()), StructField("left", BooleanType())])
 
 
-def _packer(capacity: int) -> Callable:
-    """Rows come sorted by bucket; a bucket's state ends with it."""
+def _packer(capacity: int, name: str, full: float) -> Callable:
+    """Rows come sorted by bucket; a bucket is packed when its rows end: (document, part, size) and its container, and whether that is left for the next round."""
+    schema = to_arrow_schema(PACKED)
 
-    def make() -> Callable:
-        state, bucket = SumOfSquares(capacity), None
-
-        def place(doc: int, part: int, size: int, own: int) -> list[tuple]:
-            nonlocal state, bucket
+    def packed(bucket: int, rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        state, filled = SumOfSquares(capacity), []
+        own = []
+        for _, _, size in rows:
             if not size:
-                return [(doc, part, 0, None)]
-            if own != bucket:
-                state, bucket = SumOfSquares(capacity), own
-            return [(doc, part, size, f"{own}-{state.place(size)}")]
-
-        return place
-
-    return make
+                own.append(-1)
+                continue
+            own.append(state.place(size))
+            filled.extend([0] * (state.containers - len(filled)))
+            filled[own[-1]] += size
+        left = [c >= 0 and filled[c] < full * capacity for c in own]
+        columns = [*zip(*rows, strict=True), [None if c < 0 else f"{name}{bucket}-{c}" for c in own], left]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, rows = None, []
+        for b in batches:
+            for own, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if own != bucket:
+                    if rows:
+                        yield packed(bucket, rows)
+                    bucket, rows = own, []
+                rows.append(tuple(row))
+        if rows:
+            yield packed(bucket, rows)
+
+    return run
+
+
+def _spread(parts: DataFrame, n: int, capacity: int, name: str, full: float) -> DataFrame:
+    bucketed = parts.select(F.pmod(F.xxhash64("doc_id", F.lit(name)), F.lit(n)).cast("int").alias("bucket"), "doc_id", "part", "n_tokens")
+    return bucketed.repartition("bucket").sortWithinPartitions("bucket", F.desc("n_tokens"), "doc_id", "part").mapInArrow(_packer(capacity, name, full), PACKED)
 
 
 def pack(sizes: DataFrame, capacity: int = CAPACITY, buckets: int | None = None) -> DataFrame:
     """sizes: doc_id, n_tokens. Rows doc_id, part, n_tokens, container_id, one for each part of each document.
 
     A document over the capacity becomes full parts and a rest; any other is one part. One of no tokens, or of a
-    null text, takes no room and gets a null container. Repeated doc_ids are packed as often as they come.
+    null text, takes no room and gets a null container. Repeated doc_ids are packed as often as they come. ``buckets`` sets
+    their number; sizes are best kept (a checkpoint, a table), as they are read twice.
     """
-    n = buckets or int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = F.coalesce("n_tokens", F.lit(0))
     full = F.floor(F.greatest(size - 1, F.lit(0)) / capacity).cast("int")
     parts = sizes.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), full), lambda i: F.least(F.lit(capacity), size - i * capacity).cast("int"))).alias("part", "n_tokens"))
-    parts = parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
-    spread = parts.repartition(n, "bucket").sortWithinPartitions("bucket", F.desc("n_tokens"), "doc_id", "part")
-    return map_rows(spread, _packer(capacity), PACKED)
+    if buckets is None:
+        total = sizes.agg(F.coalesce(F.sum(F.col("n_tokens").cast("long")), F.lit(0))).first()[0]
+        buckets = max(1, round(total / capacity / BUCKET_CONTAINERS))
+    first = cut_lineage(_spread(parts, buckets, capacity, "", FULL))
+    left = first.where("left")
+    # the leftovers of so many buckets that they fill about one bucket's containers
+    again = max(1, round(left.agg(F.coalesce(F.sum(F.col("n_tokens").cast("long")), F.lit(0))).first()[0] / capacity / BUCKET_CONTAINERS))
+    return first.where("not left").unionByName(_spread(left, again, capacity, "r", 0.0)).drop("left")
 
 
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, buckets: int | None = None) -> DataFrame:
-    return pack(token_sizes(documents, vocabulary), capacity, buckets)
+    return pack(cut_lineage(token_sizes(documents, vocabulary)), capacity, buckets)
