@@ -13,9 +13,9 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from lexweave.llm.rows import earliest_result, map_rows
+from lexweave.llm.rows import map_rows
 
 LIMIT, OVERLAP = 1200, 100
 
@@ -44,7 +44,10 @@ def _price(gap: str, before: str) -> float:
 
 
 def cut_tokens(prices: np.ndarray, limit: int, overlap: int) -> list[int]:
-    """Where to cut; ``prices[i]`` is the price of a cut before token i, for 0 < i < n. Token n closes the last piece."""
+    """Where to cut; ``prices[i]`` is the price of a cut before token i, for 0 < i < n. Token n closes the last piece.
+
+    The least sum is that over the natural boundaries and, where none follows another within half a piece, every place between those two.
+    """
     n, step = len(prices), limit - overlap
     natural = np.flatnonzero(prices < BARE)
     natural = natural[(natural > overlap) & (natural < n)]
@@ -103,11 +106,12 @@ def split_oversized(df: DataFrame, key: str, text: str, time: str, limit: int =
     Null and empty texts, and texts within the limit, give no row. Of a repeated key its earliest delivery
     counts. Positions count code points. A text without any natural boundary is cut between tokens.
     """
-    long = df.where((F.length(text) > limit) & (F.regexp_count(text, F.lit(TOKEN)) > limit))
-    long = long.select(F.col(key).cast("string").alias("k"), F.col(time).alias("t"), F.col(text).alias("x"))
-    schema = StructType([StructField("k", StringType()), StructField("t", TimestampType()), StructField("pieces", ArrayType(PIECE))])
-    cut = map_rows(long, lambda: lambda k, t, x: [(k, t, [dict(zip(PIECE.names, p, strict=True)) for p in pieces(x, limit, overlap)])], schema, 256)
-    return earliest_result(cut, ["k"], "t", "pieces").withColumnRenamed("k", key)
+    rows = df.select(F.col(key).cast("string").alias("k"), F.coalesce(time, F.lit("9999-12-31").cast("timestamp")).alias("t"), F.col(text).alias("x"))
+    # the earliest delivery is chosen among all; only long texts are carried along
+    long = (F.length("x") > limit) & (F.regexp_count("x", F.lit(TOKEN)) > limit)
+    first = rows.select("k", "t", F.when(long, F.col("x")).alias("x")).groupBy("k").agg(F.min(F.struct("t", "x")).alias("f")).where("f.x is not null").select("k", "f.x")
+    schema = StructType([StructField(key, StringType()), StructField("pieces", ArrayType(PIECE))])
+    return map_rows(first, lambda: lambda k, x: [(k, [dict(zip(PIECE.names, p, strict=True)) for p in pieces(x, limit, overlap)])], schema, 256)
 
 
 def oversized_tables(legal_sections: DataFrame, text_units: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
