@@ -64,7 +64,6 @@ _INVISIBLE = dict.fromkeys([0x200B, 0x200C, 0x200D, 0xFEFF])
 _LINE = re.compile(r"\r\n?|\n")
 _THAI = re.compile(r"[ก-๛]")
 _GLUED = re.compile(r"(?<=[^\W_][^\W_][.!?])(?=[A-ZÄÖÜ](?:[a-zäöüß]|$))|(?<=[.!?)\"”][.!?)\"”])(?=[A-ZÄÖÜ](?:[a-zäöüß]|$))|(?<=[0-9][.!?])(?=[A-ZÄÖÜ](?:[a-zäöüß]|$))")
-QUOTE_REACH = 400
 #: Where the weights keep the beginnings.
 BEGINS = "beginnings"
 #: Where the weights keep the median score of a training boundary without a space; a single such place in a text needs this share of it.
@@ -185,18 +184,21 @@ class Words(dict):
         return out
 
 
+_BLANK_LINE = re.compile(r"(?:\r\n?|\n)[^\S\r\n]*(?:\r\n?|\n)")
+
+
 def quoted(text: str) -> list[tuple[int, int]]:
-    """Spans between quotation marks; one left open reaches to the end of a text that ends soon after it."""
+    """Spans between quotation marks, of whatever length; one that is never closed reaches to the next blank line or the end."""
     spans, i, n = [], 0, len(text)
     for m in re.finditer('["“„「『«]', text):
         if m.start() < i:
             continue
-        close = text.find(QUOTES[m.group()], m.start() + 1, m.start() + 1 + QUOTE_REACH)
+        close = text.find(QUOTES[m.group()], m.start() + 1)
         if close < 0:
-            close = n if n - m.start() <= QUOTE_REACH else -1
-        if 0 <= close and (close - m.start() <= QUOTE_REACH or close == n):
-            spans.append((m.start(), close))
-            i = close + 1
+            blank = _BLANK_LINE.search(text, m.end())
+            close = blank.start() if blank else n
+        spans.append((m.start(), close))
+        i = close + 1
     return spans
 
 

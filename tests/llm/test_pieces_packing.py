@@ -79,6 +79,14 @@ def test_oversized_tables(make):
     assert pieces.oversized_tables(make(SECTIONS, []), make(UNITS, [])).count() == 0
 
 
+def test_the_earliest_delivery_counts_whatever_its_length(make):
+    long, short = "ก " * 1201, "ก"
+    later = datetime(2024, 2, 1)
+    rows = [{"section_id": 1, "raw_text": short, "loaded_at": AT}, {"section_id": 1, "raw_text": long, "loaded_at": later}, {"section_id": 2, "raw_text": long, "loaded_at": AT}, {"section_id": 2, "raw_text": short, "loaded_at": later}, {"section_id": 3, "raw_text": None, "loaded_at": AT}, {"section_id": 3, "raw_text": long, "loaded_at": later}]
+    found = pieces.split_oversized(make(SECTIONS, rows), "section_id", "raw_text", "loaded_at")
+    assert [r.section_id for r in found.collect()] == ["2"]
+
+
 def test_sum_of_squares_places_where_the_sum_is_least():
     rng = random.Random(5)
     s = packing.SumOfSquares(20)
@@ -128,6 +136,31 @@ def test_packing(spark):
     assert packing.pack(sizes(spark, [])).count() == 0
 
 
+def test_fill_does_not_hang_on_the_session(spark):
+    """Of the sizes of the test data's documents, or such as them, at least 0.97 of the containers' room is used, in 8 and in 200 partitions."""
+    rng = random.Random(2)
+    values = [min(9000, int(rng.lognormvariate(6, 0.9)) + 1) for _ in range(3000)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (8, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            used = {r.container_id for r in packing.pack(sizes(spark, values)).collect()}
+            assert sum(values) / 2048 / len(used) >= 0.97
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_leftovers_of_many_buckets_are_packed_again(spark):
+    rng = random.Random(4)
+    values = [rng.randint(300, 1500) for _ in range(4000)]
+    rows = packing.pack(sizes(spark, values), buckets=150).collect()
+    fill: dict = {}
+    for r in rows:
+        fill[r.container_id] = fill.get(r.container_id, 0) + r.n_tokens
+    assert max(fill.values()) <= 2048 and sum(values) / 2048 / len(fill) >= 0.95
+    assert sorted(r.doc_id for r in rows) == list(range(4000))
+
+
 def test_documents(make):
     e = packing.encoding()
     texts = ["ก ข ค", None, "", "the fee", "the fee", "x " * 9000]

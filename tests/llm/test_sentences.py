@@ -91,3 +91,11 @@ def test_beginnings_of_all_items_whatever_the_sample(make):
     assert any("อธิบดี".startswith(p[:5]) for p in want)
     assert S.trained(texts, sample=6)[S.BEGINS] == want
     assert S.trained(texts.limit(0))[S.BEGINS] == []
+
+
+def test_a_quotation_of_any_length_is_not_divided():
+    tagger = S.Tagger({"gapS": 1.0, "gapN": 1.0})
+    for n in (1, 5, 100, 3000):
+        text = "The panel said: “" + " ".join(["This was found." for _ in range(n)]) + "” The rest follows."
+        assert len(tagger.units(text)) == 2
+    assert len(tagger.units('He wrote "open. Then more.\n\nNext one. Last one.')) == 3
