@@ -1,11 +1,12 @@
 """Dictionaries, as small data frames with an explicit order.
 
-The query-expansion dictionary, of over 200 entries, is a parameter: a file of rows (keyword, ord, prefix, section).
+The query-expansion dictionary, of over 200 entries, is a parameter: a file of rows (keyword, ord, prefix, section), or derived from the graph.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 # Fixed values, keyword and canonical name, in the order in which they are tried.
 OFFENSES = [
@@ -43,9 +44,6 @@ CRIMINAL_SIGNS = "อาญา ระวางโทษ ระวาง จำ
 CIVIL_SIGNS = "แพ่ง นิติกรรม สัญญา ละเมิด มรดก บุริมสิทธิ อายุความ หนี้ ภูมิลำเนา นิติภาวะ สาบสูญ โมฆะ โมฆียะ ข่มขู่".split()
 CONSTITUTION_SIGNS = "รัฐธรรมนูญ อธิปไตย รัฐสภา นายก พระมหากษัตริย์ คณะรัฐมนตรี เลือกตั้ง สิทธิเสรีภาพ".split()
 ROYAL_OFFENSE_SIGNS = "ปลงพระ ประทุษร้าย หมิ่นพระ".split()
-#: Expansion entries to go on with where no file is given: the terms' sections in the criminal code.
-FEW_EXPANSIONS = [("ป้องกัน", 1, "[อาญา]", "68"), ("ป้องกัน", 2, "[อาญา]", "69"), ("ป้องกันตัว", 1, "[อาญา]", "68"), ("ป้องกันตัว", 2, "[อาญา]", "69"), ("จำเป็น", 1, "[อาญา]", "67")]
-
 # The kinds of keyword entity: type, dictionary, edge type, weight; in the order in which a chunk's names are taken.
 KEYWORD_KINDS = [("OFFENSE", OFFENSES, "RELATES_TO", 0.7), ("LEGAL_CONCEPT", CONCEPTS, "INVOLVES_CONCEPT", 0.5), ("ORGANIZATION", ORGANIZATIONS, "MENTIONS", 0.4), ("PERSON_TYPE", PERSONS, "MENTIONS", 0.3)]
 
@@ -56,7 +54,20 @@ def keyword_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "ord int, type string, keyword string, name string, edge string, weight double")
 
 
-def expansions(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """(keyword, ord, prefix, section) from a JSON-lines file, or the few entries held here."""
-    schema = "keyword string, ord int, prefix string, section string"
-    return spark.read.schema(schema).json(path) if path else spark.createDataFrame(FEW_EXPANSIONS, schema)
+def expansions(spark: SparkSession, path: str) -> DataFrame:
+    """(keyword, ord, prefix, section) from a JSON-lines file."""
+    return spark.read.schema("keyword string, ord int, prefix string, section string").json(path)
+
+
+def derived_expansions(entities: DataFrame, edges: DataFrame, most: int = 10) -> DataFrame:
+    """(keyword, ord, prefix, section) by rule from the graph: an offence's or concept's name, without what is in brackets behind it, stands for the sections that an edge joins to it.
+
+    The weightiest edge comes first, equal ones by the section's name; at most ``most`` sections to a keyword.
+    """
+    keyword = F.trim(F.regexp_replace("name", r"\s*\([^()]*\)$", ""))
+    words = entities.where("type in ('OFFENSE', 'LEGAL_CONCEPT')").select("name", keyword.alias("keyword")).where("length(keyword) > 1").distinct()
+    ends = edges.select(F.col("source").alias("section"), F.col("target").alias("name"), "weight").where(F.col("section").rlike(r"^\[[^\]]+\] มาตรา [0-9]"))
+    found = ends.join(words, "name").groupBy("keyword", "section").agg(F.max(F.coalesce("weight", F.lit(0.0))).alias("weight"))
+    w = Window.partitionBy("keyword").orderBy(F.desc("weight"), "section")
+    ranked = found.withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= most)
+    return ranked.select("keyword", "ord", F.regexp_extract("section", r"^(\[[^\]]+\]) มาตรา (.+)$", 1).alias("prefix"), F.regexp_extract("section", r"^(\[[^\]]+\]) มาตรา (.+)$", 2).alias("section"))

@@ -76,14 +76,26 @@ def extras(hits: DataFrame, selected: DataFrame, queries: DataFrame, s: Settings
     return ranked.where(F.col("rn") <= F.when(F.col("role") == "primary", s.primary_extras).otherwise(s.secondary_extras)).select("query_id", "name", "type", "score", "role")
 
 
-def render(selected: DataFrame, texts: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, answer: the sections' texts in order of rank and a line of their numbers; a fixed text if there are none."""
+def render(selected: DataFrame, texts: DataFrame, queries: DataFrame, more: DataFrame | None = None, reports: DataFrame | None = None) -> DataFrame:
+    """query_id, answer: the sections' texts in order of rank, extras, reports and a line of the sections' numbers; a fixed text if there are none.
+
+    more: query_id, name, description, score, role of extras, at most a few of each role to a question. reports: query_id, title, summary, rn
+    of the first reports (T9), of stated number.
+    """
     body = selected.join(texts.select("name", "statute"), "name", "left")
     number = F.regexp_extract("name", r"มาตรา\s*([0-9]+(?:/[0-9]+)?)", 1)
     lines = body.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rn", "name", "statute", number.alias("number")))).alias("s"))  # at most max_sections rows
     text = F.array_join(F.transform("s", lambda x: F.concat_ws("\n", x["name"], x["statute"])), "\n\n")
     cited = F.concat(F.lit(CITED), F.array_join(F.array_distinct(F.transform("s", lambda x: F.concat(F.lit("มาตรา "), x["number"]))), ", "))
-    full = lines.select("query_id", F.concat(text, F.lit("\n\n"), cited).alias("answer"))
+    blocks = [text]
+    if more is not None:
+        row = F.struct(F.when(F.col("role") == "primary", 0).otherwise(1).alias("o"), (-F.col("score")).alias("s"), "name", F.concat_ws(": ", "name", truncate(F.col("description"))).alias("line"))
+        lines = lines.join(more.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("x")), "query_id", "left")
+        blocks.append(F.array_join(F.transform("x", lambda x: F.concat(F.lit("- "), x["line"])), "\n"))
+    if reports is not None:
+        lines = lines.join(reports.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rn", F.concat_ws(": ", "title", "summary").alias("line")))).alias("r")), "query_id", "left")
+        blocks.append(F.array_join(F.transform("r", lambda x: F.concat(F.lit("- "), x["line"])), "\n"))
+    full = lines.select("query_id", F.concat_ws("\n\n", *blocks, cited).alias("answer"))
     return queries.select("query_id").join(full, "query_id", "left").select("query_id", F.when(F.length(F.trim(F.coalesce("answer", F.lit("")))) < 20, NOT_FOUND).otherwise(F.col("answer")).alias("answer"))
 
 

@@ -89,6 +89,8 @@ def components(nodes: DataFrame, simple: DataFrame, rounds: int = 60) -> DataFra
         edges = new
         if not changed:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select(F.col("b").alias("name"), F.col("a").alias("component"))
     return nodes.select("name").distinct().join(roots, "name", "left").select("name", F.coalesce("component", "name").alias("component"))
 
@@ -108,7 +110,8 @@ def modularity(labels: DataFrame, simple: DataFrame) -> DataFrame:
 
 def communities(nodes: DataFrame, simple: DataFrame, rounds: int = 8) -> DataFrame:
     """Name, community by deterministic label moving: each round every second node, by hash and round, takes the label
-    of greatest modularity gain among its neighbours'. A label is the name of a node. Written out after each round.
+    of greatest modularity gain among its neighbours'. A label is the name of a node. Written out after each round. ``rounds``
+    is a parameter of the method, which has no end of its own: labels need not settle.
     """
     adj = cut_lineage(adjacency(simple.where("a <> b")).select("src", "dst").distinct())
     degree = adj.groupBy(F.col("src").alias("name")).agg(F.count("*").alias("k"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions.text import arabic_digits, safe_ratio
 from lexweave.lexicon import STOP_WORDS
+from lexweave.session import cut_lineage
 
 CITATION_LABEL = "มาตราที่เกี่ยวข้อง"
 
@@ -126,20 +127,50 @@ def benchmark_overlap(text: Column, reference: Column) -> Column:
     return safe_ratio(F.size(F.array_intersect(tok(text), b)), F.size(b))
 
 
+def semantic(overlap_: Column, similarity: Column | None = None) -> Column:
+    """M6: 0.6 of the texts' similarity, held within 0 and 1, and 0.4 of their overlap; the overlap alone where there is no similarity."""
+    if similarity is None:
+        return overlap_
+    return F.when(similarity.isNull(), overlap_).otherwise(0.6 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), similarity)) + 0.4 * overlap_)
+
+
+def faithfulness(answer: Column, truth: Column, similarity: Column | None = None, judge: Column | None = None) -> Column:
+    """M6: a judge's score if there is one, else how the answer compares with the truth."""
+    own = semantic(overlap(answer, truth), similarity)
+    return own if judge is None else F.coalesce(judge, own)
+
+
+def relevancy(answer: Column, question: Column, similarity: Column | None = None, judge: Column | None = None) -> Column:
+    """M6: as faithfulness, of the answer without the question that its first line may repeat."""
+    own = semantic(overlap(without_echo(answer), question), similarity)
+    return own if judge is None else F.coalesce(judge, own)
+
+
+def without_echo(answer: Column) -> Column:
+    return F.trim(F.regexp_replace(answer, r"^คำถาม:[^\n]*\n?", ""))
+
+
 def fold_of(key: Column, k: int) -> Column:
     """W9 at any size: a fold from the key's digest; sizes are even but for chance. ``exact_folds`` evens them out."""
     return F.pmod(F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long"), F.lit(k))
 
 
 def exact_folds(questions: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
-    """Adds ``fold``: a seeded permutation's place modulo k, so that sizes differ by at most one. For question sets of a stated size."""
-    import random
-
-    ids = sorted(r[0] for r in questions.select(key).distinct().collect())
-    order = list(range(len(ids)))
-    random.Random(seed).shuffle(order)
-    table = questions.sparkSession.createDataFrame([(ids[i], j % k) for j, i in enumerate(order)], f"{key} {questions.schema[key].dataType.simpleString()}, fold int")
-    return questions.join(F.broadcast(table), key)
+    """Adds ``fold``: the place of each key in a seeded order, modulo k, so that sizes differ by at most one.
+
+    The order is that of a digest of seed and key. It is sorted in ranges; the driver gets the ranges' sizes and no keys.
+    """
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
+    n = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = questions.select(key).where(F.col(key).isNotNull()).distinct().withColumn("order", order).repartitionByRange(n, "order", key).sortWithinPartitions("order", key)
+    at = F.monotonically_increasing_id()
+    placed = cut_lineage(ranged.select(key, F.shiftright(at, 33).alias("range"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("i")))
+    first, before = {}, 0
+    for r in placed.groupBy("range").count().orderBy("range").collect():
+        first[r["range"]] = before
+        before += r["count"]
+    starts = F.create_map(*(F.lit(x) for kv in first.items() for x in kv)) if first else F.create_map(F.lit(0).cast("long"), F.lit(0))
+    return questions.join(placed.select(key, F.pmod(F.col("i") + starts[F.col("range")], F.lit(k)).cast("int").alias("fold")), key)
 
 
 def fold_summary(per_fold: DataFrame, metrics: list[str], by: list[str] | None = None) -> DataFrame:

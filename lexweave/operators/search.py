@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from lexweave.config import DEFAULT, Settings
 from lexweave.functions.text import arabic_digits, match_spans
 from lexweave.operators import graph, rank
 
+#: Characters by which concepts are looked up.
+HEAD = 8
 SECTION_MENTION = r"มาตรา\s*[0-9๐-๙]+(?:/[0-9๐-๙]+)?"
 
 
@@ -75,6 +81,13 @@ def matched_keywords(queries: DataFrame, words: DataFrame, fuzzy: bool = True) -
     return queries.join(own, held).select("query_id", "keyword")
 
 
+def matched_words(queries: DataFrame, words: DataFrame, block: int = 200_000) -> DataFrame:
+    """query_id, keyword of each word of a dictionary of any size that a question holds, by one automaton in each task, ``block`` words at a time."""
+    kind = queries.schema["query_id"].dataType
+    held = words_within(queries.select(F.col("query_id").cast("string"), "text"), words.select(F.col("keyword").alias("word")).distinct(), block)
+    return held.select(F.col("community").cast(kind).alias("query_id"), F.col("word").alias("keyword"))
+
+
 def suppress_contained(matched: DataFrame) -> DataFrame:
     """Without the keywords that a longer matched one of the same question contains."""
     longer = matched.select("query_id", F.col("keyword").alias("other"))
@@ -87,7 +100,7 @@ def expansion_boost(matched: DataFrame, expansions: DataFrame, s: Settings = DEF
     entries = expansions.join(expansions.groupBy("keyword").agg(F.count("*").alias("n")), "keyword")
     name = F.concat("prefix", F.lit(" มาตรา "), "section")
     score = s.expansion_base + (F.col("n") - (F.col("ord") - 1)) * s.expansion_step
-    return matched.join(F.broadcast(entries), "keyword").groupBy("query_id", name.alias("name")).agg(F.round(F.max(score), 6).alias("score"))
+    return matched.join(entries, "keyword").groupBy("query_id", name.alias("name")).agg(F.round(F.max(score), 6).alias("score"))
 
 
 def mentioned_sections(queries: DataFrame, prefixes: list[str]) -> DataFrame:
@@ -101,13 +114,14 @@ def mentioned_sections(queries: DataFrame, prefixes: list[str]) -> DataFrame:
 def concept_sections(queries: DataFrame, entities: DataFrame, adj: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """query_id, name, score of the sections beside a concept that the question names.
 
-    Concepts are matched by their words: every concept of at most 64 characters is looked up among the question's
-    substrings of its length, an equi-join, as the concepts grow with the graph.
+    An equi-join, as the concepts grow with the graph: the first ``HEAD`` characters of each concept's name are looked up among
+    the question's substrings of that length, then the whole name is compared in place.
     """
-    concepts = entities.where("type = 'LEGAL_CONCEPT' and length(name) between 1 and 64").select("name", F.length("name").alias("len")).distinct()
-    lengths = F.broadcast(concepts.select("len").distinct())  # at most 64 rows
-    grams = queries.join(lengths, F.length("text") >= F.col("len")).select("query_id", F.explode(F.expr("transform(sequence(1, length(text) - len + 1), i -> substring(text, i, len))")).alias("name")).distinct()
-    held = grams.join(concepts.select("name"), "name")
+    concepts = entities.where("type = 'LEGAL_CONCEPT' and name <> ''").select("name", F.substring("name", 1, HEAD).alias("head")).distinct()
+    lengths = F.broadcast(concepts.select(F.length("head").alias("len")).distinct())  # at most HEAD rows
+    places = queries.join(lengths, F.length("text") >= F.col("len")).select("query_id", "text", F.explode(F.expr("transform(sequence(1, length(text) - len + 1), i -> named_struct('at', i, 'head', substring(text, i, len)))")).alias("p"))
+    whole = F.substr(F.col("text"), F.col("p.at"), F.length("name")) == F.col("name")
+    held = places.join(concepts, F.col("p.head") == F.col("head")).where(whole).select("query_id", "name").distinct()
     sections = entities.where("type = 'SECTION'").select(F.col("name").alias("dst"))
     near = held.join(adj.select("src", "dst"), held["name"] == adj["src"]).join(sections, "dst", "left_semi")
     return near.select("query_id", F.col("dst").alias("name")).distinct().withColumn("score", F.lit(s.concept_floor))
@@ -123,6 +137,17 @@ def chunk_entities(chunk_hits: DataFrame, entities: DataFrame, s: Settings = DEF
     return found.groupBy("query_id", "name").agg(F.round(F.min_by("score", F.struct("rn", "pos")) * s.chunk_discount + 1e-9, 6).alias("score"))
 
 
+def trimmed(name: Column, description: Column, limit: int = 1200) -> Column:
+    """A section's description up to where another section is first named, beyond its first 40 characters; else at most ``limit`` characters."""
+    own = _number(name)
+    spans = F.filter(match_spans(description, r"\s+มาตรา\s+[0-9๐-๙]+(?:/[0-9๐-๙]+)?"), lambda m: (m["start"] > 40) & (_number(m["text"]) != own))
+    at = F.get(spans, F.lit(0))["start"]
+    head = F.substring(description, 1, limit)
+    blank = limit - F.instr(F.reverse(head), " ")
+    short = F.when((F.instr(head, " ") > 0) & (blank > 400), F.concat(F.rtrim(F.substr(description, F.lit(1), blank)), F.lit(" ..."))).otherwise(F.concat(head, F.lit("...")))
+    return F.when(at.isNotNull(), F.rtrim(F.substr(description, F.lit(1), at))).when(F.length(description) > limit, short).otherwise(description)
+
+
 def context(hits: DataFrame, entities: DataFrame, chunks: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """query_id, context: the hits' lines by score, then the first texts that they come from.
 
@@ -167,7 +192,7 @@ def local_search(queries: DataFrame, entities: DataFrame, chunks: DataFrame, edg
     via = chunk_entities(named.where("kind = 'chunk'").select("query_id", F.col("name").alias("chunk_id"), "score", "rn"), entities, s).withColumn("origin", F.lit("chunk"))
     simple = graph.simple_edges(graph.within(edges, entities))
     adj = graph.adjacency(simple)
-    boosted = expansion_boost(suppress_contained(matched_keywords(queries, expansions)), expansions, s).withColumn("origin", F.lit("expansion"))
+    boosted = expansion_boost(suppress_contained(matched_words(queries, expansions)), expansions, s).withColumn("origin", F.lit("expansion"))
     concept = concept_sections(queries, entities, adj, s).withColumn("origin", F.lit("concept"))
     mention = mentioned_sections(queries, ["อาญา", "แพ่ง", "รธน"]).withColumn("score", F.lit(1.0)).withColumn("origin", F.lit("mention"))
     every = own.unionByName(via).unionByName(boosted).unionByName(concept).unionByName(mention)
@@ -180,19 +205,46 @@ def local_search(queries: DataFrame, entities: DataFrame, chunks: DataFrame, edg
     return both.groupBy("query_id", "name", "type").agg(F.max(F.struct("score", "origin")).alias("b")).select("query_id", "name", "type", F.round("b.score", 6).alias("score"), "b.origin")
 
 
-def global_search(queries: DataFrame, reports: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+def global_search(queries: DataFrame, reports: DataFrame, s: Settings = DEFAULT, words_block: int = 200_000) -> DataFrame:
     """query_id, community, score, rn: the words of a question that stand in a report, plus its importance.
 
-    reports: community, title, summary, importance. Each question is held against all reports, as a question's every word
-    may be any substring; questions are a set of stated size and are broadcast in blocks by Spark's own limit.
+    reports: community, title, summary, importance. Any word of a question may be any substring of a report. The distinct words
+    of all questions, a set of stated size, go to the tasks in blocks of at most ``words_block``; each report is read once by one
+    automaton over them. A word counts as often as the question has it.
     """
     words = queries.select("query_id", F.explode(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")).alias("word"))
     body = reports.where("summary is not null and summary <> ''").select("community", "importance", F.lower(F.concat_ws(" ", "title", "summary")).alias("body"))
-    hits = body.join(words, F.contains("body", "word")).groupBy("query_id", "community", "importance").agg(F.count("*").alias("n"))
+    held = words_within(body.select("community", "body"), words.select("word").distinct(), words_block)
+    counted = words.groupBy("query_id", "word").agg(F.count("*").alias("times"))
+    hits = held.join(counted, "word").join(body.select("community", "importance"), "community").groupBy("query_id", "community", "importance").agg(F.sum("times").alias("n"))
     scored = hits.select("query_id", F.col("community").alias("item_id"), F.round(F.col("n") + F.col("importance"), 6).alias("score"))
     return rank.top_k(scored, s.top_communities).withColumnRenamed("item_id", "community")
 
 
+def words_within(bodies: DataFrame, words: DataFrame, block: int) -> DataFrame:
+    """community, word: each word that stands anywhere in a body. bodies: an id and a text; the id comes as ``community``."""
+    spark = bodies.sparkSession
+    n = max(1, -(-words.count() // block))
+    found = None
+    for b in range(n):
+        known = spark.sparkContext.broadcast([r["word"] for r in words.where(F.pmod(F.xxhash64("word"), F.lit(n)) == b).collect()])
+
+        def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+            automaton = ahocorasick.Automaton()
+            for w in known.value:
+                automaton.add_word(w, w)
+            if not len(automaton):
+                return
+            automaton.make_automaton()
+            for batch in batches:
+                rows = [(c, w) for c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for w in {w for _, w in automaton.iter(t)}]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["community", "word"])
+
+        part = bodies.mapInArrow(run, "community string, word string")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def hybrid(local: DataFrame, global_: DataFrame) -> DataFrame:
     """Local hits, then communities: query_id, part, name, score."""
     return local.select("query_id", F.lit("local").alias("part"), "name", "score").unionByName(global_.select("query_id", F.lit("global").alias("part"), F.col("community").alias("name"), "score"))

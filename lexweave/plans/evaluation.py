@@ -1,7 +1,7 @@
 """Queries of search, answers and metrics, and their SQL.
 
 Questions searched against all rows are the qa_pairs whose id is divisible by 20; those held against a dictionary are all of
-qa_pairs, while the SQL of these three has only the former. Results are all rows of niti_results.
+qa_pairs. Results are all rows of niti_results.
 """
 
 from __future__ import annotations
@@ -53,9 +53,13 @@ def keyword_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.suppress_contained(search.matched_keywords(_questions(spark, sf_dir), _words(spark), fuzzy=False))
 
 
+def _expansions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.derived_expansions(graphs._entities(spark, sf_dir), graphs._edges(spark, sf_dir))
+
+
 def query_expansion_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = lexicon.expansions(spark)
-    return search.expansion_boost(search.suppress_contained(search.matched_keywords(_questions(spark, sf_dir), words, fuzzy=False)), words)
+    words = _expansions(spark, sf_dir)
+    return search.expansion_boost(search.suppress_contained(search.matched_words(_questions(spark, sf_dir), words)), words)
 
 
 def section_mention_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +69,8 @@ def section_mention_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def concept_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = _results(spark, sf_dir).select(F.col("idx").alias("query_id"), F.col("question").alias("text")).where("text is not null").distinct()
+    """Over the descriptions of all entities, which name concepts as questions here do not."""
+    texts = _entities(spark, sf_dir).select(F.col("name").alias("query_id"), F.col("description").alias("text")).where("text is not null").distinct()
     adj = graph.adjacency(graphs._simple(spark, sf_dir))
     return search.concept_sections(texts, _entities(spark, sf_dir), adj).groupBy("name").agg(F.count("*").alias("n_questions"))
 
@@ -101,7 +106,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def local_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.local_search(_queries(spark, sf_dir), _entities(spark, sf_dir), _chunks(spark, sf_dir), graphs._edges(spark, sf_dir), lexicon.expansions(spark))
+    return search.local_search(_queries(spark, sf_dir), _entities(spark, sf_dir), _chunks(spark, sf_dir), graphs._edges(spark, sf_dir), _expansions(spark, sf_dir))
 
 
 def global_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +232,12 @@ own AS (SELECT name, translate(regexp_extract(name, 'มาตรา\s*([0-9๐-
 st AS (SELECT name, trim(substring(text, CAST(start + 1 AS BIGINT), CAST(stop - start AS BIGINT))) AS statute FROM (SELECT name, chunk_id, start, stop FROM own JOIN spans USING (chunk_id, number) WHERE number <> '' QUALIFY row_number() OVER (PARTITION BY name ORDER BY pos) = 1) JOIN ch USING (chunk_id))"""
 _P, _T = "list_distinct(coalesce({0}, []))", "list_distinct(coalesce(ground_truth_sections, []))"
 _WORDS = ", ".join(f"({_q(k)})" for k, _ in lexicon.OFFENSES + lexicon.CONCEPTS)
-_EXP = ", ".join(f"({_q(k)}, {o}, {_q(p)}, {_q(s)})" for k, o, p, s in lexicon.FEW_EXPANSIONS)
+_ALL_QUERIES = "WITH queries AS (SELECT qa_id AS query_id, min(question) AS text FROM qa_pairs WHERE qa_id IS NOT NULL AND question IS NOT NULL GROUP BY qa_id),"
+_EXPANSIONS = r"""en AS (SELECT name, min(type) AS type FROM entities WHERE name IS NOT NULL GROUP BY name),
+ew AS (SELECT DISTINCT name, trim(regexp_replace(name, '\s*\([^()]*\)$', '')) AS keyword FROM en WHERE type IN ('OFFENSE', 'LEGAL_CONCEPT')),
+ee AS (SELECT keyword, source AS section, max(coalesce(weight, 0.0)) AS weight FROM relationships JOIN ew ON target = name WHERE length(keyword) > 1 AND regexp_matches(source, '^\[[^\]]+\] มาตรา [0-9]') GROUP BY ALL),
+ex AS (SELECT keyword, regexp_extract(section, '^(\[[^\]]+\]) มาตรา (.+)$', 1) AS prefix, regexp_extract(section, '^(\[[^\]]+\]) มาตรา (.+)$', 2) AS section, row_number() OVER (PARTITION BY keyword ORDER BY weight DESC, section) AS ord FROM ee QUALIFY ord <= 10),
+words AS (SELECT keyword, count(*) AS n FROM ex GROUP BY keyword),"""
 _STOP = ", ".join(_q(w) for w in lexicon.STOP_WORDS)
 _TOK = (
     "list_distinct(list_concat(list_filter(regexp_extract_all({0}, '[\\x{{0e00}}-\\x{{0e7f}}]{{2,}}'), lambda w: w NOT IN ("
@@ -259,17 +269,17 @@ matrix AS (SELECT strategy, count(*) AS n, round(avg(hit), 6) AS hit, round(avg(
 ORACLE = {
     "item_union": "WITH " + _ENT + _STATUTE + """ SELECT 'entity' AS item_type, name, md5(t) AS digest, length(t) AS n_chars FROM (SELECT ent.name AS name, CASE WHEN type = 'SECTION' THEN 'SECTION: ' || ent.name || chr(10) || substring(coalesce(statute, description, ''), 1, 1500)
  ELSE type || ': ' || ent.name || ' - ' || coalesce(description, '') END AS t FROM ent LEFT JOIN st USING (name)) UNION ALL SELECT 'chunk', chunk_id, md5(substring(text, 1, 800)), length(substring(text, 1, 800)) FROM ch""",
-    "fuzzy_contains": _QUERIES + f""" words(keyword) AS (VALUES {_WORDS}) SELECT DISTINCT query_id, keyword FROM queries, words WHERE contains(text, keyword) OR (length(keyword) >= 5 AND (
+    "fuzzy_contains": _ALL_QUERIES + f""" words(keyword) AS (VALUES {_WORDS}) SELECT DISTINCT query_id, keyword FROM queries, words WHERE contains(text, keyword) OR (length(keyword) >= 5 AND (
  len(list_filter(generate_series(1, length(keyword)), lambda i: contains(text, substring(keyword, 1, i - 1) || substring(keyword, i + 1)))) > 0
  OR len(list_filter(generate_series(1, greatest(length(text) - length(keyword) + 1, 1)), lambda s: length(substring(text, s, length(keyword) + 1)) >= length(keyword) AND len(list_filter(generate_series(1, length(keyword) + 1),
   lambda i: substring(substring(text, s, length(keyword) + 1), 1, i - 1) || substring(substring(text, s, length(keyword) + 1), i + 1) = keyword)) > 0)) > 0))""",
-    "keyword_suppress": _QUERIES + f" words(keyword) AS (SELECT DISTINCT * FROM (VALUES {_WORDS})), {_SUPPRESS} SELECT * FROM left_over",
-    "query_expansion_boost": _QUERIES + f""" ex(keyword, ord, prefix, section) AS (VALUES {_EXP}), words AS (SELECT keyword, count(*) AS n FROM ex GROUP BY keyword), {_SUPPRESS}
+    "keyword_suppress": _ALL_QUERIES + f" words(keyword) AS (SELECT DISTINCT * FROM (VALUES {_WORDS})), {_SUPPRESS} SELECT * FROM left_over",
+    "query_expansion_boost": _ALL_QUERIES + _EXPANSIONS + _SUPPRESS + """
 SELECT query_id, prefix || ' มาตรา ' || section AS name, round(max(1.5 + (n - (ord - 1)) * 0.1), 6)::DOUBLE AS score FROM left_over JOIN ex USING (keyword) JOIN words USING (keyword) GROUP BY ALL""",
     "section_mention_hits": _RES + r""", n AS (SELECT result_id AS query_id, unnest(list_distinct(regexp_extract_all(predicted_answer, 'มาตรา\s*([0-9]+(?:/[0-9]+)?)', 1))) AS n FROM r WHERE predicted_answer IS NOT NULL)
 SELECT query_id, p || 'มาตรา ' || n AS name FROM n, (VALUES ('[อาญา] '), ('[แพ่ง] '), ('[รธน] '), ('')) v(p)""",
-    "concept_sections": graphs._BASE + """, qs AS (SELECT DISTINCT idx AS query_id, question AS text FROM niti_results WHERE question IS NOT NULL),
-held AS (SELECT query_id, name FROM qs JOIN ent ON type = 'LEGAL_CONCEPT' AND length(name) BETWEEN 1 AND 64 AND contains(text, name)),
+    "concept_sections": graphs._BASE + """, cn AS (SELECT DISTINCT name FROM entities WHERE type = 'LEGAL_CONCEPT' AND name <> ''), qs AS (SELECT DISTINCT name AS query_id, description AS text FROM entities WHERE name IS NOT NULL AND description IS NOT NULL),
+held AS (SELECT query_id, name FROM qs JOIN cn ON contains(text, name)),
 near AS (SELECT DISTINCT query_id, dst FROM held JOIN adj ON src = held.name WHERE dst IN (SELECT name FROM ent WHERE type = 'SECTION')) SELECT dst AS name, count(*) AS n_questions FROM near GROUP BY dst""",
     "chunk_to_entity_first": _bm25("WITH items AS (SELECT DISTINCT chunk_id AS item_id, text FROM text_units),") + retrieval._ranked("bm25", 10, "hits") + """,
 ent AS (SELECT DISTINCT name, type, description, source_chunk_ids FROM entities WHERE name IS NOT NULL), e AS (SELECT name, unnest(source_chunk_ids) AS item_id, generate_subscripts(source_chunk_ids, 1) AS pos FROM ent)

@@ -78,8 +78,8 @@ def modularity_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pending_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks that no entity names yet."""
-    done = table(spark, sf_dir, "entities").select(F.explode("source_chunk_ids").alias("chunk_id")).distinct()
+    """Chunks in which the extraction of offences has found nothing yet."""
+    done = table(spark, sf_dir, "entities").where(F.col("type") == SEED).select(F.explode("source_chunk_ids").alias("chunk_id")).distinct()
     return table(spark, sf_dir, "text_units").select("chunk_id").distinct().join(done, "chunk_id", "left_anti")
 
 
@@ -124,7 +124,7 @@ w AS (SELECT community, count(*) AS n_members, count(*) FILTER (type = 'OFFENSE'
 SELECT w.community, CASE WHEN no = 1 THEN o1 WHEN no > 1 THEN concat('กลุ่มความผิด: ', o3) WHEN ns = 1 THEN s1 WHEN ns > 1 THEN concat('กลุ่มมาตรา ', s1, '–', last_section) WHEN c1 IS NOT NULL THEN c1 ELSE concat('กลุ่มที่ ', w.community) END AS title,
  coalesce(nullif(array_to_string(list_filter(['กฎหมาย: ' || l2, 'มาตรา: ' || s5 || CASE WHEN ns > 5 THEN concat(' (รวม ', ns, ' มาตรา)') ELSE '' END, 'ความผิด: ' || o3, 'บทลงโทษ: ' || p3, 'แนวคิด: ' || c3], lambda x: x IS NOT NULL), '; '), ''), 'ไม่มีข้อมูล') AS summary,
  round(least(1.0, (n_members + coalesce(n, 0)) / 50.0), 6) AS importance, n_members, coalesce(n, 0) AS n_relationships FROM w LEFT JOIN inner_rel i ON i.community = w.community""",
-    "pending_anti": "SELECT DISTINCT chunk_id FROM text_units WHERE chunk_id IS NOT NULL AND chunk_id NOT IN (SELECT k FROM (SELECT unnest(source_chunk_ids) AS k FROM entities) WHERE k IS NOT NULL)",
+    "pending_anti": "SELECT DISTINCT chunk_id FROM text_units WHERE chunk_id IS NOT NULL AND chunk_id NOT IN (SELECT k FROM (SELECT unnest(source_chunk_ids) AS k FROM entities WHERE type = 'OFFENSE') WHERE k IS NOT NULL)",
     "set_ops": """WITH n AS (SELECT name FROM entities WHERE name IS NOT NULL), e AS (SELECT source AS name FROM relationships WHERE source IS NOT NULL UNION SELECT target FROM relationships WHERE target IS NOT NULL)
 SELECT name, 'both' AS place FROM (SELECT name FROM n INTERSECT SELECT name FROM e) UNION ALL SELECT name, 'entities' FROM (SELECT name FROM n EXCEPT SELECT name FROM e) UNION ALL SELECT name, 'ends' FROM (SELECT name FROM e EXCEPT SELECT name FROM n)""",
 }

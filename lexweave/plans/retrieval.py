@@ -59,10 +59,7 @@ def pooled(items: DataFrame, queries: DataFrame, s: Settings = DEFAULT) -> DataF
 
 
 def rrf_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fused pool blended with the TF-IDF cosine, which stands in for the dense similarity.
-
-    The SQL takes 0 for members beyond the first ``fetch`` of TF-IDF, so the two agree only where no member lies there.
-    """
+    """The fused pool blended with the TF-IDF cosine of each of its members, which stands in for the dense similarity."""
     both = pooled(_items(spark, sf_dir), _queries(spark, sf_dir))
     return rank.top_k(rank.blend(both, "rrf", "cosine", DEFAULT.rerank_alpha), DEFAULT.top_k).select("query_id", "item_id", "score", "rn")
 
@@ -104,7 +101,7 @@ pairs AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, round(list_dot_produ
 {_ranked("pairs", K, "r")} SELECT * FROM r""",
     "rrf_fusion": _BASE + _BM25 + _TFIDF + _FUSED + "," + _ranked("fused", DEFAULT.top_k, "r") + " SELECT * FROM r",
     "rrf_blend": _BASE + _BM25 + _TFIDF + _FUSED + "," + _ranked("fused", DEFAULT.pool, "pool") + """,
-mixed AS (SELECT query_id, item_id, pool.score AS rrf, coalesce(t.score, 0.0) AS cosine FROM pool LEFT JOIN t USING (query_id, item_id)),
+mixed AS (SELECT query_id, item_id, pool.score AS rrf, coalesce(c.score, 0.0) AS cosine FROM pool LEFT JOIN tfidf c USING (query_id, item_id)),
 blended AS (SELECT query_id, item_id, round(0.6 * (rrf - min(rrf) OVER w) / (max(rrf) OVER w - min(rrf) OVER w + 1e-9) + 0.4 * (cosine - min(cosine) OVER w) / (max(cosine) OVER w - min(cosine) OVER w + 1e-9), 6) AS score FROM mixed WINDOW w AS (PARTITION BY query_id)),
 """ + _ranked("blended", DEFAULT.top_k, "r") + " SELECT * FROM r",
 }

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,7 @@ def local_session(cpus: int | None = None, partitions: int | None = None) -> Spa
         .config("spark.sql.shuffle.partitions", str(partitions or cpus))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
@@ -26,11 +29,16 @@ def local_session(cpus: int | None = None, partitions: int | None = None) -> Spa
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none (a local test), one is made."""
+    """The folder all executors share, ``spark.checkpoint.dir``. Only a local session may name none; one is made for it and goes with it."""
     set_to = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(set_to or tempfile.mkdtemp(prefix="lexweave-checkpoint-"))
+        if not set_to:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            set_to = tempfile.mkdtemp(prefix="lexweave-checkpoint-")
+            atexit.register(shutil.rmtree, set_to, ignore_errors=True)
+        sc.setCheckpointDir(set_to)
     return sc._jsc.sc().getCheckpointDir().get()
 
 

@@ -13,8 +13,8 @@ from lexweave.functions.text import display_label
 from lexweave.operators.graph import within
 
 # The colours of nodes by type, and of any other.
-COLOURS = {"LAW": "#e74c3c", "SECTION": "#3498db", "OFFENSE": "#e67e22", "PENALTY": "#9b59b6", "LEGAL_CONCEPT": "#2ecc71", "ORGANIZATION": "#1abc9c", "PERSON_TYPE": "#f1c40f"}
-OTHER_COLOUR = "#95a5a6"
+COLOURS = {"LAW": "#e74c3c", "SECTION": "#3498db", "OFFENSE": "#e67e22", "PENALTY": "#9b59b6", "LEGAL_CONCEPT": "#2ecc71", "ORGANIZATION": "#1abc9c", "PERSON_TYPE": "#f1c40f", "COURT": "#34495e", "LEGAL_PROCEDURE": "#95a5a6"}
+OTHER_COLOUR = "#bdc3c7"
 
 
 def read_index(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -57,11 +57,19 @@ def write_graph(entities: DataFrame, edges: DataFrame, path: str) -> None:
 
 
 def store_nodes(entities: DataFrame, members: DataFrame) -> DataFrame:
-    """S11, prepared: name, type, description, colour, community of each node for a graph store."""
+    """S11, prepared: name, type, description, colour, source chunks (in one string), community of each node for a graph store, in which names are unique by type."""
     colour = F.lit(OTHER_COLOUR)
+    chunks = F.array_join("source_chunk_ids", ", ") if "source_chunk_ids" in entities.columns else F.lit("")
     for kind, value in COLOURS.items():
         colour = F.when(F.col("type") == kind, value).otherwise(colour)
-    return entities.join(members.select("name", "community"), "name", "left").select("name", "type", "description", colour.alias("colour"), "community")
+    return entities.join(members.select("name", "community"), "name", "left").select("name", "type", "description", colour.alias("colour"), chunks.alias("source_chunks"), "community")
+
+
+def store_edges(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """S11, prepared: source, source_type, target, target_type, type (upper case, blanks as underscores), description, weight of the edges with both ends."""
+    kinds = entities.select("name", F.col("type").alias("kind")).distinct()
+    both = edges.join(kinds.withColumnsRenamed({"name": "source", "kind": "source_type"}), "source").join(kinds.withColumnsRenamed({"name": "target", "kind": "target_type"}), "target")
+    return both.select("source", "source_type", "target", "target_type", F.upper(F.replace("type", F.lit(" "), F.lit("_"))).alias("type"), "description", "weight")
 
 
 def send(df: DataFrame, connect, batch: int = 500) -> None:

@@ -112,3 +112,23 @@ def test_communities_find_cliques(spark):
     q = graph.modularity(graph.communities(nodes, simple), simple).first()
     whole = graph.modularity(nodes.select("name", F.lit("one").alias("community")), simple).first()
     assert q.modularity > 0.3 > whole.modularity
+
+
+def test_concepts_of_any_length_are_found(spark):
+    long = "หลัก" + "ความสุจริต" * 9
+    entities = spark.createDataFrame([(long, "LEGAL_CONCEPT"), ("ตัด", "LEGAL_CONCEPT"), ("[ก] มาตรา 1", "SECTION")], "name string, type string")
+    adj = spark.createDataFrame([(long, "[ก] มาตรา 1")], "src string, dst string")
+    queries = spark.createDataFrame([(1, f"ถาม {long} ไหม"), (2, long[:-1]), (3, None)], "query_id long, text string")
+    from lexweave.operators import search
+
+    assert [(r.query_id, r.name) for r in search.concept_sections(queries, entities, adj).collect()] == [(1, "[ก] มาตรา 1")]
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    import pytest
+
+    nodes = spark.createDataFrame([(f"n{i:03d}",) for i in range(40)], "name string")
+    simple = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(39)], "a string, b string")
+    with pytest.raises(RuntimeError):
+        graph.components(nodes, simple, rounds=1)
+    assert {r.component for r in graph.components(nodes, simple).collect()} == {"n000"}
