@@ -1,8 +1,9 @@
 """Retrieval: postings, BM25, TF-IDF, dense similarity, rank fusion, blending.
 
-All questions are scored at once. Sparse scores come from a join on terms of the questions' terms with the items' postings,
-of which only those of asked terms are kept; the join's sums combine before their shuffle. Scores are rounded before they
-are ranked and ties go to the smaller id, so results do not depend on the order of addition.
+All questions are scored at once. The questions' terms go to the items in blocks of at most ``ASKED`` rows, so that no term,
+however frequent, is a key of a shuffle: items' asked terms are shuffled once by the item, and counted, weighed and summed
+there. Scores are rounded before they are ranked and ties go to the smaller id, so results do not depend on the order of
+addition.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,10 @@ from lexweave.config import DEFAULT, Settings
 from lexweave.functions.text import terms
 
 
+#: Rows of questions' terms that are sent to all tasks at once.
+ASKED = 1_000_000
+
+
 def top_k(scored: DataFrame, k: int, item: str = "item_id", by: str = "score") -> DataFrame:
     """The k best rows of each question, as ``rn`` from 1."""
     w = Window.partitionBy("query_id").orderBy(F.desc(by), item)
@@ -34,19 +40,31 @@ def term_counts(items: DataFrame) -> DataFrame:
     return each.groupBy("x.term").agg(F.count("*").alias("total"), F.sum("x.first").alias("df"))
 
 
-def postings(items: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """items: item_id, text. Rows item_id, length, term, tf; of ``wanted`` terms only, so that no others are shuffled."""
+def postings(items: DataFrame, wanted: DataFrame) -> DataFrame:
+    """items: item_id, text. Rows item_id, length, term, tf of ``wanted`` terms (term, of broadcast size), partitioned by the item."""
     each = _words(items).select("item_id", F.size("t").alias("length"), F.explode("t").alias("term"))
-    if wanted is not None:
-        each = each.join(wanted.select("term").distinct(), "term", "left_semi")
-    return each.groupBy("item_id", "length", "term").agg(F.count("*").alias("tf"))
+    own = each.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
+    return own.repartition("item_id").groupBy("item_id", "length", "term").agg(F.count("*").alias("tf"))
+
+
+def _blocks(asked: DataFrame, most: int) -> list[DataFrame]:
+    """The questions' terms in parts of about ``most`` rows, whole questions each."""
+    n = max(1, -(-asked.count() // most))
+    return [asked] if n == 1 else [asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b) for b in range(n)]
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def question_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
 
 
-def bm25(items: DataFrame, queries: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+def bm25(items: DataFrame, queries: DataFrame, s: Settings = DEFAULT, most: int = ASKED) -> DataFrame:
     """query_id, item_id, score of each pair that shares a term; repeated question terms count as often as they come.
 
     The inverse document frequency of a term in over half of the items is epsilon times the mean over all terms.
@@ -56,26 +74,62 @@ def bm25(items: DataFrame, queries: DataFrame, s: Settings = DEFAULT) -> DataFra
     df = term_counts(items).crossJoin(F.broadcast(corpus))  # corpus is one row
     raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean_raw"))
-    asked = question_terms(queries)
-    idf = raw.join(asked.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(mean))
-    idf = idf.select("term", "mean_length", F.when(F.col("raw") < 0, s.bm25_epsilon * F.col("mean_raw")).otherwise(F.col("raw")).alias("idf"))
-    weighed = asked.join(idf, "term").join(postings(items, asked), "term")
-    part = F.col("qf") * F.col("idf") * F.col("tf") * (s.bm25_k1 + 1) / (F.col("tf") + s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * F.col("length") / F.col("mean_length")))
-    return weighed.groupBy("query_id", "item_id").agg(F.round(F.sum(part), 6).alias("score"))
+    part = F.col("qw") * F.col("tf") * (s.bm25_k1 + 1) / (F.col("tf") + s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * F.col("length") / F.col("mean_length")))
+    out = []
+    for asked in _blocks(question_terms(queries), most):
+        idf = raw.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi").crossJoin(F.broadcast(mean))
+        idf = idf.select("term", "mean_length", F.when(F.col("raw") < 0, s.bm25_epsilon * F.col("mean_raw")).otherwise(F.col("raw")).alias("idf"))
+        weighed = asked.join(idf, "term").select("query_id", "term", "mean_length", (F.col("qf") * F.col("idf")).alias("qw"))
+        out.append(postings(items, asked).join(F.broadcast(weighed), "term").groupBy("item_id", "query_id").agg(F.round(F.sum(part), 6).alias("score")))
+    return _union(out).select("query_id", "item_id", "score")
 
 
-def tfidf(items: DataFrame, queries: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """Cosine of TF-IDF vectors over the most frequent terms; pairs without a common one are left out."""
+def tfidf(items: DataFrame, queries: DataFrame, s: Settings = DEFAULT, k: int | None = None, block: int = 4096) -> DataFrame:
+    """Cosine of TF-IDF vectors over the most frequent terms; pairs without a common one are left out.
+
+    The questions' vectors go to the items in blocks of at most ``block``; there a matrix product scores a batch at a time. With ``k`` only
+    each batch's k best items of a question leave it.
+    """
     n = items.where("text is not null").agg(F.count("*").alias("n"))
     frequent = term_counts(items).orderBy(F.desc("total"), "term").limit(s.tfidf_terms)
-    vocabulary = frequent.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    vocabulary = F.broadcast(vocabulary)  # at most tfidf_terms rows
-    item_vec = postings(items, vocabulary).join(vocabulary, "term").select("item_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    query_vec = question_terms(queries).join(vocabulary, "term").select("query_id", "term", (F.col("qf") * F.col("idf")).alias("qw"))
-    item_norm = item_vec.groupBy("item_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    query_norm = query_vec.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    dots = query_vec.join(item_vec, "term").groupBy("query_id", "item_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    return dots.join(item_norm, "item_id").join(query_norm, "query_id").select("query_id", "item_id", F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 6).alias("score"))
+    # at most tfidf_terms rows, worked out once
+    rows = frequent.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")).collect()
+    vocabulary = F.broadcast(items.sparkSession.createDataFrame([(r["term"], r["idf"], i) for i, r in enumerate(rows)], "term string, idf double, i int"))
+    names, idf = [r["term"] for r in rows], np.asarray([r["idf"] for r in rows])
+    held = _words(items).select("item_id", F.filter("t", lambda x: x.isin(names)).alias("t")).where("size(t) > 0") if names else items.select("item_id", F.array("text").alias("t")).limit(0)
+    asked = question_terms(queries).join(vocabulary, "term").select("query_id", "i", (F.col("qf") * F.col("idf")).alias("w"))
+    context, kind = queries.sparkSession.sparkContext, items.schema["item_id"].dataType.simpleString()
+    own, out = queries.schema["query_id"].dataType.simpleString(), []
+    for part in _blocks(asked, block * 16):
+        cells = part.collect()  # at most about 16 a question; their matrix has a row for each
+        ids = sorted({r["query_id"] for r in cells})
+        place = {q: j for j, q in enumerate(ids)}
+        matrix = np.zeros((len(ids), s.tfidf_terms))
+        for r in cells:
+            matrix[place[r["query_id"]], r["i"]] = r["w"]
+        known = context.broadcast((ids, _unit(matrix) if len(ids) else matrix, names, idf))
+        out.append(held.mapInArrow(_cosines(known, k), f"query_id {own}, item_id {kind}, score double"))
+    return _union(out)
+
+
+def _cosines(known, k: int | None, rows: int = 1000) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix, words, idf = known.value
+        names, words = pa.array(ids), pa.array(words, pa.string())
+        for whole in batches:
+            for at in range(0, whole.num_rows if ids else 0, rows):
+                b = whole.slice(at, rows)
+                n = np.diff(b.column(1).offsets.to_numpy())
+                found = pc.index_in(b.column(1).flatten(), value_set=words).to_numpy()
+                items = np.bincount(np.repeat(np.arange(b.num_rows), n) * matrix.shape[1] + found, minlength=b.num_rows * matrix.shape[1]).reshape(b.num_rows, -1).astype(np.float64)
+                items[:, : len(idf)] *= idf
+                scores = np.floor(matrix @ _unit(items).T * 1e6 + 0.5) / 1e6
+                if k is not None and k < b.num_rows:  # ties with the k-th stay, so that the smaller id can be chosen
+                    scores[scores < np.partition(scores, -k, axis=1)[:, -k : -k + 1 or None]] = 0
+                q, i = np.nonzero(scores)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), b.column(0).take(pa.array(i)), pa.array(scores[q, i])], ["query_id", "item_id", "score"])
+
+    return run
 
 
 def dense(items: DataFrame, queries: DataFrame, k: int, decimals: int = 5, block: int = 4096) -> DataFrame:
@@ -85,17 +139,15 @@ def dense(items: DataFrame, queries: DataFrame, k: int, decimals: int = 5, block
     goes over the items once, a matrix product by Arrow batch, and only each batch's k best leave it. Null and zero vectors
     score 0 against everything and are left out.
     """
-    n = queries.count()
+    n = max(1, -(-queries.count() // block))
+    context = queries.sparkSession.sparkContext
     parts = []
-    for b in range(max(1, -(-n // block))):
-        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // block)))) == b).where("vector is not null").select("query_id", "vector").collect()
-        ids = [r["query_id"] for r in own]
+    for b in range(n):
+        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b).where("vector is not null").select("query_id", "vector").collect()  # at most about a block
         matrix = np.asarray([r["vector"] for r in own], np.float64)
-        parts.append(items.where("vector is not null").select("item_id", "vector").mapInArrow(_best(ids, _unit(matrix) if len(ids) else matrix, k, decimals), "query_id long, item_id long, score double"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return top_k(found, k)
+        known = context.broadcast(([r["query_id"] for r in own], _unit(matrix) if len(own) else matrix))
+        parts.append(items.where("vector is not null").select("item_id", "vector").mapInArrow(_best(known, k, decimals), "query_id long, item_id long, score double"))
+    return top_k(_union(parts), k)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -103,10 +155,11 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(norm > 0, norm, 1)
 
 
-def _best(ids: list[int], matrix: np.ndarray, k: int, decimals: int) -> Callable:
+def _best(known, k: int, decimals: int) -> Callable:
     schema = pa.schema([("query_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix = known.value
         for b in batches:
             if not b.num_rows or not ids:
                 continue

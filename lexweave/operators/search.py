@@ -184,7 +184,7 @@ def local_search(queries: DataFrame, entities: DataFrame, chunks: DataFrame, edg
     mentions, then one hop over the graph from the first hits.
     """
     items = item_texts(entities, chunks).select(F.concat_ws("|", "item_type", "name").alias("item_id"), "text")
-    channels = {"bm25": rank.top_k(rank.bm25(items, queries, s), s.fetch), "tfidf": rank.top_k(rank.tfidf(items, queries, s), s.fetch)}
+    channels = {"bm25": rank.top_k(rank.bm25(items, queries, s), s.fetch), "tfidf": rank.top_k(rank.tfidf(items, queries, s, k=s.fetch), s.fetch)}
     hits = rank.top_k(rank.fuse(channels, s), s.returned)
     kind, name = F.substring_index("item_id", "|", 1), F.expr("substring(item_id, instr(item_id, '|') + 1)")
     named = hits.select("query_id", kind.alias("kind"), name.alias("name"), "score", "rn")

@@ -153,7 +153,7 @@ def kfold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, queries = _section_items(spark, sf_dir), _queries(spark, sf_dir)
-    lists = {"bm25": rank.top_k(rank.bm25(items, queries), DEPTH), "tfidf": rank.top_k(rank.tfidf(items, queries), DEPTH)}
+    lists = {"bm25": rank.top_k(rank.bm25(items, queries), DEPTH), "tfidf": rank.top_k(rank.tfidf(items, queries, k=DEPTH), DEPTH)}
     lists["rrf"] = rank.top_k(rank.fuse(lists), DEPTH)
     every = None
     for name, df in lists.items():

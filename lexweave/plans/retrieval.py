@@ -30,7 +30,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank.top_k(rank.tfidf(_items(spark, sf_dir), _queries(spark, sf_dir)), K)
+    return rank.top_k(rank.tfidf(_items(spark, sf_dir), _queries(spark, sf_dir), k=K), K)
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def _ranked_channels(bm25: DataFrame, tfidf: DataFrame, s: Settings) -> dict[str
 
 def _channels(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     items, queries = _items(spark, sf_dir), _queries(spark, sf_dir)
-    return _ranked_channels(rank.bm25(items, queries), rank.tfidf(items, queries), DEFAULT)
+    return _ranked_channels(rank.bm25(items, queries), rank.tfidf(items, queries, k=DEFAULT.fetch), DEFAULT)
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
