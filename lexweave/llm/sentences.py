@@ -168,7 +168,7 @@ class Words(dict):
                 self.begins.make_automaton()
 
     def __missing__(self, token: str) -> tuple[str, int, int, bool, bool, bool, tuple[int, ...]]:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         t = unicodedata.normalize("NFC", token.translate(_INVISIBLE))
         form = "เดือน" if t in MONTHS else _NUMBER.sub("0", t)
@@ -371,18 +371,18 @@ class Tagger:
             return sum(w.get(x, 0.0) for x in (*self.left_features(left, True), *self.right_features(right, True), *self.pair_features(left[-8:], right[:8], True), "gapG"))
         a = self.left.get(left)
         if a is None:
-            if len(self.left) > 200_000:
+            if len(self.left) > 100_000:
                 self.left.clear()
             self.left[left] = a = sum(w.get(x, 0.0) for x in self.left_features(left, False))
         b = self.right.get(right)
         if b is None:
-            if len(self.right) > 200_000:
+            if len(self.right) > 100_000:
                 self.right.clear()
             self.right[right] = b = sum(w.get(x, 0.0) for x in self.right_features(right, False))
         key = (left[-8:], right[:8])
         c = self.pair.get(key)
         if c is None:
-            if len(self.pair) > 200_000:
+            if len(self.pair) > 100_000:
                 self.pair.clear()
             self.pair[key] = c = sum(w.get(x, 0.0) for x in self.pair_features(*key, False))
         return a + b + c + w.get("gap" + gap, 0.0)
