@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lexweave.config import DEFAULT, Settings
 from lexweave.functions.text import arabic_digits, match_spans
 from lexweave.operators import graph, rank
+from lexweave.session import cut_lineage
 
 #: Characters by which concepts are looked up.
 HEAD = 8
@@ -177,32 +178,51 @@ def with_bodies(queries: DataFrame, hits: DataFrame, items: DataFrame, k: int, c
     return queries.join(bodies, "query_id", "left").select("query_id", F.concat_ws(" ", "text", more).alias("text"))
 
 
+def matched_entities(queries: DataFrame, entities: DataFrame, hits: DataFrame, expansions: DataFrame, adj: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """query_id, name, type, score, place: what local search starts from, in the order in which it goes on from it.
+
+    hits: query_id, kind ('entity' or 'chunk'), name, score, rn. A hit chunk stands for its entities; of several hits the first by rank
+    sets an entity's score. Expansions and concepts raise the score of what they name, explicit mentions do not; what was
+    not hit is put in front: mentions before concepts before expansions, the greater score first.
+    """
+    w = lambda *by: Window.partitionBy("query_id").orderBy(*by)
+    own = hits.where("kind = 'entity'").select("query_id", "name", "score", "rn", F.lit(-1).alias("pos"))
+    of = entities.select("name", F.posexplode("source_chunk_ids").alias("pos", "chunk_id"))
+    via = hits.where("kind = 'chunk'").withColumnRenamed("name", "chunk_id").join(of, "chunk_id").select("query_id", "name", (F.col("score") * s.chunk_discount).alias("score"), "rn", "pos")
+    first = own.unionByName(via).groupBy("query_id", "name").agg(F.min_by(F.struct("score", "rn", "pos"), F.struct("rn", "pos")).alias("f")).select("query_id", "name", "f.*")
+    boosted = expansion_boost(suppress_contained(matched_words(queries, expansions)), expansions, s).withColumn("step", F.lit(2))
+    concept = concept_sections(queries, entities, adj, s).withColumn("step", F.lit(1))
+    raised = boosted.unionByName(concept.select(*boosted.columns)).groupBy("query_id", "name").agg(F.max("score").alias("boost"), F.max("step").alias("step"))
+    named = mentioned_sections(queries, ["อาญา", "แพ่ง", "รธน"]).distinct().withColumn("mention", F.lit(1.0))
+    known = entities.select("name", "type").distinct()
+    every = first.join(raised, ["query_id", "name"], "full").join(named, ["query_id", "name"], "full").join(known, "name")
+    score = F.coalesce(F.greatest("score", "boost"), "mention")
+    place = F.row_number().over(w(F.when(F.col("rn").isNotNull(), 3).otherwise(F.coalesce("step", F.lit(0))), F.coalesce("rn", F.lit(0)), F.coalesce("pos", F.lit(0)), F.desc("score"), "name")).cast("long")
+    return every.select("query_id", "name", "type", F.round(score + 1e-9, 6).alias("score"), "rn", "pos", "step").withColumn("place", place).select("query_id", "name", "type", "score", "place")
+
+
 def local_search(queries: DataFrame, entities: DataFrame, chunks: DataFrame, edges: DataFrame, expansions: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """query_id, name, type, score, origin: the hits of local search, once each, by greatest score.
+    """query_id, name, type, description, score, origin: what local search finds, each name once, by its greatest score.
 
-    Fused sparse retrieval over all items, chunk hits turned into their entities, expansion and concept boosts, explicit
-    mentions, then one hop over the graph from the first hits.
+    Fused sparse retrieval over all items, boosts and mentions, then one hop over the graph from the first ``traversal`` entities of the
+    list: the neighbours, and the edges as rows named '(entity) -> (neighbour)'. Of equal scores entities come before neighbours before edges.
+    The items' texts and the graph are worked out once and written to the shared folder.
     """
-    items = item_texts(entities, chunks).select(F.concat_ws("|", "item_type", "name").alias("item_id"), "text")
+    items = cut_lineage(item_texts(entities, chunks).select(F.concat_ws("|", "item_type", "name").alias("item_id"), "text"))
+    adj = cut_lineage(graph.adjacency(graph.simple_edges(graph.within(edges, entities))))
     channels = {"bm25": rank.top_k(rank.bm25(items, queries, s), s.fetch), "tfidf": rank.top_k(rank.tfidf(items, queries, s, k=s.fetch), s.fetch)}
-    hits = rank.top_k(rank.fuse(channels, s), s.returned)
-    kind, name = F.substring_index("item_id", "|", 1), F.expr("substring(item_id, instr(item_id, '|') + 1)")
-    named = hits.select("query_id", kind.alias("kind"), name.alias("name"), "score", "rn")
-    own = named.where("kind = 'entity'").select("query_id", "name", "score", F.lit("hit").alias("origin"))
-    via = chunk_entities(named.where("kind = 'chunk'").select("query_id", F.col("name").alias("chunk_id"), "score", "rn"), entities, s).withColumn("origin", F.lit("chunk"))
-    simple = graph.simple_edges(graph.within(edges, entities))
-    adj = graph.adjacency(simple)
-    boosted = expansion_boost(suppress_contained(matched_words(queries, expansions)), expansions, s).withColumn("origin", F.lit("expansion"))
-    concept = concept_sections(queries, entities, adj, s).withColumn("origin", F.lit("concept"))
-    mention = mentioned_sections(queries, ["อาญา", "แพ่ง", "รธน"]).withColumn("score", F.lit(1.0)).withColumn("origin", F.lit("mention"))
-    every = own.unionByName(via).unionByName(boosted).unionByName(concept).unionByName(mention)
-    known = entities.select("name", "type")
-    best = every.join(known, "name").groupBy("query_id", "name", "type").agg(F.max(F.struct("score", "origin")).alias("b")).select("query_id", "name", "type", "b.*")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "name")
-    first = best.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= s.traversal)
-    hop = graph.expand(first, adj, s.neighbour_discount).groupBy("query_id", "name").agg(F.max("score").alias("score")).join(known, "name").withColumn("origin", F.lit("neighbour"))
-    both = best.unionByName(hop.select(*best.columns))
-    return both.groupBy("query_id", "name", "type").agg(F.max(F.struct("score", "origin")).alias("b")).select("query_id", "name", "type", F.round("b.score", 6).alias("score"), "b.origin")
+    fused = rank.top_k(rank.fuse(channels, s), s.returned)
+    hits = fused.select("query_id", F.substring_index("item_id", "|", 1).alias("kind"), F.expr("substring(item_id, instr(item_id, '|') + 1)").alias("name"), "score", "rn")
+    found = cut_lineage(matched_entities(queries, entities, hits, expansions, adj, s))
+    known = entities.select("name", "type", F.coalesce("description", F.lit("")).alias("description")).groupBy("name", "type").agg(F.min("description").alias("description"))
+    start = found.where(F.col("place") <= s.traversal)
+    near = graph.expand(start, adj, s.neighbour_discount).groupBy("query_id", "name").agg(F.max("score").alias("score")).join(known, "name")
+    beside = graph.expand_edges(start, adj, s.edge_discount).groupBy("query_id", "name").agg(F.max(F.struct("score", "type", F.coalesce("description", F.lit("")).alias("description"))).alias("e")).select("query_id", "name", "e.*")
+    rows = found.join(known.drop("type"), "name").withColumn("o", F.lit(0))
+    every = rows.select("query_id", "name", "type", "description", "score", "o").unionByName(near.withColumn("o", F.lit(1)).select("query_id", "name", "type", "description", "score", "o")).unionByName(beside.withColumn("o", F.lit(2)))
+    best = every.groupBy("query_id", "name").agg(F.max(F.struct(F.round(F.col("score") + 1e-9, 6).alias("score"), (-F.col("o")).alias("o"), "type", "description")).alias("b"))
+    origin = F.element_at(F.array(*(F.lit(x) for x in ("entity", "neighbour", "edge"))), 1 - F.col("b.o"))
+    return best.select("query_id", "name", "b.type", "b.description", "b.score", origin.alias("origin"))
 
 
 def global_search(queries: DataFrame, reports: DataFrame, s: Settings = DEFAULT, words_block: int = 200_000) -> DataFrame:

@@ -105,16 +105,20 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer.render(select_sections(spark, sf_dir), statutes, _queries(spark, sf_dir)).select("query_id", F.md5("answer").alias("digest"))
 
 
-def local_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _local(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.local_search(_queries(spark, sf_dir), _entities(spark, sf_dir), _chunks(spark, sf_dir), graphs._edges(spark, sf_dir), _expansions(spark, sf_dir))
 
 
+def local_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _local(spark, sf_dir).select("query_id", "name", "type", F.md5("description").alias("digest"), "score", "origin")
+
+
 def global_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.global_search(_queries(spark, sf_dir), graphs.community_report(spark, sf_dir))
 
 
 def hybrid_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.hybrid(_section_hits(spark, sf_dir), global_rank(spark, sf_dir))
+    return search.hybrid(_local(spark, sf_dir), global_rank(spark, sf_dir))
 
 
 def hit_mrr_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,6 +212,7 @@ def _bm25(items: str) -> str:
     return items + base + retrieval._BM25
 
 
+_BASE_REST = retrieval._BASE.replace("WITH items AS (SELECT doc_id AS item_id, text FROM documents),", "").lstrip()
 _q = extraction._q
 _ENT = "ent AS (SELECT DISTINCT name, type, description, source_chunk_ids FROM entities WHERE name IS NOT NULL), ch AS (SELECT DISTINCT chunk_id, text FROM text_units),"
 _QUERIES = "WITH queries AS (SELECT qa_id AS query_id, min(question) AS text FROM qa_pairs WHERE qa_id % 20 = 0 AND question IS NOT NULL GROUP BY qa_id),"
@@ -310,6 +315,44 @@ l AS (UNPIVOT f ON mrr, retrieval_recall, citation_f1 INTO NAME metric VALUE val
     "progress_means": _RES + " SELECT generator, result_id, round(avg(mrr) OVER w + 1e-9, 6) AS mean_mrr, round(avg(citation_f1) OVER w + 1e-9, 6) AS mean_f1 FROM r WINDOW w AS (PARTITION BY generator ORDER BY result_id ROWS UNBOUNDED PRECEDING)",
     "graph_view": graphs._BASE + ", n AS (SELECT name FROM ent ORDER BY id, name LIMIT 50) SELECT source, target, type, round(weight * 2, 6) AS width FROM rel WHERE source IN (SELECT name FROM n) AND target IN (SELECT name FROM n)",
 }
-ORACLE["hybrid_union"] = _HITS.replace("WITH items", "WITH RECURSIVE items", 1) + ", " + _GLOBAL.replace("WITH RECURSIVE ", "", 1).replace(
+_ITEMS = _STATUTE + """, items AS (SELECT 'entity|' || ent.name AS item_id, CASE WHEN type = 'SECTION' THEN 'SECTION: ' || ent.name || chr(10) || substring(coalesce(statute, description, ''), 1, 1500)
+ ELSE type || ': ' || ent.name || ' - ' || coalesce(description, '') END AS text FROM ent LEFT JOIN st USING (name) UNION ALL SELECT 'chunk|' || chunk_id, substring(text, 1, 800) FROM ch),"""
+_LOCAL = (
+    graphs._BASE.replace("ent AS (SELECT name, min(id)", "gent AS (SELECT name, min(id)").replace("FROM ent)", "FROM gent)").replace(
+        "adj AS (SELECT a AS src, b AS dst FROM simple UNION ALL SELECT b, a FROM simple WHERE a <> b)",
+        "adj AS (SELECT a AS src, b AS dst, type, description FROM simple UNION ALL SELECT b, a, type, description FROM simple WHERE a <> b)",
+    )
+    + ", "
+    + _ENT
+    + _ITEMS
+    + _BASE_REST
+    + retrieval._BM25
+    + retrieval._TFIDF
+    + retrieval._FUSED
+    + ","
+    + retrieval._ranked("fused", DEFAULT.returned, "hits")
+    + ", "
+    + (_EXPANSIONS + _SUPPRESS).replace("words AS", "xwords AS").replace("JOIN words", "JOIN xwords")
+    + rf""",
+kinds AS (SELECT DISTINCT name, type FROM ent), texts AS (SELECT name, type, min(coalesce(description, '')) AS description FROM ent GROUP BY ALL),
+h AS (SELECT query_id, split_part(item_id, '|', 1) AS kind, substring(item_id, strpos(item_id, '|') + 1) AS name, score, rn FROM hits),
+own_hits AS (SELECT query_id, name, score, rn, -1 AS pos FROM h WHERE kind = 'entity' UNION ALL SELECT query_id, e.name, h.score * 0.95, rn, pos FROM h JOIN (SELECT name, unnest(source_chunk_ids) AS chunk_id, generate_subscripts(source_chunk_ids, 1) - 1 AS pos FROM ent) e ON kind = 'chunk' AND chunk_id = h.name),
+firsts AS (SELECT query_id, name, arg_min(score, (rn, pos)) AS score, min(rn) AS rn, arg_min(pos, (rn, pos)) AS pos FROM own_hits GROUP BY ALL),
+boosted AS (SELECT query_id, prefix || ' มาตรา ' || section AS name, round(max(1.5 + (n - (ord - 1)) * 0.1), 6)::DOUBLE AS score, 2 AS step FROM left_over JOIN ex USING (keyword) JOIN xwords USING (keyword) GROUP BY ALL),
+cn AS (SELECT DISTINCT name FROM ent WHERE type = 'LEGAL_CONCEPT' AND name <> ''),
+concept AS (SELECT DISTINCT query_id, dst AS name, 1.2 AS score, 1 AS step FROM queries JOIN cn ON contains(text, name) JOIN adj ON src = cn.name WHERE dst IN (SELECT name FROM ent WHERE type = 'SECTION')),
+raised AS (SELECT query_id, name, max(score) AS boost, max(step) AS step FROM (SELECT * FROM boosted UNION ALL SELECT * FROM concept) GROUP BY ALL),
+numbers0 AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(text, 'มาตรา\s*([0-9]+(?:/[0-9]+)?)', 1))) AS n FROM queries),
+named AS (SELECT DISTINCT query_id, p || 'มาตรา ' || n AS name, 1.0 AS mention FROM numbers0, (VALUES ('[อาญา] '), ('[แพ่ง] '), ('[รธน] '), ('')) v(p)),
+joined AS (SELECT query_id, name, type, round(coalesce(greatest(score, boost), mention) + 1e-9, 6) AS score, CASE WHEN rn IS NOT NULL THEN 3 ELSE coalesce(step, 0) END AS step, coalesce(rn, 0) AS rn, coalesce(pos, 0) AS pos FROM firsts FULL JOIN raised USING (query_id, name) FULL JOIN named USING (query_id, name) JOIN kinds USING (name)),
+found AS (SELECT query_id, name, type, score, row_number() OVER (PARTITION BY query_id ORDER BY step, rn, pos, score DESC, name) AS place FROM joined),
+start0 AS (SELECT * FROM found WHERE place <= {DEFAULT.traversal}),
+near AS (SELECT query_id, dst AS name, max(score * 0.8) AS score FROM start0 JOIN adj ON src = start0.name GROUP BY ALL),
+beside AS (SELECT query_id, '(' || src || ') -> (' || dst || ')' AS name, score * 0.7 AS score, adj.type AS type, coalesce(adj.description, '') AS description FROM start0 JOIN adj ON src = start0.name),
+every AS (SELECT query_id, name, type, description, score, 0 AS o FROM found JOIN texts USING (name, type) UNION ALL SELECT query_id, name, type, description, score, 1 FROM near JOIN texts USING (name) UNION ALL SELECT query_id, name, type, description, score, 2 FROM beside),
+loc AS (SELECT query_id, name, round(score + 1e-9, 6) AS score, o, type, description FROM every QUALIFY row_number() OVER (PARTITION BY query_id, name ORDER BY round(score + 1e-9, 6) DESC, o, type DESC, description DESC) = 1)"""
+)
+ORACLE["local_search"] = _LOCAL + " SELECT query_id, name, type, md5(description) AS digest, score, ['entity', 'neighbour', 'edge'][o + 1] AS origin FROM loc"
+ORACLE["hybrid_union"] = _LOCAL + ", " + _GLOBAL.replace("WITH RECURSIVE ", "", 1).replace(graphs._BASE.replace("WITH RECURSIVE ", "", 1) + ", ", "", 1).replace(
     "queries AS (SELECT qa_id AS query_id, min(question) AS text FROM qa_pairs WHERE qa_id % 20 = 0 AND question IS NOT NULL GROUP BY qa_id),", "", 1
-) + " SELECT query_id, 'local' AS part, name, score FROM hits UNION ALL SELECT query_id, 'global', community, score FROM g"
+) + " SELECT query_id, 'local' AS part, name, score FROM loc UNION ALL SELECT query_id, 'global', community, score FROM g"
