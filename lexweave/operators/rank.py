@@ -202,7 +202,7 @@ def rerank(pool: DataFrame, scorer: Callable[[DataFrame], DataFrame], s: Setting
     if not s.ce_top_n:
         return pool
     head = scorer(pool.where(F.col("rn") <= s.ce_top_n))  # adds ce
-    head = head.withColumn("score", F.round((1 - s.ce_beta) * F.col("score") + s.ce_beta * minmax("ce"), 6)).drop("ce")
+    head = head.withColumn("score", F.round((1 - s.ce_beta) * F.col("score") + s.ce_beta * minmax("ce") + 1e-9, 6)).drop("ce")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     head = head.withColumn("rn", F.row_number().over(w).cast("long"))
     return head.unionByName(pool.where(F.col("rn") > s.ce_top_n))
