@@ -6,7 +6,7 @@ how often the text stops there for good (end of the value, a blank line, a list
 and how often it goes on. Of the last RUN characters it is also counted how often they end a run and how often they occur.
 For each value two chances follow, interpolated from the shortest context to the longest and without the value's own
 count: that its last characters end a run (else it was cut within a word or number), and that a run ending so ends the
-text (else within a sentence). Both are compared, as log-odds, with the mean of the value's column and script.
+text (else within a sentence). Both are compared, as log-odds, with the mean of the value's column and language.
 
 All values are counted; contexts are summed in each task before they are shuffled, as hashes, and joined to the values'
 own last contexts by hash. Nothing is collected.
@@ -17,9 +17,11 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -29,14 +31,14 @@ from lexweave.llm.windows import SUB_BATCH, Windows, mixed, tally
 
 ORDERS = (8, 14, 22, 32)
 RUN = 5
-#: Weight of the shorter context; thresholds of the two log-odds against the mean of column and script.
+#: Weight of the shorter context; thresholds of the two log-odds against the mean of column and language.
 BACKOFF, RUN_BACKOFF = 12.0, 2.0
 SENTENCE_ODDS, DOTTED_ODDS, WORD_CHANCE = -1.0, -3.0, 0.03
-TAIL_CHARS = 240
+TAIL_CHARS, LANGUAGE_CHARS = 320, 120
 
 #: Marks left out at an end; what stands in the place of a lost rest; what begins after a hard break.
 MARKS = r".,!?;:\"”」』'()\[\]…*»。，、；：？！）】\-"
-LOST = re.compile(r"(?:…|\.\.\.+|�|\[\.\.\.\]|\[…\])[\s\"”'」)]*$|[0-9๐-๙],\s*$|[(（「『][^)）」』\n]{0,60}$")
+LOST = re.compile(r"(?:…|\.\.\.+|�|\[\.\.\.\]|\[…\])[\s\"”'」)]*$|[0-9๐-๙],\s*$|[(（「『][^)）」』\n]*$")
 AFTER_BREAK = r"[ ]*(?:\(?0[)）]|[-•] |#|\*\*|มาตราที่เกี่ยวข้อง|Sections)"
 
 _INVISIBLE = dict.fromkeys([0x200B, 0x200C, 0x200D, 0xFEFF])
@@ -46,6 +48,7 @@ _STRIP = re.compile(rf"[\s{MARKS}�]+$")
 _FULL_STOP = re.compile(r"[!?。！？][\"”'」』)）]*$")
 _DOT = re.compile(r"[A-Za-zÄÖÜäöüß0-9)]\.[\"”')]*$")
 _THAI, _CJK, _ODD = re.compile(r"[ก-๛]"), re.compile(r"[぀-ヿ一-鿿]"), re.compile("[\u200b-\u200d\ufeff]")
+_KANA, _GERMAN = re.compile("[぀-ヿ]"), re.compile(r"[äöüßÄÖÜ]|\b(?:der|die|das|und|ist|nicht|von|dem|den|mit|auf|im|bei|nach|wird)\b", re.I)
 
 
 def normal(text: str) -> str:
@@ -55,8 +58,13 @@ def normal(text: str) -> str:
     return _BLANK.sub(" ", _NUMBER.sub("0", t))
 
 
-def script(tail: str) -> int:
-    return 1 if _THAI.search(tail) else 2 if _CJK.search(tail) else 3
+def language(tail: str) -> int:
+    """Of a value's last characters: 1 Thai, 2 Chinese, 3 Japanese, 4 German, 5 other Latin text."""
+    if _THAI.search(tail):
+        return 1
+    if _CJK.search(tail):
+        return 3 if _KANA.search(tail) else 2
+    return 4 if _GERMAN.search(tail) else 5
 
 
 def body(t: str) -> str:
@@ -64,9 +72,15 @@ def body(t: str) -> str:
     return _STRIP.sub("", t)
 
 
+@lru_cache(None)
+def _column(name: str) -> int:
+    """Columns are few; each has a number of its own name."""
+    return xxhash.xxh3_64_intdigest(name) >> 4
+
+
 def group(column: str, flat: str) -> int:
-    """Number of the column and script that a value belongs to."""
-    return 4 * sum(column.encode()) + script(flat[-40:])
+    """Number of the column and language that a value belongs to."""
+    return _column(column) << 3 | language(flat[-LANGUAGE_CHARS:])
 
 
 class Tail:
@@ -78,14 +92,14 @@ class Tail:
         text = text or ""
         last = normal(text[-TAIL_CHARS:])
         b = body(last)
-        if len(b) < 2 * ORDERS[-1] and len(text) > TAIL_CHARS:
+        if len(b) < LANGUAGE_CHARS + ORDERS[-1] and len(text) > TAIL_CHARS:
             last = normal(text)
             b = body(last)
         self.flat = b.replace("\n", " ")
         #: 0: the model decides, 1: something stands for the rest, half a character or number is left or a bracket is open, 2: whole, or no text at all
         self.mark = 2 if not any(c.isalnum() for c in b) else 1 if LOST.search(text) else 2 if _FULL_STOP.search(last.rstrip()) else 0
         self.group = group(column, self.flat)
-        self.dotted = int(script(self.flat[-40:]) == 3 and bool(_DOT.search(last.rstrip())))
+        self.dotted = int(self.group & 7 >= 4 and bool(_DOT.search(last.rstrip())))
 
 
 _COUNTS = pa.schema([("h", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
@@ -102,7 +116,7 @@ def count_contexts(columns: list[str], texts: list[str]) -> tuple[np.ndarray, np
             continue
         flat = b.replace("\n", " ")
         g = group(column, flat)
-        latin, own = g & 3 == 3, len(flats)
+        latin, own = g & 7 >= 4, len(flats)
         for m in _END.finditer(b):
             e = m.start()
             if e:
