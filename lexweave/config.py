@@ -44,7 +44,6 @@ class Settings:
     secondary_extras: int = 3
     # evaluation
     retrieved_sections: int = 20
-    folds: int = 5
 
     @property
     def fetch(self) -> int:

@@ -67,22 +67,28 @@ def k_hop(seeds: DataFrame, adj: DataFrame, depth: int) -> DataFrame:
     return reached
 
 
+def _at_nodes(links: DataFrame, values: DataFrame, share: float = 0.002) -> DataFrame:
+    """links with their node's values; u is the node, d the number of its links. The nodes of at least a share of all links, of which there are at most 1 / share, are broadcast."""
+    hot = F.broadcast(values.where(F.col("d") >= F.greatest(F.lit(1000.0), share * values.agg(F.sum("d")).scalar())))
+    return links.join(hot, "u", "left_anti").join(values, "u").unionByName(links.join(hot, "u"))
+
+
 def components(nodes: DataFrame, simple: DataFrame, rounds: int = 60) -> DataFrame:
     """Name, component (the least name of its component), by large-star and small-star contraction.
 
     Each round links every node's neighbours to its least one, so a path halves and stars stay stars; the edges of a round
-    are written to the shared folder. A node of a third of all edges is only ever grouped by partial minima.
+    are written to the shared folder. A node of a third of all edges is grouped by partial minima and met by broadcast.
     """
     edges = cut_lineage(simple.where("a <> b").select("a", "b").distinct())
     for _ in range(rounds):
         # large star: links of a node to its greater neighbours go to its least neighbour
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("d"))
+        large = _at_nodes(both, least).where("v > u").select(F.col("v").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
         # small star: a node and its lesser neighbours go to the least of them
         down = large.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        joined = down.join(low, "u")
+        low = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
+        joined = _at_nodes(down, low)
         small = joined.where("v <> m").select(F.col("v").alias("b"), F.col("m").alias("a")).unionByName(low.select(F.col("u").alias("b"), F.col("m").alias("a"))).select("a", "b").distinct()
         new = cut_lineage(small)
         changed = new.join(edges, ["a", "b"], "left_anti").limit(1).count() + edges.join(new, ["a", "b"], "left_anti").limit(1).count()
@@ -134,13 +140,13 @@ def communities(nodes: DataFrame, simple: DataFrame, rounds: int = 8) -> DataFra
 def community_reports(members: DataFrame, edges: DataFrame) -> DataFrame:
     """Community, title, summary, importance, n_members, n_relationships of each community.
 
-    members: community, name, type, ord. Only the few names that a report shows are gathered, by rank; a community of any
-    size costs no more.
+    members: community, name, type, ord. Only the few names that a report shows are ranked and gathered, the best of each task
+    before their shuffle; sizes and last names are plain sums.
     """
     w = Window.partitionBy("community", "type").orderBy("ord", "name")
     ranked = members.withColumn("rn", F.row_number().over(w))
     shown = ranked.where("rn <= 5").groupBy("community", "type").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "name"))), lambda x: x["name"]).alias("names"))
-    sizes = ranked.groupBy("community", "type").agg(F.count("*").alias("n"), F.max_by("name", "rn").alias("last"))
+    sizes = members.groupBy("community", "type").agg(F.count("*").alias("n"), F.max_by("name", F.struct("ord", "name")).alias("last"))
     kinds = shown.join(sizes, ["community", "type"])
     pick = lambda kind, col: F.first(F.when(F.col("type") == kind, F.col(col)), ignorenulls=True)
     wide = kinds.groupBy("community").agg(

@@ -173,6 +173,22 @@ def exact_folds(questions: DataFrame, key: str, k: int, seed: int = 42) -> DataF
     return questions.join(placed.select(key, F.pmod(F.col("i") + starts[F.col("range")], F.lit(k)).cast("int").alias("fold")), key)
 
 
+def running_means(rows: DataFrame, by: str, order: str, columns: list[str]) -> DataFrame:
+    """by, order and for each column its mean over the rows up to each: ranges of rows are summed first, so no group is one task's work.
+
+    The ranges' sums, one row for each range and group, are all that is set against each other.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(rows.select(by, order, *columns).repartitionByRange(n, by, order).withColumn("range", F.spark_partition_id()))
+    sums = [x for c in columns for x in (F.sum(c).alias(f"{c}_s"), F.count(c).alias(f"{c}_n"))]
+    before = Window.partitionBy(by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(by, "range").agg(*sums).select(by, "range", *(F.coalesce(F.sum(f"{c}_{x}").over(before), F.lit(0)).alias(f"{c}_{x}") for c in columns for x in "sn"))
+    joined = ranged.withColumnRenamed(by, "_by").join(F.broadcast(starts.withColumnRenamed("range", "_range")), F.col("_by").eqNullSafe(F.col(by)) & (F.col("range") == F.col("_range")))
+    w = Window.partitionBy("_by", "range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    mean = lambda c: F.try_divide(F.col(f"{c}_s") + F.coalesce(F.sum(c).over(w), F.lit(0.0)), F.col(f"{c}_n") + F.count(c).over(w))
+    return joined.select(F.col("_by").alias(by), order, *(mean(c).alias(c) for c in columns))
+
+
 def fold_summary(per_fold: DataFrame, metrics: list[str], by: list[str] | None = None) -> DataFrame:
     """Metric, mean, std (population), min, max over the folds."""
     pairs = ", ".join(f"'{m}', {m}" for m in metrics)

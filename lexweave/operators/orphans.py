@@ -2,9 +2,9 @@
 
 Parents and references are shuffled once to the same partitions by key and sorted there; one pass over the
 sorted stream carries the last parent's validity interval forward and settles every reference. Nothing is
-broadcast but the hot keys: a key is hot if it holds at least ``hot_share`` of all references, so there are
-never more than ``1 / hot_share`` of them. References to a hot key are spread over ``salts`` partitions by
-their own id, and its one parent row is repeated in each.
+broadcast but the hot keys: a key is hot if it holds more than a quarter of what a partition should get, so there are
+never more than four for each partition. References to a hot key are spread by their own id over as many
+partitions as bring it below that, and its one parent row is repeated in each.
 """
 
 from __future__ import annotations
@@ -98,13 +98,13 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def hot_keys(written: DataFrame, hot_share: float) -> DataFrame:
-    """Normal forms of the written keys that hold at least ``hot_share`` of all: at most 1 / hot_share rows."""
-    counts = written.groupBy("kind", "ref_key").count()
-    hot = counts.where(F.col("count") >= F.lit(hot_share) * counts.agg(F.sum("count")).scalar())
-    return _keyed(hot, "ref_key").select("kind", "key").distinct()
+    """Normal forms of the written keys that hold at least ``hot_share`` of all, at most 1 / hot_share rows; and over how many partitions to spread each."""
+    counts = written.groupBy("kind", "ref_key").count().crossJoin(F.broadcast(written.groupBy().agg((F.count("*") * hot_share).alias("most"))))  # one row
+    hot = counts.where(F.col("count") >= F.col("most"))
+    return _keyed(hot, "ref_key").groupBy("kind", "key").agg(F.greatest(F.lit(1), F.ceil(F.sum("count") / F.max("most"))).cast("int").alias("spread"))
 
 
-def orphans(refs: DataFrame, keys: DataFrame, written: DataFrame | None = None, hot_share: float = 0.02, salts: int = 16, partitions: int | None = None) -> DataFrame:
+def orphans(refs: DataFrame, keys: DataFrame, written: DataFrame | None = None, hot_share: float | None = None, salts: int | None = None, partitions: int | None = None) -> DataFrame:
     """References whose key is ``missing``, ``deleted`` or ``late``; sound ones are left out.
 
     refs: ref_table, ref_id, ref_field, ref_key, kind, loaded_at. keys: one row per (kind, key) with valid_from and
@@ -113,9 +113,10 @@ def orphans(refs: DataFrame, keys: DataFrame, written: DataFrame | None = None,
     empty result, an empty keys makes every reference missing.
     """
     n = partitions or int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = hot_keys(refs.select("kind", "ref_key") if written is None else written, hot_share).withColumn("spread", F.lit(salts))
+    hot = hot_keys(refs.select("kind", "ref_key") if written is None else written, hot_share or 1 / (4 * n))
+    hot = hot.withColumn("spread", F.lit(salts)) if salts else hot
     own = _keyed(refs, "ref_key").join(F.broadcast(hot), ["kind", "key"], "left")
-    salt: Column = F.when(F.col("spread").isNull(), 0).otherwise(F.pmod(F.hash("ref_table", "ref_id", "ref_field"), F.lit(salts)))
+    salt: Column = F.when(F.col("spread").isNull(), 0).otherwise(F.pmod(F.hash("ref_table", "ref_id", "ref_field"), F.col("spread")))
     right = own.select("kind", "key", salt.cast("int").alias("salt"), F.lit(True).alias("is_ref"), F.lit(None).cast("timestamp").alias("valid_from"), F.lit(None).cast("boolean").alias("live"), "ref_table", "ref_id", "ref_field", "ref_key", "loaded_at")
     null = lambda c, t: F.lit(None).cast(t).alias(c)
     left = keys.join(F.broadcast(hot), ["kind", "key"], "left").select(

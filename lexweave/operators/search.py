@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -178,6 +178,40 @@ def with_bodies(queries: DataFrame, hits: DataFrame, items: DataFrame, k: int, c
     return queries.join(bodies, "query_id", "left").select("query_id", F.concat_ws(" ", "text", more).alias("text"))
 
 
+def ranked_items(
+    items: DataFrame, queries: DataFrame, s: Settings = DEFAULT, similarity: Callable[[DataFrame], DataFrame] | None = None, scorer: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """query_id, item_id, score, rn: the retrieval stack. Sparse channels, and a dense one where there is a ``similarity``, fused by rank.
+
+    similarity: from questions to query_id, item_id, score of the pairs it knows; then the pool is blended with it unless ``s.rerank`` is
+    off. With ``s.hyde_dense_k`` it is asked again with the best items' beginnings behind the questions, weighted by ``s.hyde_dense_weight``.
+    ``s.specificity_weight`` mixes in the prior for longer texts; scorer: adds ``ce`` to the head of ``s.ce_top_n``, whose texts come as ``text`` of
+    at most ``s.ce_doc_chars`` characters.
+    """
+    channels = {"bm25": rank.top_k(rank.bm25(items, queries, s), s.fetch), "tfidf": rank.top_k(rank.tfidf(items, queries, s, k=s.fetch), s.fetch)}
+    known = None
+    if similarity is not None:
+        known = similarity(queries)
+        if s.hyde_dense_k:
+            again = similarity(with_bodies(queries, channels["bm25"], items, s.hyde_dense_k, s.hyde_chars)).withColumnRenamed("score", "more")
+            both = known.join(again, ["query_id", "item_id"], "full")
+            weight = s.hyde_dense_weight
+            known = both.select("query_id", "item_id", ((1 - weight) * F.coalesce("score", F.lit(0.0)) + weight * F.coalesce("more", F.lit(0.0))).alias("score"))
+        channels["dense"] = rank.top_k(known, s.fetch)
+    pool = rank.top_k(rank.fuse(channels, s), max(s.pool, s.returned)).drop("rn")
+    if known is not None and s.rerank:
+        cosine = known.select("query_id", "item_id", F.col("score").alias("cosine"))
+        pool = pool.withColumnRenamed("score", "rrf").join(cosine, ["query_id", "item_id"], "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
+        pool = rank.blend(pool, "rrf", "cosine", s.rerank_alpha).select("query_id", "item_id", "score")
+    if s.specificity_weight:
+        pool = pool.join(items, "item_id").select("query_id", "item_id", F.round(rank.specificity(F.col("text"), s.specificity_weight, F.col("score")), 8).alias("score"))
+    hits = rank.top_k(pool, s.returned)
+    if scorer is None or not s.ce_top_n:
+        return hits
+    texts = items.select("item_id", F.substring("text", 1, s.ce_doc_chars).alias("text"))
+    return rank.rerank(hits, lambda head: scorer(head.join(texts, "item_id")).drop("text"), s)
+
+
 def matched_entities(queries: DataFrame, entities: DataFrame, hits: DataFrame, expansions: DataFrame, adj: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """query_id, name, type, score, place: what local search starts from, in the order in which it goes on from it.
 
@@ -201,18 +235,16 @@ def matched_entities(queries: DataFrame, entities: DataFrame, hits: DataFrame, e
     return every.select("query_id", "name", "type", F.round(score + 1e-9, 6).alias("score"), "rn", "pos", "step").withColumn("place", place).select("query_id", "name", "type", "score", "place")
 
 
-def local_search(queries: DataFrame, entities: DataFrame, chunks: DataFrame, edges: DataFrame, expansions: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+def local_search(queries: DataFrame, entities: DataFrame, chunks: DataFrame, edges: DataFrame, expansions: DataFrame, s: Settings = DEFAULT, **models) -> DataFrame:
     """query_id, name, type, description, score, origin: what local search finds, each name once, by its greatest score.
 
     Fused sparse retrieval over all items, boosts and mentions, then one hop over the graph from the first ``traversal`` entities of the
     list: the neighbours, and the edges as rows named '(entity) -> (neighbour)'. Of equal scores entities come before neighbours before edges.
-    The items' texts and the graph are worked out once and written to the shared folder.
+    The items' texts and the graph are worked out once and written to the shared folder. models: those of ``ranked_items``.
     """
     items = cut_lineage(item_texts(entities, chunks).select(F.concat_ws("|", "item_type", "name").alias("item_id"), "text"))
     adj = cut_lineage(graph.adjacency(graph.simple_edges(graph.within(edges, entities))))
-    channels = {"bm25": rank.top_k(rank.bm25(items, queries, s), s.fetch), "tfidf": rank.top_k(rank.tfidf(items, queries, s, k=s.fetch), s.fetch)}
-    fused = rank.top_k(rank.fuse(channels, s), s.returned)
-    hits = fused.select("query_id", F.substring_index("item_id", "|", 1).alias("kind"), F.expr("substring(item_id, instr(item_id, '|') + 1)").alias("name"), "score", "rn")
+    hits = ranked_items(items, queries, s, **models).select("query_id", F.substring_index("item_id", "|", 1).alias("kind"), F.expr("substring(item_id, instr(item_id, '|') + 1)").alias("name"), "score", "rn")
     found = cut_lineage(matched_entities(queries, entities, hits, expansions, adj, s))
     known = entities.select("name", "type", F.coalesce("description", F.lit("")).alias("description")).groupBy("name", "type").agg(F.min("description").alias("description"))
     start = found.where(F.col("place") <= s.traversal)

@@ -187,8 +187,8 @@ def best_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def progress_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running means in order of result, per generator."""
-    w = Window.partitionBy("generator").orderBy("result_id").rowsBetween(Window.unboundedPreceding, 0)
-    return _results(spark, sf_dir).select("generator", "result_id", F.round(F.avg("mrr").over(w) + 1e-9, 6).alias("mean_mrr"), F.round(F.avg("citation_f1").over(w) + 1e-9, 6).alias("mean_f1"))
+    found = metrics.running_means(_results(spark, sf_dir), "generator", "result_id", ["mrr", "citation_f1"])
+    return found.select("generator", "result_id", F.round(F.col("mrr") + 1e-9, 6).alias("mean_mrr"), F.round(F.col("citation_f1") + 1e-9, 6).alias("mean_f1"))
 
 
 def graph_view(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,3 +132,55 @@ def test_components_that_do_not_settle_are_an_error(spark):
     with pytest.raises(RuntimeError):
         graph.components(nodes, simple, rounds=1)
     assert {r.component for r in graph.components(nodes, simple).collect()} == {"n000"}
+
+
+def test_the_retrieval_stack_reads_its_settings(spark):
+    from lexweave.operators import search
+
+    items = spark.createDataFrame([(1, "aa bb cc"), (2, "aa dd " + "ee " * 200), (3, "ff")], "item_id long, text string")
+    queries = spark.createDataFrame([(7, "aa bb")], "query_id long, text string")
+    seen = []
+
+    def similarity(q):
+        seen.append(q.first()["text"])
+        return spark.createDataFrame([(7, 3, 0.9), (7, 1, 0.1)], "query_id long, item_id long, score double")
+
+    order = lambda **k: [r.item_id for r in search.ranked_items(items, queries, **k).orderBy("rn").collect()]
+    assert order() == [1, 2]
+    assert set(order(similarity=similarity)) == {1, 2, 3} and seen == ["aa bb"]
+    assert order(similarity=similarity, s=Settings(rerank_alpha=1.0))[0] == 3 and order(similarity=similarity, s=Settings(rerank=False, rerank_alpha=1.0))[0] == 1
+    seen.clear()
+    order(similarity=similarity, s=Settings(hyde_dense_k=1, hyde_chars=5))
+    assert seen[1] == "aa bb aa bb"
+    assert order(s=Settings(specificity_weight=1.0)) == [2, 1]
+    scorer = lambda head: head.withColumn("ce", F.length("text").cast("double"))
+    assert order(s=Settings(ce_top_n=2, ce_beta=1.0), scorer=scorer) == [2, 1]
+
+
+def test_running_means_over_ranges(spark):
+    from lexweave.operators import metrics
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), i, rng.choice([None, rng.random()])) for i in range(300)]
+    got = {(r.g, r.i): r.v for r in metrics.running_means(spark.createDataFrame(rows, "g string, i int, v double"), "g", "i", ["v"]).collect()}
+    assert len(got) == 300
+    seen = defaultdict(list)
+    for g, i, v in rows:
+        seen[g] += [v] * (v is not None)
+        assert (got[g, i] is None) if not seen[g] else math.isclose(got[g, i], sum(seen[g]) / len(seen[g]))
+
+
+def test_words_are_set_apart_by_a_hook(spark):
+    from lexweave.functions import models
+
+    items = spark.createDataFrame([(1, "กขค"), (2, None), (3, "!")], "item_id long, text string")
+
+    def model():
+        def split(t):
+            if t == "!":
+                raise ValueError
+            return list(t)
+
+        return split
+
+    assert {r.item_id: r.text for r in models.tokenized(items, model).collect()} == {1: "ก ข ค", 2: None, 3: "!"}
