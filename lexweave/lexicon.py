@@ -17,33 +17,55 @@ OFFENSES = [
     ("หมิ่นพระบรมเดชานุภาพ", "ความผิดฐานหมิ่นพระบรมเดชานุภาพ"), ("กบฏ", "ความผิดฐานกบฏ"), ("ปลอมเอกสาร", "ความผิดฐานปลอมเอกสาร"), ("ปลอมแปลง", "ความผิดฐานปลอมแปลง"), ("ทุจริตต่อหน้าที่", "ความผิดฐานทุจริตต่อหน้าที่"),
     ("หน่วงเหนี่ยว", "ความผิดฐานหน่วงเหนี่ยว"), ("กักขัง", "ความผิดฐานกักขังหน่วงเหนี่ยว"), ("วางเพลิง", "ความผิดฐานวางเพลิง"),
 ]
+#: Concepts.
 CONCEPTS = [
     ("ละเมิด", "ละเมิด"), ("สัญญา", "สัญญา"), ("นิติกรรม", "นิติกรรม"), ("อายุความ", "อายุความ"), ("ค่าสินไหมทดแทน", "ค่าสินไหมทดแทน"), ("ค่าเสียหาย", "ค่าเสียหาย"), ("สิทธิ", "สิทธิ"), ("เสรีภาพ", "เสรีภาพ"),
     ("ทรัพย์สิน", "ทรัพย์สิน"), ("กรรมสิทธิ์", "กรรมสิทธิ์"), ("ครอบครอง", "การครอบครอง"), ("มรดก", "มรดก"), ("จำนอง", "จำนอง"), ("จำนำ", "จำนำ"), ("ค้ำประกัน", "ค้ำประกัน"), ("โอนสิทธิ", "การโอนสิทธิ"), ("หนี้", "หนี้"),
     ("เจตนา", "เจตนา"), ("ประมาท", "ความประมาท"), ("ทุจริต", "ทุจริต"), ("สุจริต", "สุจริต"), ("ข่มขืนใจ", "การข่มขืนใจ"), ("กำลังประทุษร้าย", "การใช้กำลังประทุษร้าย"), ("ยินยอม", "ความยินยอม"), ("ป้องกัน", "การป้องกัน"),
     ("จำเป็น", "ความจำเป็น"), ("บรรเทาโทษ", "การบรรเทาโทษ"), ("รอการลงโทษ", "การรอการลงโทษ"), ("ริบทรัพย์", "การริบทรัพย์"),
 ]
+#: Organizations.
 ORGANIZATIONS = [
     ("ศาล", "ศาล"), ("ศาลยุติธรรม", "ศาลยุติธรรม"), ("ศาลปกครอง", "ศาลปกครอง"), ("ศาลทหาร", "ศาลทหาร"), ("ศาลรัฐธรรมนูญ", "ศาลรัฐธรรมนูญ"), ("ศาลฎีกา", "ศาลฎีกา"), ("ศาลอุทธรณ์", "ศาลอุทธรณ์"), ("คณะรัฐมนตรี", "คณะรัฐมนตรี"),
     ("รัฐสภา", "รัฐสภา"), ("สภาผู้แทนราษฎร", "สภาผู้แทนราษฎร"), ("วุฒิสภา", "วุฒิสภา"), ("คณะกรรมการการเลือกตั้ง", "คณะกรรมการการเลือกตั้ง"),
     ("คณะกรรมการป้องกันและปราบปรามการทุจริตแห่งชาติ", "คณะกรรมการ ป.ป.ช."), ("สำนักงานตำรวจแห่งชาติ", "สำนักงานตำรวจแห่งชาติ"), ("อัยการ", "อัยการ"), ("พนักงานสอบสวน", "พนักงานสอบสวน"),
 ]
-PERSONS = [
-    (p, p)
-    for p in "ผู้เสียหาย ผู้กระทำผิด ผู้ต้องหา จำเลย โจทก์ ผู้เยาว์ นายจ้าง ลูกจ้าง เจ้าหนี้ ลูกหนี้ ผู้ซื้อ ผู้ขาย ผู้ให้เช่า ผู้เช่า ผู้รับจำนอง ผู้จำนอง ตัวการ ตัวแทน ผู้ค้ำประกัน เจ้าของ ผู้ครอง ผู้อนุบาล ผู้พิทักษ์ บิดามารดา ทายาท เจ้าพนักงาน พระมหากษัตริย์".split()
-]
+#: Kinds of persons, each its own canonical name.
+PERSON_WORDS = [
+    "ผู้เสียหาย", "ผู้กระทำผิด", "ผู้ต้องหา", "จำเลย", "โจทก์", "ผู้เยาว์", "นายจ้าง", "ลูกจ้าง", "เจ้าหนี้", "ลูกหนี้", "ผู้ซื้อ", "ผู้ขาย",
+    "ผู้ให้เช่า", "ผู้เช่า", "ผู้รับจำนอง", "ผู้จำนอง", "ตัวการ", "ตัวแทน", "ผู้ค้ำประกัน", "เจ้าของ", "ผู้ครอง", "ผู้อนุบาล", "ผู้พิทักษ์",
+    "บิดามารดา", "ทายาท", "เจ้าพนักงาน", "พระมหากษัตริย์",
+]
+PERSONS = [(p, p) for p in PERSON_WORDS]
+#: Laws and their short marks.
 LAW_ABBREVIATIONS = [
     ("ประมวลกฎหมายอาญา", "อาญา"), ("ประมวลกฎหมายแพ่งและพาณิชย์", "แพ่ง"), ("รัฐธรรมนูญแห่งราชอาณาจักรไทย", "รธน"), ("รัฐธรรมนูญแห่งราชอาณาจักรไทย พุทธศักราช ๒๕๖๐", "รธน"),
 ]
-STOP_WORDS = (
-    "ของ ใน ที่ และ หรือ ได้ ไม่ เป็น มี แห่ง ตาม โดย ให้ กับ จาก ถึง แต่ นั้น นี้ จะ ต้อง อย่าง ไว้ เมื่อ ผู้ แก่ ว่า ซึ่ง อัน ก็ กัน ดัง คือ เพื่อ หาก ถ้า เช่น เพียง ยัง อาจ ทั้ง"
-    " การ ความ ## ** *** --- [ ] ( ) : บทบัญญัติ เกี่ยวข้อง ข้อมูล เพิ่มเติม สรุป อธิบาย หมายความ ดังนี้ ดังกล่าว"
-).split()
-#: Words of a question that speak for a law, with the laws' factors; a later match overrides an earlier one.
-CRIMINAL_SIGNS = "อาญา ระวางโทษ ระวาง จำคุก ประหาร ลักทรัพย์ ฉ้อโกง ยักยอก ทำร้าย ฆ่า หมิ่น ปล้น ชิงทรัพย์ ข่มขืน ริบทรัพย์ บันดาล เจตนา ประมาท ความผิด ปรับไม่เกิน".split()
-CIVIL_SIGNS = "แพ่ง นิติกรรม สัญญา ละเมิด มรดก บุริมสิทธิ อายุความ หนี้ ภูมิลำเนา นิติภาวะ สาบสูญ โมฆะ โมฆียะ ข่มขู่".split()
-CONSTITUTION_SIGNS = "รัฐธรรมนูญ อธิปไตย รัฐสภา นายก พระมหากษัตริย์ คณะรัฐมนตรี เลือกตั้ง สิทธิเสรีภาพ".split()
-ROYAL_OFFENSE_SIGNS = "ปลงพระ ประทุษร้าย หมิ่นพระ".split()
+#: Words that say nothing in a comparison of answers.
+STOP_WORDS = [
+    "ของ", "ใน", "ที่", "และ", "หรือ", "ได้", "ไม่", "เป็น", "มี", "แห่ง", "ตาม", "โดย", "ให้", "กับ", "จาก", "ถึง", "แต่", "นั้น", "นี้", "จะ",
+    "ต้อง", "อย่าง", "ไว้", "เมื่อ", "ผู้", "แก่", "ว่า", "ซึ่ง", "อัน", "ก็", "กัน", "ดัง", "คือ", "เพื่อ", "หาก", "ถ้า", "เช่น", "เพียง", "ยัง",
+    "อาจ", "ทั้ง", "การ", "ความ", "##", "**", "***", "---", "[", "]", "(", ")", ":", "บทบัญญัติ", "เกี่ยวข้อง", "ข้อมูล", "เพิ่มเติม", "สรุป",
+    "อธิบาย", "หมายความ", "ดังนี้", "ดังกล่าว",
+]
+#: Words of a question that speak for the criminal code; a later match overrides an earlier one.
+CRIMINAL_SIGNS = [
+    "อาญา", "ระวางโทษ", "ระวาง", "จำคุก", "ประหาร", "ลักทรัพย์", "ฉ้อโกง", "ยักยอก", "ทำร้าย", "ฆ่า", "หมิ่น", "ปล้น", "ชิงทรัพย์", "ข่มขืน",
+    "ริบทรัพย์", "บันดาล", "เจตนา", "ประมาท", "ความผิด", "ปรับไม่เกิน",
+]
+#: Words that speak for the civil code.
+CIVIL_SIGNS = [
+    "แพ่ง", "นิติกรรม", "สัญญา", "ละเมิด", "มรดก", "บุริมสิทธิ", "อายุความ", "หนี้", "ภูมิลำเนา", "นิติภาวะ", "สาบสูญ", "โมฆะ", "โมฆียะ", "ข่มขู่",
+]
+#: Words that speak for the constitution.
+CONSTITUTION_SIGNS = [
+    "รัฐธรรมนูญ", "อธิปไตย", "รัฐสภา", "นายก", "พระมหากษัตริย์", "คณะรัฐมนตรี", "เลือกตั้ง", "สิทธิเสรีภาพ",
+]
+#: Words that speak against it.
+ROYAL_OFFENSE_SIGNS = [
+    "ปลงพระ", "ประทุษร้าย", "หมิ่นพระ",
+]
+
 # The kinds of keyword entity: type, dictionary, edge type, weight; in the order in which a chunk's names are taken.
 KEYWORD_KINDS = [("OFFENSE", OFFENSES, "RELATES_TO", 0.7), ("LEGAL_CONCEPT", CONCEPTS, "INVOLVES_CONCEPT", 0.5), ("ORGANIZATION", ORGANIZATIONS, "MENTIONS", 0.4), ("PERSON_TYPE", PERSONS, "MENTIONS", 0.3)]
 
