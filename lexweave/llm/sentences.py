@@ -373,12 +373,23 @@ class Tagger:
         if a is None:
             if len(self.left) > 100_000:
                 self.left.clear()
-            self.left[left] = a = sum(w.get(x, 0.0) for x in self.left_features(left, False))
+            # a context is only known if the shorter ones within it are
+            a, size = 0.0, len(left)
+            for n in LEFT:
+                if n > size or (v := w.get("<" + left[-n:])) is None:
+                    break
+                a += v
+            self.left[left] = a = a + (w.get("<^", 0.0) if size < LEFT[-1] else 0.0)
         b = self.right.get(right)
         if b is None:
             if len(self.right) > 100_000:
                 self.right.clear()
-            self.right[right] = b = sum(w.get(x, 0.0) for x in self.right_features(right, False))
+            b, size = 0.0, len(right)
+            for n in RIGHT:
+                if n > size or (v := w.get(">" + right[:n])) is None:
+                    break
+                b += v
+            self.right[right] = b
         key = (left[-8:], right[:8])
         c = self.pair.get(key)
         if c is None:
@@ -537,7 +548,7 @@ def train(items: list[str], epochs: int = EPOCHS, seed: int = SEED, begins: list
                     add(tp, -1.0)
                 before_gold, before_guess = int(gold), int(tag)
     out = {f: (total.get(f, 0.0) + (step - stamp.get(f, 0)) * v) / max(1, step) for f, v in w.items()}
-    out = {f: v for f, v in out.items() if abs(v) > 1e-6} | {BEGINS: begins}
+    out = out | {BEGINS: begins}  # also those of no weight, so that longer contexts are found behind them
     tagger = Tagger(out)
     scores = []
     for a, b in zip(items[:200], items[200:400], strict=False):
