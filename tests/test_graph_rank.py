@@ -26,6 +26,28 @@ def test_bm25_by_hand(spark):
     assert {(r.query_id, r.item_id): r.score for r in rank.bm25(items, queries).collect()} == want
 
 
+def test_bm25_sends_on_only_the_best(spark):
+    rng = random.Random(3)
+    words = ["common", *(f"w{i}" for i in range(30))]
+    docs = [(f"d{i:04}", " ".join(["common", *rng.choices(words, k=rng.randrange(1, 6))])) for i in range(1500)]
+    docs += [docs[7], ("d0008", "common w1 w2 w3")]  # rows of an item that is there already
+    items = spark.createDataFrame(docs, "item_id string, text string").repartition(3)
+    queries = spark.createDataFrame([(1, "common w1 w2"), (2, "w3 w3 w4"), (3, "common"), (4, "absent")], "query_id long, text string")
+    every = rank.bm25(items, queries).collect()
+    assert len({(r.query_id, r.item_id) for r in every}) == len(every) > 2500
+    want = {q: sorted((-r.score, r.item_id) for r in every if r.query_id == q)[:5] for q in (1, 2, 3)}
+    best = rank.bm25(items, queries, k=5)
+    got = best.collect()
+    assert len(got) <= 3 * 5 * best.rdd.getNumPartitions() < 500
+    assert {q: [(-r.score, r.item_id) for r in sorted((r for r in rank.top_k(best, 5).collect() if r.query_id == q), key=lambda r: r.rn)] for q in (1, 2, 3)} == want
+
+
+def test_bm25_keeps_pairs_without_score(spark):
+    items = spark.createDataFrame([(1, "aa bb"), (2, "cc dd")], "item_id long, text string")  # each term in half of the items: no weight
+    queries = spark.createDataFrame([(1, "aa"), (2, "dd zz")], "query_id long, text string")
+    assert sorted((r.query_id, r.item_id, r.score) for r in rank.bm25(items, queries, k=3).collect()) == [(1, 1, 0.0), (2, 2, 0.0)]
+
+
 def test_fusion_and_blend(spark):
     a = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "query_id long, item_id long, rn long")
     b = spark.createDataFrame([(1, 11, 1)], "query_id long, item_id long, rn long")
