@@ -17,3 +17,12 @@ def test_every_member_of_the_pool_has_its_own_cosine(spark):
     got = {(r.query_id, r.item_id): r.cosine for r in retrieval.pooled(items, queries, s).collect()}
     assert got == {k: cosine.get(k, 0.0) for k in got}
     assert any(c > 0 for k, c in got.items() if k not in first)
+
+
+def test_tfidf_sends_on_only_each_tasks_best(spark):
+    items = spark.range(3000, numPartitions=1).selectExpr("id AS item_id", "concat_ws(' ', 'alpha', repeat('beta ', int(id % 50))) AS text")
+    queries = spark.createDataFrame([(1, "alpha beta"), (2, "beta")], "query_id long, text string")
+    want = [(r.query_id, r.item_id, r.rn) for r in rank.top_k(rank.tfidf(items, queries), 2).orderBy("query_id", "rn").collect()]
+    best = rank.tfidf(items, queries, k=2).collect()
+    assert len(best) == 4
+    assert [(r.query_id, r.item_id, r.rn) for r in rank.top_k(rank.tfidf(items, queries, k=2), 2).orderBy("query_id", "rn").collect()] == want
