@@ -4,11 +4,9 @@ Pigeonhole edit matching. A stretch counts if at most the share ``errors`` of it
 normal form (letters, digits and marks only) is cut into pieces so short that every stretch of the share ``stretch`` of it
 holds more whole pieces than it may hold edits: of m pieces and e edits at least m - e stand unhurt in the document, on
 diagonals that differ by e at most. The pieces of all items are looked up in all documents by their hashes, an array at a
-time; a document with m - e of an item's on such diagonals is a candidate. Between the runs of characters that the two share there in
-order, the edits are counted, the longest stretch within the share of edits is taken, and Myers' bit-parallel distance verifies it.
-
-Formulas that many items share are no case: a piece of more than ``FORMULA`` of the items is not looked up, and of each item as
-many fewer pieces are asked for, in proportion. Where no piece is shared so widely nothing within the budget is lost.
+time; a document that has m - e of those of a stretch, however many items share them, is looked at more closely, and is a candidate if
+they stand on such diagonals. Between the runs of characters that the two share there in order, the edits are counted, the longest
+stretch within the share of edits is taken, and Myers' bit-parallel distance verifies it.
 
 Documents are only scanned, never shuffled; the items stand in blocks of at most ``block_chars`` characters, one scan of the
 documents each.
@@ -32,8 +30,8 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, St
 from lexweave.llm.windows import SUB_BATCH, Windows
 
 STRETCH, MAX_ERRORS = 0.4, 0.12
-#: Longest piece; share of the items (and least number) beyond which a piece is a formula; characters of a gram, which begins a shared run.
-PIECE, FORMULA, FORMULA_ITEMS, GRAM = 4, 0.01, 2, 4
+#: Longest piece; characters of a gram, which begins a shared run.
+PIECE, GRAM = 4, 4
 BLOCK_CHARS = 32_000_000
 
 FOUND = StructType([StructField("doc_id", LongType()), StructField("item_id", LongType()), StructField("share", DoubleType()), StructField("distance", IntegerType())])
@@ -99,43 +97,54 @@ def cutting(length: int, errors: float) -> tuple[int, int, int]:
 
 
 class _Table:
-    """The pieces of one length: hashes in order, and of each the items and offsets at which it stands."""
-
-    def __init__(self, size: int, hashes: list[int], items: list[int], offsets: list[int]):
-        self.size = size
-        h = np.asarray(hashes, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.keys, first = np.unique(h[order], return_index=True)
-        self.first = np.append(first, len(h))
-        self.items, self.offsets = np.asarray(items, np.int64)[order], np.asarray(offsets, np.int64)[order]
+    """The pieces of one length: of each item in order, as numbers of their hashes; and of each stretch how many must stand in a text."""
+
+    def __init__(self, size: int, rows: list[tuple[int, int, int, int, np.ndarray, np.ndarray]]):
+        """rows: item, pieces of a stretch, how many of them stay unhurt, how far apart their diagonals are, hashes and offsets of its pieces."""
+        self.size, self.items = size, [r[0] for r in rows]
+        self.keys, self.piece = np.unique(np.concatenate([r[4] for r in rows]), return_inverse=True)
+        self.offsets, lengths = np.concatenate([r[5] for r in rows]), np.asarray([len(r[4]) for r in rows])
+        self.item, first = np.repeat(np.arange(len(rows)), lengths), np.concatenate([[0], np.cumsum(lengths)])
+        m, self.sound, self.near = (np.asarray([r[i] for r in rows]) for i in (1, 2, 3))
+        self.whose = np.repeat(np.arange(len(rows)), lengths - m + 1)
+        self.start = np.concatenate([a + np.arange(n) for a, n in zip(first, lengths - m + 1)])
+        self.end, self.least, self.most = self.start + m[self.whose], self.sound[self.whose], int(self.offsets.max(initial=0))
+        self.sums = np.zeros(len(self.piece) + 1, np.int32)
         self.map = np.zeros(1 << 22, bool)
         self.map[(self.keys >> np.uint64(42)).astype(np.int64)] = True
 
-    def hits(self, w: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """text, item, place in the text and in the item of each piece that stands in a text."""
+    def pieces(self, w: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """text, number of the piece and place of each piece that stands in a text, in order."""
         starts, whose = w.every(self.size)
         h = w.hashes(starts, starts + self.size)
         i = np.flatnonzero(self.map[(h >> np.uint64(42)).astype(np.int64)])
         at = np.minimum(np.searchsorted(self.keys, h[i]), len(self.keys) - 1)
         same = self.keys[at] == h[i]
         i, at = i[same], at[same]
-        n = self.first[at + 1] - self.first[at]
-        row = np.repeat(np.arange(len(i)), n)
-        entry = np.repeat(self.first[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(len(row)) if len(i) else np.zeros(0, np.int64)
-        text = whose[i][row]
-        return text, self.items[entry], starts[i][row] - w.offsets[text], self.offsets[entry]
-
-
-def _order(columns: tuple[np.ndarray, ...]) -> np.ndarray:
-    """The order of rows by columns of whole numbers, the first first; as one number each where they fit."""
-    key, room = np.zeros(len(columns[0]), np.int64), 1
-    for c in columns:
-        low, high = int(c.min()), int(c.max())
-        if room * (high - low + 1) >= 1 << 62:
-            return np.lexsort(columns[::-1])
-        room *= high - low + 1
-        key = key * (high - low + 1) + (c - low)
-    return np.argsort(key)
+        return whose[i], at, starts[i] - w.offsets[whose[i]]
+
+    def likely(self, piece: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of a text with these pieces the items of one stretch of which it has enough in a band of diagonals, and the places in the text and in the item of the pieces there."""
+        count = np.bincount(piece, minlength=len(self.keys))
+        np.cumsum(count[self.piece] > 0, out=self.sums[1:])
+        enough = np.zeros(len(self.items), bool)
+        enough[self.whose[self.sums[self.end] - self.sums[self.start] >= self.least]] = True
+        if not enough.any():
+            return
+        slot = np.flatnonzero(enough[self.item] & (count[self.piece] > 0))
+        places, before, own = place[np.argsort(piece, kind="stable")], np.cumsum(count) - count, self.piece[slot]
+        n = count[own]
+        at = places[np.repeat(before[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        item, offset = np.repeat(self.item[slot], n), np.repeat(self.offsets[slot], n)
+        near, good = self.near[item], np.zeros(len(at), bool)
+        for shift in (0, 1):  # a band of half the width falls within one of the two cuts
+            band = (at - offset + self.most + shift * near) // (2 * near)
+            cell = item * (int(band.max()) + 1) + band
+            good |= np.bincount(cell)[cell] >= self.sound[item]
+        item, at, offset = item[good], at[good], offset[good]
+        start = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]])) if len(item) else item
+        for a, b in zip(start.tolist(), [*start[1:].tolist(), len(item)]):
+            yield self.items[item[a]], at[a:b], offset[a:b]
 
 
 class Matcher:
@@ -145,35 +154,19 @@ class Matcher:
         self.stretch, self.errors = stretch, errors
         self.items = [(item, n) for item, text in items if (n := normal(text or ""))]
         self.grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.first = np.concatenate([[0], np.cumsum([len(n) for _, n in self.items])]).astype(np.int64)
-        self.need = np.ones(self.first[-1], np.int64)
-        self.span = np.ones(len(self.items), np.int64)
+        self.need, self.span = np.ones((2, len(self.items)), np.int64)
         self.drift = np.asarray([int(errors * len(n)) + 1 for _, n in self.items], np.int64)
-        often = max(FORMULA_ITEMS, FORMULA * len(self.items))
-        holds: dict[str, set[int]] = defaultdict(set)
-        cuts = [cutting(max(1, math.ceil(stretch * len(n))), errors) for _, n in self.items]
-        for k, ((_, n), (size, step, _)) in enumerate(zip(self.items, cuts, strict=True)):
-            for o in range(0, len(n) - size + 1, step):
-                holds[n[o : o + size]].add(k)
-        rows: dict[int, tuple[list[int], list[int], list[int]]] = defaultdict(lambda: ([], [], []))
-        for k, ((_, n), (size, step, sound)) in enumerate(zip(self.items, cuts, strict=True)):
-            places = range(0, len(n) - size + 1, step)
-            own = np.asarray([len(holds[n[o : o + size]]) <= often for o in places])
-            m = max(1, min(len(own), math.ceil(stretch * len(n)) // step - 1))
-            if not own.any():  # all of it is formulas: nothing but they can show it
-                own[:] = True
-            sums = np.concatenate([[0], np.cumsum(own)])
-            start = np.minimum(np.arange(len(own)), len(own) - m)
-            # of a stretch from each place on, or the last there is
-            self.need[self.first[k] + np.asarray(places)] = np.maximum(1, sound * (sums[start + m] - sums[start]) // m)
-            self.span[k] = m * step
-            w = Windows([n])
-            at = np.asarray(places)[own]
-            h, items_, offsets = rows[size]
-            h.extend(w.hashes(at, at + size).tolist())
-            items_.extend([k] * len(at))
-            offsets.extend(at.tolist())
-        self.tables = [_Table(size, *x) for size, x in rows.items()]
+        # the pieces that show an item stand in one stretch, on diagonals that differ by its edits at most
+        self.near = np.asarray([int(errors * math.ceil(stretch * len(n))) + 1 for _, n in self.items], np.int64)
+        rows: dict[int, list[tuple[int, int, int, int, np.ndarray, np.ndarray]]] = defaultdict(list)
+        for k, (_, n) in enumerate(self.items):
+            length = max(1, math.ceil(stretch * len(n)))
+            size, step, sound = cutting(length, errors)
+            at = np.arange(0, len(n) - size + 1, step)
+            m = max(1, min(len(at), length // step - 1))
+            self.need[k], self.span[k] = sound, m * step
+            rows[size].append((k, m, sound, int(self.near[k]), Windows([n]).hashes(at, at + size), at))
+        self.tables = [_Table(size, x) for size, x in rows.items()]
         w = Windows([n for _, n in self.items])
         starts, whose = w.every(GRAM)
         self.gram_keys, self.gram_ids = np.unique(w.hashes(starts, starts + GRAM), return_inverse=True)
@@ -209,7 +202,9 @@ class Matcher:
         offset = order[np.repeat(left - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(len(at))]
         near = np.abs(at + low - offset - diagonal) <= reach
         at, offset = at[near] + low, offset[near]
-        if len(at) < least:
+        held = np.zeros(n, bool)
+        held[offset] = True
+        if len(np.unique(at)) < least or not self._dense(n, np.flatnonzero(held)):
             return []
         by = np.lexsort((-offset, at))
         places, offsets = at[by].tolist(), offset[by].tolist()
@@ -230,7 +225,17 @@ class Matcher:
         while j >= 0:
             chain.append((places[j], offsets[j]))
             j = before[j]
-        return chain[::-1]
+        chain.reverse()
+        return chain if self._dense(n, np.asarray([c[1] for c in chain])) else []
+
+    def _dense(self, n: int, offsets: np.ndarray) -> bool:
+        """Whether grams at these offsets of an item, in order, could be those of a stretch: of its length less GRAM for each edit, so many."""
+        if self._least(n) < 1:
+            return True
+        share = 1 - GRAM * self.errors
+        more = np.arange(len(offsets)) - share * offsets
+        far = np.searchsorted(offsets, offsets - (math.ceil(self.stretch * n) - GRAM), "right")
+        return bool((more - np.concatenate([[np.inf], np.minimum.accumulate(more)])[far] >= (share - 2) * GRAM).any())
 
     def _sorted_grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         if k not in self.grams:
@@ -248,35 +253,27 @@ class Matcher:
         w = Windows(normals)
         ids, first = self._gram_ids(w)
         for table in self.tables:
-            text, item, at, offset = table.hits(w)
-            for t, k, diagonal in self._candidates(text, item, at - offset, offset) if len(text) else ():
-                if best := self._stretch(k, normals[t], diagonal, ids[first[t] : first[t + 1]]):
-                    out[t].append((self.items[k][0], *best))
+            text, piece, place = table.pieces(w)
+            ends = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
+            for t, (a, b) in enumerate(zip(ends, ends[1:])):
+                for k, at, offset in table.likely(piece[a:b], place[a:b]) if b > a else ():
+                    for diagonal in self._diagonals(k, at, offset):
+                        if best := self._stretch(k, normals[t], diagonal, ids[first[t] : first[t + 1]]):
+                            out[t].append((self.items[k][0], *best))
         return [_longest(x) for x in out]
 
-    def _candidates(self, text: np.ndarray, item: np.ndarray, diagonal: np.ndarray, offset: np.ndarray) -> list[tuple[int, int, int]]:
-        """(text, item, diagonal) of those with enough pieces of one stretch on diagonals as near as edits allow."""
-        found: dict[tuple[int, int], set[int]] = {}
-        drift = self.drift[item]
+    def _diagonals(self, k: int, at: np.ndarray, offset: np.ndarray) -> list[int]:
+        """The diagonals around which enough pieces of one stretch of an item stand, as near as edits allow."""
+        near, found = int(self.near[k]), set()
         for shift in (0, 1):  # a band of half the width falls within one of the two cuts
-            band = (diagonal + shift * drift + (1 << 30)) // (2 * drift)
-            order = _order((text, item, band, offset))
-            t, k, b, o = text[order], item[order], band[order], offset[order]
-            new = np.concatenate([[True], (t[1:] != t[:-1]) | (k[1:] != k[:-1]) | (b[1:] != b[:-1])])
-            own = np.concatenate([[True], new[1:] | (o[1:] != o[:-1])])  # a piece counts once
-            t, k, b, o, group = t[own], k[own], b[own], o[own], np.cumsum(new)[own]
-            key = group * (1 << 32) + o
+            band = (at - offset + shift * near + (1 << 30)) // (2 * near)
+            key = np.unique(band * (1 << 32) + offset)  # a piece counts once
             n = np.searchsorted(key, key + self.span[k]) - np.arange(len(key))
-            for i in np.flatnonzero(n >= self.need[self.first[k] + o]).tolist():
-                place = int(k[i]), int(t[i])
-                found.setdefault((place[1], place[0]), set()).add(int((2 * b[i] + 1 - shift) * self.drift[place[0]] - (1 << 30)))
-        out = []
-        for (t, k), own in sorted(found.items()):
-            last = None
-            for d in sorted(own):
-                if last is None or d - last > self.drift[k]:  # what is nearer lies within the other's reach
-                    out.append((t, k, d))
-                    last = d
+            found.update((2 * (key[n >= self.need[k]] >> 32) + 1 - shift) * near - (1 << 30))
+        out: list[int] = []
+        for d in sorted(map(int, found)):
+            if not out or d - out[-1] > self.drift[k] - near:  # what is nearer lies within the other's reach
+                out.append(d)
         return out
 
     def _stretch(self, k: int, x: str, diagonal: int, grams: np.ndarray) -> tuple[float, int] | None:

@@ -80,3 +80,16 @@ def test_edges(make):
     assert L.leaks(make(DOCS, []), make(ITEMS, items)).count() == 0 == L.leaks(make(DOCS, docs), make(ITEMS, [])).count()
     found = L.leaks(make(DOCS, docs), make(ITEMS, items))
     assert {r.item_id: r.n_documents for r in L.leak_report(found, make(DOCS, docs), make(ITEMS, items)).collect()} == {7: 2, 10: 1}
+
+
+def test_stretches_that_many_items_share_are_found():
+    """The half that a document holds stands in five items, with edits as dense as the budget lets them."""
+    rng = random.Random(7)
+    shared = [passage(rng, 60) for _ in range(3)]
+    items = [(i, f"{shared[i % 3]} {passage(rng, 55)}") for i in range(15)]
+    m = L.Matcher(items)
+    for f, text in enumerate(shared):
+        s = list(L.normal(text))
+        s[4::9] = ["z"] * len(s[4::9])
+        found = m.find([passage(rng, 60) + "".join(s) + passage(rng, 60)])[0]
+        assert {x[0] for x in found} == {i for i, _ in items if i % 3 == f}
