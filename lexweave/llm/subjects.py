@@ -308,22 +308,19 @@ def clear_texts(documents: DataFrame, model) -> DataFrame:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[tuple[int, Chunk]]:
-    """Chunks of clear texts of each pool; of equal texts in a chunk at most ``TEXTS`` count, so that copies do not make their words into terms."""
-    open_: dict[int, tuple[list[str], list[int], Counter[bytes]]] = {p: ([], [], Counter()) for p in POOLS}
+    """Chunks of clear texts of each pool; all of them, copies as often as they come."""
+    open_: dict[int, tuple[list[str], list[int]]] = {p: ([], []) for p in POOLS}
     size = dict.fromkeys(POOLS, 0)
     for batch in batches:
         for pool, label, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            texts, labels, seen = open_[pool]
-            if seen[packed] >= TEXTS:
-                continue
-            seen[packed] += 1
+            texts, labels = open_[pool]
             texts.append(zlib.decompress(packed).decode("utf-8", "surrogatepass"))
             labels.append(label)
             size[pool] += len(texts[-1])
             if size[pool] >= CHUNK:
                 yield pool, Chunk(texts, labels, bits)
-                open_[pool], size[pool] = ([], [], Counter()), 0
-    for pool, (texts, labels, _) in open_.items():
+                open_[pool], size[pool] = ([], []), 0
+    for pool, (texts, labels) in open_.items():
         if texts:
             yield pool, Chunk(texts, labels, bits)
 

@@ -105,3 +105,12 @@ def test_counted_terms_are_those_of_all_texts_at_once(make, monkeypatch):
                 pure[c] = (s, J.weight(a, b, len(own), n[c]))
         want |= {c: (s, round(w, 9), n[c]) for c, (s, w) in J.leading(J.shortest(pure), n).items()}
     assert want and {c: (s, round(w, 9), k) for c, (s, w, k) in got.items()} == want
+
+
+def test_copies_count_as_often_as_they_come(make):
+    """However they fall into tasks."""
+    known = {" fugitive ": (1, 1.0), " warrant ": (1, 1.0), " deposit ": (2, 1.0), " guarantee ": (2, 1.0)}
+    texts = ["the fugitive and his warrant for a stolen boat"] * 9 + [f"deposit and guarantee number{i} of orders" for i in range(9)]
+    for parts in (1, 3):
+        got, _ = J.mined(make("text string", [{"text": t} for t in texts]).repartition(parts), known)
+        assert got[" stolen "][2] == 9 and got[" orders "][2] == 9
