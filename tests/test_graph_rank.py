@@ -206,3 +206,12 @@ def test_words_are_set_apart_by_a_hook(spark):
         return split
 
     assert {r.item_id: r.text for r in models.tokenized(items, model).collect()} == {1: "ก ข ค", 2: None, 3: "!"}
+
+
+def test_no_more_tasks_than_run_at_once_write_their_best(spark):
+    items = spark.createDataFrame([(i, f"word{i % 7} shared rare{i}") for i in range(400)], "item_id long, text string").repartition(40)
+    queries = spark.createDataFrame([(q, f"shared word{q}") for q in range(5)], "query_id long, text string")
+    most = spark.sparkContext.defaultParallelism * 2
+    for scored in (rank.bm25(items, queries, k=2), rank.tfidf(items, queries, k=2)):
+        assert max(r["count"] for r in scored.groupBy("query_id").count().collect()) <= most
+        assert rank.top_k(scored, 2).count() == 10
