@@ -4,9 +4,9 @@ Pigeonhole edit matching. A stretch counts if at most the share ``errors`` of it
 normal form (letters, digits and marks only) is cut into pieces so short that every stretch of the share ``stretch`` of it
 holds more whole pieces than it may hold edits: of m pieces and e edits at least m - e stand unhurt in the document, on
 diagonals that differ by e at most. The pieces of all items are looked up in all documents by their hashes, an array at a
-time; a document that has m - e of those of a stretch, however many items share them, is looked at more closely, and is a candidate if
-they stand on such diagonals. Between the runs of characters that the two share there in order, the edits are counted, the longest
-stretch within the share of edits is taken, and Myers' bit-parallel distance verifies it.
+time; a document that has m - e of those of a stretch, however many items share them, in a band of such diagonals is a candidate.
+Between the runs of characters that the two share there in order, the edits are counted, of the widest gaps first, as long as the least that
+the other gaps can have leaves a stretch; the longest stretch within the share of edits is taken, and Myers' bit-parallel distance verifies it.
 
 Documents are only scanned, never shuffled; the items stand in blocks of at most ``block_chars`` characters, one scan of the
 documents each.
@@ -30,8 +30,8 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, St
 from lexweave.llm.windows import SUB_BATCH, Windows
 
 STRETCH, MAX_ERRORS = 0.4, 0.12
-#: Longest piece; characters of a gram, which begins a shared run.
-PIECE, GRAM = 4, 4
+#: Longest piece; characters of a gram, which begins a shared run; places of pieces that are held at once.
+PIECE, GRAM, HITS = 4, 4, 1 << 20
 BLOCK_CHARS = 32_000_000
 
 FOUND = StructType([StructField("doc_id", LongType()), StructField("item_id", LongType()), StructField("share", DoubleType()), StructField("distance", IntegerType())])
@@ -96,55 +96,117 @@ def cutting(length: int, errors: float) -> tuple[int, int, int]:
     return max(1, length // (edits + 1)), 1, 1
 
 
+class _Numbers:
+    """The places of hashes among sorted ones: looked up by their first bits, as most stand alone there."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, bits = np.append(keys, np.uint64(0)), min(22, max(8, 4 + len(keys).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        count = np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.first, self.count, self.most = (np.cumsum(count) - count).astype(np.int32), count.astype(np.int32), int(count.max(initial=0))
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Of each hash its place, or -1."""
+        out = np.full(len(h), -1)
+        slot = (h >> self.shift).astype(np.int64)
+        i = np.flatnonzero(self.count[slot])
+        slot = slot[i]
+        for j in range(self.most):
+            at = self.first[slot] + j
+            same = self.keys[at] == h[i]
+            out[i[same]] = at[same]
+            rest = ~same & (self.count[slot] > j + 1)
+            i, slot = i[rest], slot[rest]
+            if not len(i):
+                break
+        return out
+
+
 class _Table:
-    """The pieces of one length: of each item in order, as numbers of their hashes; and of each stretch how many must stand in a text."""
+    """The pieces of one length: of each the items and places where it stands; and of each item how many of a stretch must stand in a text."""
 
     def __init__(self, size: int, rows: list[tuple[int, int, int, int, np.ndarray, np.ndarray]]):
-        """rows: item, pieces of a stretch, how many of them stay unhurt, how far apart their diagonals are, hashes and offsets of its pieces."""
+        """rows: item, characters of the pieces of a stretch, how many of them stay unhurt, how far apart their diagonals are, hashes and offsets of its pieces."""
         self.size, self.items = size, [r[0] for r in rows]
-        self.keys, self.piece = np.unique(np.concatenate([r[4] for r in rows]), return_inverse=True)
-        self.offsets, lengths = np.concatenate([r[5] for r in rows]), np.asarray([len(r[4]) for r in rows])
-        self.item, first = np.repeat(np.arange(len(rows)), lengths), np.concatenate([[0], np.cumsum(lengths)])
-        m, self.sound, self.near = (np.asarray([r[i] for r in rows]) for i in (1, 2, 3))
-        self.whose = np.repeat(np.arange(len(rows)), lengths - m + 1)
-        self.start = np.concatenate([a + np.arange(n) for a, n in zip(first, lengths - m + 1)])
-        self.end, self.least, self.most = self.start + m[self.whose], self.sound[self.whose], int(self.offsets.max(initial=0))
-        self.sums = np.zeros(len(self.piece) + 1, np.int32)
-        self.map = np.zeros(1 << 22, bool)
-        self.map[(self.keys >> np.uint64(42)).astype(np.int64)] = True
+        self.span, self.sound, self.near = (np.asarray([r[i] for r in rows], np.int64) for i in (1, 2, 3))
+        keys, piece = np.unique(np.concatenate([r[4] for r in rows]), return_inverse=True)
+        self.numbers, order = _Numbers(keys), np.argsort(piece, kind="stable")
+        self.item = np.repeat(np.arange(len(rows)), [len(r[4]) for r in rows])[order]
+        self.offset = np.concatenate([r[5] for r in rows])[order]
+        self.times = np.bincount(piece, minlength=len(keys))
+        self.first, self.most = np.cumsum(self.times) - self.times, int(self.offset.max(initial=0))
+        # so far diagonals are shifted that they count from 0; half bands of them begin where bands do
+        self.zero = -(-self.most // (2 * self.near)) * 2 * self.near + (1 << 30) % (2 * self.near)
+        self.inverse = (1 / self.near)[self.item]
+        self.kept: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
 
     def pieces(self, w: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """text, number of the piece and place of each piece that stands in a text, in order."""
         starts, whose = w.every(self.size)
-        h = w.hashes(starts, starts + self.size)
-        i = np.flatnonzero(self.map[(h >> np.uint64(42)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.keys, h[i]), len(self.keys) - 1)
-        same = self.keys[at] == h[i]
-        i, at = i[same], at[same]
-        return whose[i], at, starts[i] - w.offsets[whose[i]]
-
-    def likely(self, piece: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Of a text with these pieces the items of one stretch of which it has enough in a band of diagonals, and the places in the text and in the item of the pieces there."""
-        count = np.bincount(piece, minlength=len(self.keys))
-        np.cumsum(count[self.piece] > 0, out=self.sums[1:])
-        enough = np.zeros(len(self.items), bool)
-        enough[self.whose[self.sums[self.end] - self.sums[self.start] >= self.least]] = True
-        if not enough.any():
-            return
-        slot = np.flatnonzero(enough[self.item] & (count[self.piece] > 0))
-        places, before, own = place[np.argsort(piece, kind="stable")], np.cumsum(count) - count, self.piece[slot]
-        n = count[own]
-        at = places[np.repeat(before[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        item, offset = np.repeat(self.item[slot], n), np.repeat(self.offsets[slot], n)
-        near, good = self.near[item], np.zeros(len(at), bool)
+        at = self.numbers.find(w.hashes(starts, starts + self.size))
+        i = np.flatnonzero(at >= 0)
+        return whose[i], at[i], starts[i] - w.offsets[whose[i]]
+
+    def _cells(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For texts of up to a length: of each piece of an item its cell, an item's half band, at place 0; each item's first cell; of each cell its item and half of how many must stand there and beside it."""
+        step = 1 << max(9, length.bit_length() - 3)
+        length = -(-length // step) * step
+        if length not in self.kept:
+            width = (length + self.zero) // self.near + 2
+            owner, first = np.repeat(np.arange(len(self.items)), width), np.cumsum(width) - width
+            if len(self.kept) > 7 or length > 1 << 14:
+                self.kept.clear()
+            self.kept[length] = (self.zero[self.item] - self.offset + 0.5) * self.inverse + first[self.item], first, owner, (-(-self.sound // 2))[owner]
+        return self.kept[length]
+
+    def likely(self, piece: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of a text with these pieces those hits (item, half band, place in the item) in whose half band and one beside it there are enough for a stretch."""
+        base, first, owner, half = self._cells(int(place[-1]) + 1)
+        times = self.times[piece]
+        parts = np.cumsum(times) // HITS
+        cuts = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(piece)]
+
+        def hits(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+            n = times[a:b]
+            slot = np.repeat(self.first[piece[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            cell = self.inverse[slot]
+            cell *= np.repeat(place[a:b].astype(np.float64), n)
+            cell += base[slot]
+            return slot, cell.astype(np.int64)
+
+        counts = 0
+        for a, b in zip(cuts, cuts[1:]):
+            slot, cell = hits(a, b)
+            counts = counts + np.bincount(cell, minlength=len(owner))
+        many = np.flatnonzero(counts >= half)
+        before, behind = counts[np.maximum(many - 1, 0)], counts[np.minimum(many + 1, len(counts) - 1)]
+        least, enough = self.sound[owner[many]] - counts[many], np.zeros(len(counts) + 2, bool)
+        enough[many[before >= least]] = enough[many[before >= least] + 1] = True
+        enough[many[behind >= least] + 1] = enough[many[behind >= least] + 2] = True
+        out = []
+        for a, b in zip(cuts, cuts[1:]):
+            slot, cell = (slot, cell) if len(cuts) == 2 else hits(a, b)
+            i = np.flatnonzero(enough[1:][cell])
+            own = slot[i]
+            item = self.item[own]
+            out.append((item, cell[i] - first[item], self.offset[own]))
+        return out[0] if len(out) == 1 else tuple(np.concatenate(x) for x in zip(*out))
+
+    def diagonals(self, piece: np.ndarray, place: np.ndarray) -> list[tuple[int, int]]:
+        """item, diagonal around which enough pieces of one stretch of it stand in a text, as near as edits allow; in order."""
+        item, half, offset = self.likely(piece, place)
+        if not len(item):
+            return []
+        found: set[tuple[int, int]] = set()
+        length, wide = self.most + int(self.span.max()) + 1, int(half.max()) + 2
         for shift in (0, 1):  # a band of half the width falls within one of the two cuts
-            band = (at - offset + self.most + shift * near) // (2 * near)
-            cell = item * (int(band.max()) + 1) + band
-            good |= np.bincount(cell)[cell] >= self.sound[item]
-        item, at, offset = item[good], at[good], offset[good]
-        start = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]])) if len(item) else item
-        for a, b in zip(start.tolist(), [*start[1:].tolist(), len(item)]):
-            yield self.items[item[a]], at[a:b], offset[a:b]
+            key = np.unique((item * wide + (half + shift >> 1)) * length + offset)  # a piece counts once
+            own = key // (length * wide)
+            good = np.searchsorted(key, key + self.span[own]) - np.arange(len(key)) >= self.sound[own]
+            band = np.unique(key[good] // length)
+            own = band // wide
+            found.update(zip(own.tolist(), ((2 * (band % wide) + 1 - shift) * self.near[own] - self.zero[own]).tolist()))
+        return [(self.items[k], d) for k, d in sorted(found)]
 
 
 class Matcher:
@@ -153,8 +215,7 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], stretch: float = STRETCH, errors: float = MAX_ERRORS):
         self.stretch, self.errors = stretch, errors
         self.items = [(item, n) for item, text in items if (n := normal(text or ""))]
-        self.grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.need, self.span = np.ones((2, len(self.items)), np.int64)
+        self.grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         self.drift = np.asarray([int(errors * len(n)) + 1 for _, n in self.items], np.int64)
         # the pieces that show an item stand in one stretch, on diagonals that differ by its edits at most
         self.near = np.asarray([int(errors * math.ceil(stretch * len(n))) + 1 for _, n in self.items], np.int64)
@@ -164,23 +225,18 @@ class Matcher:
             size, step, sound = cutting(length, errors)
             at = np.arange(0, len(n) - size + 1, step)
             m = max(1, min(len(at), length // step - 1))
-            self.need[k], self.span[k] = sound, m * step
-            rows[size].append((k, m, sound, int(self.near[k]), Windows([n]).hashes(at, at + size), at))
+            rows[size].append((k, m * step, sound, int(self.near[k]), Windows([n]).hashes(at, at + size), at))
         self.tables = [_Table(size, x) for size, x in rows.items()]
         w = Windows([n for _, n in self.items])
         starts, whose = w.every(GRAM)
-        self.gram_keys, self.gram_ids = np.unique(w.hashes(starts, starts + GRAM), return_inverse=True)
+        keys, self.gram_ids = np.unique(w.hashes(starts, starts + GRAM), return_inverse=True)
+        self.gram_numbers = _Numbers(keys)
         self.gram_first = np.concatenate([[0], np.cumsum(np.bincount(whose, minlength=len(self.items)))]).astype(np.int64)
 
-    def _gram_ids(self, w: Windows) -> tuple[np.ndarray, np.ndarray]:
-        """The number of each gram of the texts, and where each text's begin."""
-        starts, whose = w.every(GRAM)
-        if not len(self.gram_keys):
-            return np.zeros(len(starts), np.int64), np.zeros(len(w.offsets), np.int64)
-        h = w.hashes(starts, starts + GRAM)
-        at = np.minimum(np.searchsorted(self.gram_keys, h), len(self.gram_keys) - 1)
-        at[self.gram_keys[at] != h] = len(self.gram_keys)
-        return at, np.concatenate([[0], np.cumsum(np.bincount(whose, minlength=len(w.offsets) - 1))]).astype(np.int64)
+    def _gram_ids(self, w: Windows, text: int) -> np.ndarray:
+        """The number of each gram of a text; -1 where no item has it."""
+        starts = np.arange(w.offsets[text], max(w.offsets[text], w.offsets[text + 1] - GRAM))
+        return self.gram_numbers.find(w.hashes(starts, starts + GRAM))
 
     def _least(self, n: int) -> int:
         """How many grams a stretch must share with the text in order: an edit hurts GRAM of them."""
@@ -193,25 +249,31 @@ class Matcher:
         least, reach = max(1, self._least(n)), 2 * int(self.drift[k])
         low = max(0, diagonal - reach)
         there = own[low : max(0, diagonal + reach + n)]
-        order, ids = self._sorted_grams(k)
-        left, right = np.searchsorted(ids, there), np.searchsorted(ids, there, "right")
-        count = right - left
-        at = np.repeat(np.arange(len(there)), count)
-        if len(at) < least:
+        order, ids, first, times = self._sorted_grams(k)
+        if not len(ids):
             return []
-        offset = order[np.repeat(left - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(len(at))]
+        number = np.minimum(np.searchsorted(ids, there), len(ids) - 1)
+        at = np.flatnonzero(ids[number] == there)
+        count = times[number[at]]
+        offset = order[np.repeat(first[number[at]] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+        at = np.repeat(at, count)
         near = np.abs(at + low - offset - diagonal) <= reach
         at, offset = at[near] + low, offset[near]
         held = np.zeros(n, bool)
         held[offset] = True
-        if len(np.unique(at)) < least or not self._dense(n, np.flatnonzero(held)):
+        own = np.flatnonzero(held)
+        if len(own) < least or not self._within(n, own):
             return []
-        by = np.lexsort((-offset, at))
-        places, offsets = at[by].tolist(), offset[by].tolist()
+        places, offsets = at.tolist(), offset.tolist()  # of one place the greater offsets come first
         tails: list[int] = []
         ends: list[int] = []
         before: list[int] = []
         for j, o in enumerate(offsets):
+            if tails and o > tails[-1]:
+                before.append(ends[-1])
+                tails.append(o)
+                ends.append(j)
+                continue
             i = bisect_left(tails, o)
             before.append(ends[i - 1] if i else -1)
             if i == len(tails):
@@ -237,13 +299,32 @@ class Matcher:
         far = np.searchsorted(offsets, offsets - (math.ceil(self.stretch * n) - GRAM), "right")
         return bool((more - np.concatenate([[np.inf], np.minimum.accumulate(more)])[far] >= (share - 2) * GRAM).any())
 
-    def _sorted_grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def _fits(self, n: int, start: np.ndarray, end: np.ndarray, edits: np.ndarray) -> bool:
+        """Whether runs in order could make up a stretch: where they start and end in an item of n characters, and how many edits at least stand before each."""
+        sums, far = edits.cumsum(), start.searchsorted(end - math.ceil(self.stretch * n - 1e-9), "right")
+        long = far.nonzero()[0]
+        most = np.maximum.accumulate(sums - self.errors * start)[far[long] - 1]
+        return bool((sums[long] - self.errors * end[long] <= most + 1e-6).any())
+
+    def _within(self, n: int, offsets: np.ndarray) -> bool:
+        """Whether there are few enough edits between grams at these offsets of an item: an edit hurts GRAM grams beside each other at most."""
+        if self._least(n) < 1:
+            return True
+        more = offsets[1:] - offsets[:-1]
+        new = np.flatnonzero(more > 1)
+        end = np.append(offsets[new], offsets[-1]) + GRAM
+        start = np.append(offsets[0], offsets[new + 1])
+        return self._fits(n, start, end, np.append(0, (more[new] + GRAM - 2) // GRAM))
+
+    def _sorted_grams(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The offsets of an item's grams by their numbers, greater ones first; these numbers, and of each the first and how many there are."""
         if k not in self.grams:
             if len(self.grams) > 5000:
                 self.grams.clear()
             own = self.gram_ids[self.gram_first[k] : self.gram_first[k + 1]]
-            order = np.argsort(own, kind="stable")
-            self.grams[k] = order, own[order]
+            order = len(own) - 1 - np.argsort(own[::-1], kind="stable")
+            ids, first, times = np.unique(own[order], return_index=True, return_counts=True)
+            self.grams[k] = order, ids, first, times
         return self.grams[k]
 
     def find(self, texts: list[str | None]) -> list[list[tuple[int, float, int]]]:
@@ -251,31 +332,19 @@ class Matcher:
         out: list[list[tuple[int, float, int]]] = [[] for _ in texts]
         normals = [normal(t) if t else "" for t in texts]
         w = Windows(normals)
-        ids, first = self._gram_ids(w)
         for table in self.tables:
             text, piece, place = table.pieces(w)
             ends = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
             for t, (a, b) in enumerate(zip(ends, ends[1:])):
-                for k, at, offset in table.likely(piece[a:b], place[a:b]) if b > a else ():
-                    for diagonal in self._diagonals(k, at, offset):
-                        if best := self._stretch(k, normals[t], diagonal, ids[first[t] : first[t + 1]]):
-                            out[t].append((self.items[k][0], *best))
+                grams, before = None, None
+                for k, d in table.diagonals(piece[a:b], place[a:b]) if b > a else ():
+                    if before and before[0] == k and d - before[1] <= self.drift[k] - self.near[k]:  # what is nearer lies within the other's reach
+                        continue
+                    before, grams = (k, d), self._gram_ids(w, t) if grams is None else grams
+                    if best := self._stretch(k, normals[t], d, grams):
+                        out[t].append((self.items[k][0], *best))
         return [_longest(x) for x in out]
 
-    def _diagonals(self, k: int, at: np.ndarray, offset: np.ndarray) -> list[int]:
-        """The diagonals around which enough pieces of one stretch of an item stand, as near as edits allow."""
-        near, found = int(self.near[k]), set()
-        for shift in (0, 1):  # a band of half the width falls within one of the two cuts
-            band = (at - offset + shift * near + (1 << 30)) // (2 * near)
-            key = np.unique(band * (1 << 32) + offset)  # a piece counts once
-            n = np.searchsorted(key, key + self.span[k]) - np.arange(len(key))
-            found.update((2 * (key[n >= self.need[k]] >> 32) + 1 - shift) * near - (1 << 30))
-        out: list[int] = []
-        for d in sorted(map(int, found)):
-            if not out or d - out[-1] > self.drift[k] - near:  # what is nearer lies within the other's reach
-                out.append(d)
-        return out
-
     def _stretch(self, k: int, x: str, diagonal: int, grams: np.ndarray) -> tuple[float, int] | None:
         """The longest stretch of an item that stands around a diagonal of a text, if it is long enough: share, distance."""
         n = self.items[k][1]
@@ -284,17 +353,44 @@ class Matcher:
             size, chain = 1, [(i + d, i) for d in (diagonal,) for i in range(len(n)) if 0 <= i + d < len(x) and n[i] == x[i + d]]
         if not chain:
             return None
-        # runs: place and end in the item and in the text, and the edits before each
+        # runs: place and end in the item and in the text, and the edits before each, at first how many they are at least
         runs: list[list[int]] = []
-        for at, o in chain:
-            if runs and at - o == runs[-1][2] - runs[-1][0] and o <= runs[-1][1]:
-                runs[-1][1], runs[-1][3] = o + size, at + size
-            elif runs:
-                cut = max(runs[-1][1] - o, runs[-1][3] - at, 0)  # runs on two diagonals may not share characters
-                if cut < size:
-                    runs.append([o + cut, o + size, at + cut, at + size, myers(n[runs[-1][1] : o + cut], x[runs[-1][3] : at + cut])])
-            else:
-                runs.append([o, o + size, at, at + size, 0])
+        rim = 2 * int(self.drift[k]) if size == GRAM and self._least(len(n)) > 0 else -1
+        places, offsets = (np.asarray(c) for c in zip(*chain))
+        new = np.flatnonzero((places[1:] - offsets[1:] != places[:-1] - offsets[:-1]) | (offsets[1:] > offsets[:-1] + size)) + 1
+        for i, j in zip([0, *new.tolist()], [*new.tolist(), len(chain)]):
+            at, o = chain[i]
+            last = chain[j - 1][1] + size
+            if not runs:
+                runs.append([o, last, at, last + at - o, 0])
+                continue
+            _, end, _, end_at, _ = runs[-1]
+            if at - o == end_at - end and o <= end:
+                runs[-1][1], runs[-1][3] = last, last + at - o
+                continue
+            cut = max(end - o, end_at - at, 0)  # runs on two diagonals may not share characters
+            while cut >= size and (i := i + 1) < j:
+                at, o = chain[i]
+                cut = max(end - o, end_at - at, 0)
+            if i == j:
+                continue
+            own, other = o + cut - end, at + cut - end_at
+            least, wide = abs(own - other), max(own, other)
+            # neither the first nor the last characters of a gap agree and no gram stands within it, or the chain had it; only at the rim of its reach it may be cut short
+            if min(own, other) and abs(at - o - diagonal) + wide <= rim:
+                least = max(least, -(-(wide + GRAM - 1) // GRAM))
+            runs.append([o + cut, last, at + cut, last + at - o, least])
+        start, end, _, _, edits = (np.asarray(r) for r in zip(*runs))
+        widest, j = np.argsort(-edits, kind="stable").tolist(), 0
+        while self._fits(len(n), start, end, edits):
+            if j == len(runs):
+                break
+            for i in widest[j : 2 * j + 2]:  # the widest gaps first: mostly a few of them show that it is none
+                if i:
+                    edits[i] = runs[i][4] = myers(n[runs[i - 1][1] : runs[i][0]], x[runs[i - 1][3] : runs[i][2]])
+            j = min(2 * j + 2, len(runs))
+        else:
+            return None
         best = None
         for i, (a, _, c, _, _) in enumerate(runs):
             edits = 0

@@ -93,3 +93,17 @@ def test_stretches_that_many_items_share_are_found():
         s[4::9] = ["z"] * len(s[4::9])
         found = m.find([passage(rng, 60) + "".join(s) + passage(rng, 60)])[0]
         assert {x[0] for x in found} == {i for i, _ in items if i % 3 == f}
+
+
+def test_filled_forms_are_turned_away_by_few_gaps(monkeypatch):
+    """Texts of a form of which the slots are filled in otherwise are no case; that shows before the edits of all gaps are counted."""
+    rng = random.Random(8)
+    forms = [[passage(rng, 4) for _ in range(14)] for _ in range(4)]
+    filled = lambda f: " ".join(f"{x} {passage(rng, 4)}" for x in forms[f])
+    items = [(i, filled(i % 4)) for i in range(40)]
+    m, calls, myers = L.Matcher(items), [], L.myers
+    monkeypatch.setattr(L, "myers", lambda a, b: calls.append(1) or myers(a, b))
+    docs = [filled(d % 4) for d in range(20)]
+    assert m.find(docs) == [[] for _ in docs]
+    assert len(calls) < 20 * len(docs)  # of 10 items in each there are 13 gaps
+    assert {i for i, *_ in m.find([items[3][1]])[0]} == {3}
