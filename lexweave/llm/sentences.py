@@ -23,6 +23,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -250,9 +251,7 @@ class Candidates:
         q, n_quotes, thai, opened = 0, len(quotes), False, spans[0][0]
         in_item, in_citation = LIST_MARK.match(text), bool(CITATION.match(text))
         dotted = bool(in_item) and in_item.group().rstrip().endswith(".")
-        for k in range(len(spans) - 1):
-            end, nxt = spans[k][1], spans[k + 1][0]
-            _, script, stop, colon, apology, wide, _ = infos[k]
+        for (_, end), (nxt, _), (_, script, stop, colon, apology, wide, _) in zip(spans, spans[1:], infos):
             if script:
                 thai = script > 0
             within = False
@@ -339,6 +338,7 @@ class Tagger:
         self.left: dict[str, float] = {}
         self.right: dict[str, float] = {}
         self.pair: dict[tuple[str, str], float] = {}
+        self.spaced: dict[str, float] = {}
         self.moves: tuple[list[list[float]], float] | None = None
 
     @staticmethod
@@ -358,12 +358,9 @@ class Tagger:
 
     @staticmethod
     def contexts(forms: list[str], ks: list[int]) -> list[tuple[str, str]]:
-        joined, ends, at = " ".join(forms), [], -1
-        for f in forms:
-            at += len(f) + 1
-            ends.append(at)
+        joined, sums = " ".join(forms), list(accumulate(map(len, forms)))
         far_left, far_right = LEFT[-1], RIGHT[-1]
-        return [(joined[max(0, ends[k] - far_left) : ends[k]], joined[ends[k] + 1 : ends[k] + 1 + far_right]) for k in ks]
+        return [(joined[end - far_left if end > far_left else 0 : end], joined[end + 1 : end + 1 + far_right]) for end in [sums[k] + k for k in ks]]
 
     def score(self, left: str, right: str, gap: str) -> float:
         w, glued = self.w, gap == "G"
@@ -395,9 +392,28 @@ class Tagger:
         if c is None:
             if len(self.pair) > 100_000:
                 self.pair.clear()
-            self.pair[key] = c = sum(w.get(x, 0.0) for x in self.pair_features(*key, False))
+            a8, b8 = key  # as pair_features
+            self.pair[key] = c = w.get(f"|{a8[-4:]}|{b8[:4]}", 0.0) + w.get(f"|{a8}|{b8}", 0.0)
         return a + b + c + w.get("gap" + gap, 0.0)
 
+    def scores(self, c: Candidates, ks: list[int]) -> dict[int, float]:
+        """The score of each of these places; those at a space by both contexts in one look."""
+        joined, sums, gaps, known, far = " ".join(c.forms), list(accumulate(map(len, c.forms))), c.gaps, self.spaced, LEFT[-1]
+        out, wide = {}, RIGHT[-1] + 1
+        for k in ks:
+            end = sums[k] + k
+            if end < far or gaps[k] != "S":
+                out[k] = self.score(joined[max(0, end - far) : end], joined[end + 1 : end + wide], gaps[k])
+                continue
+            around = joined[end - far : end + wide]
+            v = known.get(around)
+            if v is None:
+                if len(known) > 100_000:
+                    known.clear()
+                known[around] = v = self.score(around[:far], around[far + 1 :], "S")
+            out[k] = v
+        return out
+
     def _moves(self) -> tuple[list[list[float]], float]:
         """The weights of transitions, and what they can turn at most."""
         if self.moves is None:
@@ -446,7 +462,7 @@ class Tagger:
         ks = [k for k, f in enumerate(c.fixed) if f is None]
         if not ks:
             return [bool(f) for f in c.fixed]
-        score = {k: self.score(left, right, c.gaps[k]) for k, (left, right) in zip(ks, self.contexts(c.forms, ks), strict=True)}
+        score = self.scores(c, ks)
         out = self._decode(c, score)
         # units stand without spaces throughout a text or nowhere in it
         glued = [k for k in ks if c.gaps[k] == "G" and out[k]]
@@ -461,7 +477,7 @@ class Tagger:
 
     def _decode(self, c: Candidates, score: dict[int, float]) -> list[bool]:
         sway = self._moves()[1]
-        if all(s > sway or s < -sway for k, s in score.items() if c.fixed[k] is None):  # no transition can turn any
+        if all([s > sway or s < -sway or c.fixed[k] is not None for k, s in score.items()]):  # no transition can turn any
             return [score[k] > 0 if f is None else f for k, f in enumerate(c.fixed)]
         # inside-only places between two open ones say nothing, so the chain runs over open and boundary places
         where = [k for k, f in enumerate(c.fixed) if f is not False]
@@ -481,7 +497,7 @@ class Tagger:
         for k, tag in enumerate([*self.boundaries(text, c), True]):
             if tag:
                 end = c.spans[k][1]
-                if any(ch.isalnum() for ch in text[start:end]):
+                if text[start].isalnum() or any(map(str.isalnum, text[start:end])):
                     out.append((start, end))
                 if k + 1 < len(c.spans):
                     start = c.spans[k + 1][0]

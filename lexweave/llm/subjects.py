@@ -77,8 +77,10 @@ ROUNDS = 1
 
 def normal(text: str) -> str:
     """Lower case, NFC, no invisible characters; in texts with Latin letters blanks for all but words."""
-    t = text.translate(_INVISIBLE) if _ODD.search(text) else text
-    t = t if unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t)
+    return _apart(plain(text))
+
+
+def _apart(t: str) -> str:
     return f" {_NO_WORD.sub(' ', t.lower())} " if _LATIN.search(t) else t
 
 
@@ -435,6 +437,9 @@ class Matcher:
         """The subject that outweighs the others and its weight; no subject under the floor."""
         if not hits:
             return None, 0.0
+        if len(hits) == 1:
+            _, s, w, k = hits[0]
+            return (s if w > 0 and w >= self.floors[k] else None), w
         total: dict[int, float] = {}
         for _, s, w, _ in hits:
             total[s] = total.get(s, 0.0) + w
@@ -455,7 +460,7 @@ def plain(text: str) -> str:
 
 def matched(t: str, units: list[tuple[int, int]], matcher: Matcher) -> list[list[tuple[int, int, float, int]]]:
     """The hits of each sentence of a plain text. The whole text is matched once, the hits fall to the sentences by place."""
-    n = normal(t)
+    n = _apart(t)
     shift = 1 if len(n) == len(t) + 2 else 0
     if len(n) - 2 * shift != len(t):  # lower case of another length: sentence by sentence
         return [matcher.hits(normal(t[a:b])) for a, b in units]
@@ -544,7 +549,7 @@ def subjects(documents: DataFrame, examples: DataFrame, subjects_table: DataFram
         def one(doc: int, text: str | None) -> list[tuple]:
             t = plain(text or "")
             units = tagger.units(t)
-            count = Counter(s for h in matched(t, units, matcher) if (s := matcher.heaviest(h)[0]) is not None)
+            count = Counter([s for h in matched(t, units, matcher) if h and (s := matcher.heaviest(h)[0]) is not None])
             return [(doc, s, k / len(units)) for s, k in sorted(count.items()) if k >= share * len(units)]
 
         return one

@@ -99,3 +99,18 @@ def test_a_quotation_of_any_length_is_not_divided():
         text = "The panel said: “" + " ".join(["This was found." for _ in range(n)]) + "” The rest follows."
         assert len(tagger.units(text)) == 2
     assert len(tagger.units('He wrote "open. Then more.\n\nNext one. Last one.')) == 3
+
+
+def test_contexts_met_before_are_scored_once(monkeypatch):
+    """Of a text met before no place at a space behind the first characters is scored again, and it is cut as before."""
+    items = [f"{w} {v} ตามกฎหมาย" for w in ("ผู้ใด", "เจ้าพนักงาน", "ศาล") for v in ("ต้องรับโทษ", "สั่งให้จ่าย", "มีอำนาจ")]
+    tagger, calls, score = S.Tagger(S.train(items)), [], S.Tagger.score
+    monkeypatch.setattr(S.Tagger, "score", lambda self, *x: calls.append(x) or score(self, *x))
+    text = " ".join(items * 3)
+    first, n = tagger.units(text), len(calls)
+    calls.clear()
+    assert tagger.units(text) == first == S.Tagger(tagger.w).units(text)
+    assert n > 10
+    calls.clear()
+    tagger.units(text)
+    assert len(calls) < 6
