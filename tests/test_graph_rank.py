@@ -1,7 +1,9 @@
 import math
 import random
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lexweave.config import Settings
@@ -215,3 +217,25 @@ def test_no_more_tasks_than_run_at_once_write_their_best(spark):
     for scored in (rank.bm25(items, queries, k=2), rank.tfidf(items, queries, k=2)):
         assert max(r["count"] for r in scored.groupBy("query_id").count().collect()) <= most
         assert rank.top_k(scored, 2).count() == 10
+
+
+def test_few_pairs_are_held_until_the_best_are_known(spark, monkeypatch):
+    rng = random.Random(5)
+    docs = [(i, " ".join(["shared", *rng.choices([f"w{j}" for j in range(40)], k=rng.randrange(3, 12))])) for i in range(3000)]
+    items = spark.createDataFrame(docs, "item_id long, text string")
+    queries = spark.createDataFrame([(q, f"shared w{q} w{q + 1} w{q + 2}") for q in range(20)], "query_id long, text string")
+    blocks, held, scores, add = [], [0], rank._bm25_scores, rank._Best.add
+    monkeypatch.setattr(rank, "_bm25_scores", lambda known, s, k: blocks.append(known) or scores(known, s, k))
+    want = {(r.query_id, r.item_id, r.score) for r in rank.top_k(rank.bm25(items, queries, k=5), 5).collect()}
+    terms = pa.array(["shared", *(f"w{q}" for q in range(22))])
+    own = [None] * blocks[0].value.n_terms  # the terms' numbers, found by their questions and weights
+    for q, t in zip(blocks[0].value.query, blocks[0].value.term, strict=True):
+        own[t] = (own[t] or set()) | {blocks[0].value.queries[q].as_py()}
+    named = {frozenset(range(20)): "shared"} | {frozenset(q for q in range(20) if q <= j <= q + 2): f"w{j}" for j in range(22)}
+    known = SimpleNamespace(value=pa.array([named[frozenset(x)] for x in own]))
+    assert len(terms) == len(known.value)
+    batch = pa.RecordBatch.from_arrays([pa.array([d[0] for d in docs]), pa.array([d[1] for d in docs])], ["item_id", "text"])
+    monkeypatch.setattr(rank._Best, "add", lambda self, ids, q, i, s: held.__setitem__(0, held[0] + len(q)) or add(self, ids, q, i, s))
+    got = [r for b in scores(blocks[0], Settings(), 5)(rank._indexed(known)(iter([batch]))) for r in b.to_pylist()]
+    assert {(r["query_id"], r["item_id"], r["score"]) for r in got} == want
+    assert held[0] < 20 * 3000 / 10
