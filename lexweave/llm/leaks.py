@@ -32,6 +32,8 @@ from lexweave.llm.windows import SUB_BATCH, Windows
 STRETCH, MAX_ERRORS = 0.4, 0.12
 #: Longest piece; characters of a gram, which begins a shared run; places of pieces that are held at once.
 PIECE, GRAM, HITS = 4, 4, 1 << 20
+#: Cells of pieces that are kept for texts of several lengths.
+KEPT = 1 << 21
 BLOCK_CHARS = 32_000_000
 
 FOUND = StructType([StructField("doc_id", LongType()), StructField("item_id", LongType()), StructField("share", DoubleType()), StructField("distance", IntegerType())])
@@ -96,6 +98,44 @@ def cutting(length: int, errors: float) -> tuple[int, int, int]:
     return max(1, length // (edits + 1)), 1, 1
 
 
+def _distinct(numbers: np.ndarray) -> np.ndarray:
+    """Each number once, in order; of a few numbers this takes far less time than ``unique``."""
+    out = np.sort(numbers)
+    return out[np.append(True, out[1:] != out[:-1])]
+
+
+def _rising(numbers: np.ndarray) -> list[int]:
+    """The places of a longest rising sequence among numbers."""
+    offsets, j = numbers.tolist(), 0
+    tails: list[int] = []
+    ends: list[int] = []
+    before: list[int] = []
+    for end in [*(np.flatnonzero(numbers[1:] <= numbers[:-1]) + 1).tolist(), len(offsets)]:
+        while j < end:  # up to there the numbers rise
+            o = offsets[j]
+            if not tails or o > tails[-1]:  # then all the rest of them go behind
+                before.append(ends[-1] if ends else -1)
+                if end - j == 1:
+                    tails.append(o)
+                    ends.append(j)
+                else:
+                    before += range(j, end - 1)
+                    tails += offsets[j:end]
+                    ends += range(j, end)
+                break
+            i = bisect_left(tails, o)
+            before.append(ends[i - 1] if i else -1)
+            tails[i], ends[i] = o, j
+            j += 1
+        j = end
+    chain, j = [], ends[-1] if ends else -1
+    while j >= 0:
+        chain.append(j)
+        j = before[j]
+    chain.reverse()
+    return chain
+
+
 class _Numbers:
     """The places of hashes among sorted ones: looked up by their first bits, as most stand alone there."""
 
@@ -140,10 +180,14 @@ class _Table:
         self.inverse = (1 / self.near)[self.item]
         self.kept: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
 
-    def pieces(self, w: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """text, number of the piece and place of each piece that stands in a text, in order."""
-        starts, whose = w.every(self.size)
-        at = self.numbers.find(w.hashes(starts, starts + self.size))
+    def pieces(self, w: Windows, grams: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """text, number of the piece and place of each piece that stands in a text, in order. grams: starts, texts and numbers of the texts' grams."""
+        starts, whose, own = grams
+        if self.size == GRAM:
+            at = self.of_gram[own]
+        else:
+            starts, whose = w.every(self.size)
+            at = self.numbers.find(w.hashes(starts, starts + self.size))
         i = np.flatnonzero(at >= 0)
         return whose[i], at[i], starts[i] - w.offsets[whose[i]]
 
@@ -154,7 +198,7 @@ class _Table:
         if length not in self.kept:
             width = (length + self.zero) // self.near + 2
             owner, first = np.repeat(np.arange(len(self.items)), width), np.cumsum(width) - width
-            if len(self.kept) > 7 or length > 1 << 14:
+            if len(self.kept) >= min(32, max(8, KEPT // len(self.item))) or length > 1 << 14:
                 self.kept.clear()
             self.kept[length] = (self.zero[self.item] - self.offset + 0.5) * self.inverse + first[self.item], first, owner, (-(-self.sound // 2))[owner]
         return self.kept[length]
@@ -200,10 +244,12 @@ class _Table:
         found: set[tuple[int, int]] = set()
         length, wide = self.most + int(self.span.max()) + 1, int(half.max()) + 2
         for shift in (0, 1):  # a band of half the width falls within one of the two cuts
-            key = np.unique((item * wide + (half + shift >> 1)) * length + offset)  # a piece counts once
+            key = _distinct((item * wide + (half + shift >> 1)) * length + offset)  # a piece counts once
             own = key // (length * wide)
             good = np.searchsorted(key, key + self.span[own]) - np.arange(len(key)) >= self.sound[own]
-            band = np.unique(key[good] // length)
+            if not good.any():
+                continue
+            band = _distinct(key[good] // length)
             own = band // wide
             found.update(zip(own.tolist(), ((2 * (band % wide) + 1 - shift) * self.near[own] - self.zero[own]).tolist()))
         return [(self.items[k], d) for k, d in sorted(found)]
@@ -231,12 +277,14 @@ class Matcher:
         starts, whose = w.every(GRAM)
         keys, self.gram_ids = np.unique(w.hashes(starts, starts + GRAM), return_inverse=True)
         self.gram_numbers = _Numbers(keys)
+        for table in self.tables:  # the number of the piece that each gram is; -1, as the last one, for none
+            table.of_gram = np.append(table.numbers.find(keys), -1) if table.size == GRAM else np.zeros(0, np.int64)
         self.gram_first = np.concatenate([[0], np.cumsum(np.bincount(whose, minlength=len(self.items)))]).astype(np.int64)
 
-    def _gram_ids(self, w: Windows, text: int) -> np.ndarray:
-        """The number of each gram of a text; -1 where no item has it."""
-        starts = np.arange(w.offsets[text], max(w.offsets[text], w.offsets[text + 1] - GRAM))
-        return self.gram_numbers.find(w.hashes(starts, starts + GRAM))
+    def _grams(self, w: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, text and number of each gram of the texts, in order; -1 where no item has it."""
+        starts, whose = w.every(GRAM)
+        return starts, whose, self.gram_numbers.find(w.hashes(starts, starts + GRAM))
 
     def _least(self, n: int) -> int:
         """How many grams a stretch must share with the text in order: an edit hurts GRAM of them."""
@@ -252,10 +300,13 @@ class Matcher:
         order, ids, first, times = self._sorted_grams(k)
         if not len(ids):
             return []
+        at = np.flatnonzero(there >= 0)
+        there = there[at]
         number = np.minimum(np.searchsorted(ids, there), len(ids) - 1)
-        at = np.flatnonzero(ids[number] == there)
-        count = times[number[at]]
-        offset = order[np.repeat(first[number[at]] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+        own = np.flatnonzero(ids[number] == there)
+        at, number = at[own], number[own]
+        count = times[number]
+        offset = order[np.repeat(first[number] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
         at = np.repeat(at, count)
         near = np.abs(at + low - offset - diagonal) <= reach
         at, offset = at[near] + low, offset[near]
@@ -264,31 +315,10 @@ class Matcher:
         own = np.flatnonzero(held)
         if len(own) < least or not self._within(n, own):
             return []
-        places, offsets = at.tolist(), offset.tolist()  # of one place the greater offsets come first
-        tails: list[int] = []
-        ends: list[int] = []
-        before: list[int] = []
-        for j, o in enumerate(offsets):
-            if tails and o > tails[-1]:
-                before.append(ends[-1])
-                tails.append(o)
-                ends.append(j)
-                continue
-            i = bisect_left(tails, o)
-            before.append(ends[i - 1] if i else -1)
-            if i == len(tails):
-                tails.append(o)
-                ends.append(j)
-            else:
-                tails[i], ends[i] = o, j
-        if len(tails) < least:
+        chain = _rising(offset)  # of one place the greater offsets come first
+        if len(chain) < least or not self._dense(n, offset[chain]):
             return []
-        chain, j = [], ends[-1]
-        while j >= 0:
-            chain.append((places[j], offsets[j]))
-            j = before[j]
-        chain.reverse()
-        return chain if self._dense(n, np.asarray([c[1] for c in chain])) else []
+        return list(zip(at[chain].tolist(), offset[chain].tolist()))
 
     def _dense(self, n: int, offsets: np.ndarray) -> bool:
         """Whether grams at these offsets of an item, in order, could be those of a stretch: of its length less GRAM for each edit, so many."""
@@ -332,15 +362,17 @@ class Matcher:
         out: list[list[tuple[int, float, int]]] = [[] for _ in texts]
         normals = [normal(t) if t else "" for t in texts]
         w = Windows(normals)
+        known = self._grams(w)
+        first = np.searchsorted(known[1], np.arange(len(texts) + 1))
         for table in self.tables:
-            text, piece, place = table.pieces(w)
+            text, piece, place = table.pieces(w, known)
             ends = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
             for t, (a, b) in enumerate(zip(ends, ends[1:])):
-                grams, before = None, None
+                grams, before = known[2][first[t] : first[t + 1]], None
                 for k, d in table.diagonals(piece[a:b], place[a:b]) if b > a else ():
                     if before and before[0] == k and d - before[1] <= self.drift[k] - self.near[k]:  # what is nearer lies within the other's reach
                         continue
-                    before, grams = (k, d), self._gram_ids(w, t) if grams is None else grams
+                    before = k, d
                     if best := self._stretch(k, normals[t], d, grams):
                         out[t].append((self.items[k][0], *best))
         return [_longest(x) for x in out]

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -107,3 +108,25 @@ def test_filled_forms_are_turned_away_by_few_gaps(monkeypatch):
     assert m.find(docs) == [[] for _ in docs]
     assert len(calls) < 20 * len(docs)  # of 10 items in each there are 13 gaps
     assert {i for i, *_ in m.find([items[3][1]])[0]} == {3}
+
+
+def test_a_text_is_looked_up_once(monkeypatch):
+    rng = random.Random(12)
+    item = "".join(rng.choices("abcdefghij", k=600))
+    text = "".join(rng.choices("klmnop", k=300)) + item[100:500] + "".join(rng.choices("klmnop", k=300))
+    m, looked, find = L.Matcher([(1, item)]), [0], L._Numbers.find
+    monkeypatch.setattr(L._Numbers, "find", lambda self, h: looked.__setitem__(0, looked[0] + len(h)) or find(self, h))
+    assert [(i, d) for i, _, d in m.find([text])[0]] == [(1, 0)]
+    assert looked[0] <= len(text)  # for its pieces and its grams, which are the same
+
+
+def test_a_rising_sequence_is_a_longest_one():
+    rng = random.Random(13)
+    for _ in range(300):
+        numbers = [rng.randrange(30) + i // 3 for i in range(rng.randrange(40))]
+        found = L._rising(np.asarray(numbers, np.int64))
+        best = [1] * len(numbers)
+        for i in range(len(numbers)):
+            best[i] = 1 + max([best[j] for j in range(i) if numbers[j] < numbers[i]], default=0)
+        assert len(found) == max(best, default=0)
+        assert all(a < b and numbers[a] < numbers[b] for a, b in zip(found, found[1:]))
