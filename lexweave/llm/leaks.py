@@ -279,6 +279,7 @@ class Matcher:
         self.gram_numbers = _Numbers(keys)
         for table in self.tables:  # the number of the piece that each gram is; -1, as the last one, for none
             table.of_gram = np.append(table.numbers.find(keys), -1) if table.size == GRAM else np.zeros(0, np.int64)
+        self.spot = np.full(len(keys) + 1, -1)  # of the grams of the item in hand the place among them; -1 for the others and, as the last one, for none
         self.gram_first = np.concatenate([[0], np.cumsum(np.bincount(whose, minlength=len(self.items)))]).astype(np.int64)
 
     def _grams(self, w: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -300,11 +301,11 @@ class Matcher:
         order, ids, first, times = self._sorted_grams(k)
         if not len(ids):
             return []
-        at = np.flatnonzero(there >= 0)
-        there = there[at]
-        number = np.minimum(np.searchsorted(ids, there), len(ids) - 1)
-        own = np.flatnonzero(ids[number] == there)
-        at, number = at[own], number[own]
+        self.spot[ids] = np.arange(len(ids))
+        number = self.spot[there]
+        self.spot[ids] = -1
+        at = np.flatnonzero(number >= 0)
+        number = number[at]
         count = times[number]
         offset = order[np.repeat(first[number] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
         at = np.repeat(at, count)
