@@ -56,11 +56,26 @@ class _Normal(dict):
 
 
 _NORMAL = _Normal()
+#: The same by array, as far as met: 0 for no character, SEVERAL for more than one.
+UNMET, SEVERAL = 0xFFFFFFFF, 0xFFFFFFFE
+_CODES = np.full(0x110000, UNMET, np.uint32)
 
 
 def normal(text: str) -> str:
     """Letters, marks and digits only: in lower case, digits Arabic, NFC."""
-    return unicodedata.normalize("NFC", text).translate(_NORMAL)
+    text = unicodedata.normalize("NFC", text)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = _CODES[codes]
+    most = out.max(initial=0)
+    if most == UNMET:
+        for code in set(codes[out == UNMET].tolist()):
+            c = _NORMAL[code]
+            _CODES[code] = 0 if not c else ord(c) if len(c) == 1 else SEVERAL
+        out = _CODES[codes]
+        most = out.max(initial=0)
+    if most == SEVERAL:
+        return text.translate(_NORMAL)
+    return out[out != 0].tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def myers(pattern: str, text: str) -> int:

@@ -130,3 +130,10 @@ def test_a_rising_sequence_is_a_longest_one():
             best[i] = 1 + max([best[j] for j in range(i) if numbers[j] < numbers[i]], default=0)
         assert len(found) == max(best, default=0)
         assert all(a < b and numbers[a] < numbers[b] for a, b in zip(found, found[1:]))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(exclude_categories=[]), max_size=40))
+def test_normal_form_by_array(text):
+    for t in (text, text + "İ", "มาตรา ๑๒ ๆ Ab-" + text):
+        assert L.normal(t) == L.unicodedata.normalize("NFC", t).translate(L._NORMAL)
